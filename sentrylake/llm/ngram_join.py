@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Shared, ship
+from .shared import Shared, ship, units
 from .words import byte_texts, grams, hash_words, mix, signed, slices
 
 #: A shingle with so many listings is frequent; at most HOT of them are broadcast (8 bytes each).
@@ -346,21 +346,7 @@ def verify(groups: DataFrame, size: int, t: Threshold) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(sid[label]), pa.array(links)], names=["sid", "low", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.asarray(batch.column(c)) for c in ("root", "i", "j")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, batch.num_rows].tolist(), strict=True):
-                if key is not None and key != tuple(keys[:, a]):
-                    yield unit(pa.Table.from_batches(held))
-                    held = []
-                key = tuple(keys[:, a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield unit(pa.Table.from_batches(held))
+        yield from map(unit, units(batches, ("root", "i", "j")))
 
     spark = groups.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

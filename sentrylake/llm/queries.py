@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, lm, mixing, ngram_join, quality, warc
+from . import bpe, embed_dedup, langid, line_dedup, lm, mixing, ngram_join, quality, substring, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +43,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"_{a}").alias(a) for a in mixing.AXES], "n_tokens", "weight", "p", "sampled")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_table(_docs(spark, sf_dir).select("doc_id", "text"), remainder(10) == 0)
 
@@ -64,7 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_warc": op7_warc,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }

@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parents[2]
@@ -75,3 +78,22 @@ class Shared:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def units(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key as one table; rows of a key stand together."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([np.asarray(batch.column(c)) for c in keys])
+        cuts = np.flatnonzero((now[:, 1:] != now[:, :-1]).any(0)) + 1
+        for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, batch.num_rows].tolist(), strict=True):
+            if key is not None and key != tuple(now[:, a]):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = tuple(now[:, a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
