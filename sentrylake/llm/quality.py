@@ -9,6 +9,8 @@ the same verdict each time, an empty table gives an empty ledger, and further co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,66 +41,79 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(SPACE))) > 0)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f over a value that is computed once, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _repeat_words(hashes: Column) -> Column:
     """Words in windows of WINDOW words that are found twice or more. Windows are compared by 64-bit hashes.
 
     Sorting (hash, start) puts equal windows side by side; the starts of those, sorted, cover min(WINDOW, step) words each.
     """
-    wins = F.transform(
-        F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW))
-    )
-    by_hash = F.array_sort(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.lit(0).cast("long")
 
     def repeated(x: Column, i: Column, a: Column) -> Column:
-        return (F.coalesce(F.get(a, i - 1)["h"] == x["h"], F.lit(False))) | (
-            F.coalesce(F.get(a, i + 1)["h"] == x["h"], F.lit(False))
+        beside = lambda j: F.coalesce(F.get(a, j)["h"] == x["h"], F.lit(False))
+        return beside(i - 1) | beside(i + 1)
+
+    def starts(windows: Column) -> Column:
+        by_hash = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return _let(by_hash, lambda a: F.array_sort(F.transform(F.filter(a, lambda x, i: repeated(x, i, a)), lambda x: x["i"])))
+
+    def covered(s: Column) -> Column:
+        steps = F.transform(s, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(s, i + 1) - x, F.lit(WINDOW))))
+        return F.aggregate(steps, none, lambda acc, x: acc + x)
+
+    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+    count = _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), none).otherwise(_let(starts(w), covered)))
+    return F.when(F.size(hashes) <= WINDOW, none).otherwise(count)
+
+
+def _fails(m: Column) -> dict[str, Column]:
+    return {
+        "few_words": m["n_words"] < 20,
+        "repeats": 100 * m["n_repeat_words"] > 30 * m["n_words"],
+        "symbols": 10 * m["n_symbols"] > m["n_words"],
+        "word_length": (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
+        "dup_lines": 2 * m["n_dup_lines"] > m["n_lines"],
+        "upper_case": 2 * m["n_upper"] > m["word_chars"],
+    }
+
+
+def judged(text: Column) -> Column:
+    """A struct of the measurements and ``fail_bits`` of a text; every rule is evaluated once."""
+    long = lambda c, name: c.cast("long").alias(name)
+
+    def measured(t: Column) -> Column:
+        rest = (
+            long(F.length(F.translate(t, SPACE, "")), "word_chars"),
+            long(F.length(t) - F.length(F.translate(t, SYMBOLS, "")), "n_symbols"),
+            long(F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", "")), "n_upper"),
         )
 
-    def with_let(value: Column, f) -> Column:
-        """f over a value that is computed once."""
-        return F.element_at(F.transform(F.array(value), f), 1)
+        def of_lines(x: Column) -> Column:
+            return F.struct(long(F.size(x), "n_lines"), long(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines"))
+
+        def of_words(h: Column) -> Column:
+            return F.struct(long(F.size(h), "n_words"), long(_repeat_words(h), "n_repeat_words"))
+
+        words = _let(F.transform(_words(t), lambda w: F.xxhash64(w)), of_words)
+        parts = F.struct(words.alias("w"), _let(_lines(t), of_lines).alias("l"), F.struct(*rest).alias("r"))
+        place = {"n_words": "w", "n_repeat_words": "w", "n_lines": "l", "n_dup_lines": "l"}
+        return _let(parts, lambda p: F.struct(*[p[place.get(m, "r")][m].alias(m) for m in MEASURES]))
 
-    starts = with_let(by_hash, lambda a: F.array_sort(F.transform(F.filter(a, lambda x, i: repeated(x, i, a)), lambda x: x["i"])))
-    covered = with_let(
-        starts,
-        lambda s: F.aggregate(
-            F.transform(s, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(s, i + 1) - x, F.lit(WINDOW)))),
-            F.lit(0).cast("long"),
-            lambda acc, x: acc + x,
-        ),
-    )
-    return F.when(
-        F.size(hashes) <= WINDOW, F.lit(0).cast("long")
-    ).otherwise(with_let(wins, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(covered)))
+    def with_bits(m: Column) -> Column:
+        bits = [F.when(c, F.lit(1 << RULES[r])).otherwise(F.lit(0)) for r, c in _fails(m).items()]
+        return F.struct(*[m[x].alias(x) for x in MEASURES], sum(bits[1:], bits[0]).cast("long").alias("fail_bits"))
+
+    return _let(_let(F.coalesce(text, F.lit("")), measured), with_bits)
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, the measurements, ``base_failed`` and ``fail_bits`` of every row."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    one = docs.select(*keep, t.alias("_t"))
-    one = one.select(*keep, "_t", _words(F.col("_t")).alias("_w"), _lines(F.col("_t")).alias("_l"))
-    one = one.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    long = lambda c: c.cast("long")
-    made = one.select(
-        *keep,
-        long(F.size("_w")).alias("n_words"),
-        long(F.length(F.translate("_t", SPACE, ""))).alias("word_chars"),
-        long(F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("n_symbols"),
-        long(F.size("_l")).alias("n_lines"),
-        long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-        _repeat_words(F.col("_h")).alias("n_repeat_words"),
-        long(F.length("_t") - F.length(F.regexp_replace("_t", r"\p{Lu}", ""))).alias("n_upper"),
-    )
-    fails = {
-        "few_words": F.col("n_words") < 20,
-        "repeats": 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
-        "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
-        "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
-        "dup_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
-        "upper_case": 2 * F.col("n_upper") > F.col("word_chars"),
-    }
-    bits = sum((F.when(c, F.lit(1 << RULES[r])).otherwise(F.lit(0)).cast("long") for r, c in fails.items()), F.lit(0).cast("long"))
-    return made.withColumn("fail_bits", bits).withColumn("base_failed", F.col("fail_bits").bitwiseAND(mask("base")) != 0)
+    """``keep`` columns, the measurements, ``fail_bits`` and ``base_failed`` of every row."""
+    rows = docs.select(*keep, F.inline(F.array(judged(F.col(text)))))
+    return rows.withColumn("base_failed", F.col("fail_bits").bitwiseAND(mask("base")) != 0)
 
 
 def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
@@ -124,10 +139,7 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 def filter_quality(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their columns."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("text"))
-    kept = apply_policy(ledger(packed, keep=("_row",)), policy).filter("kept")
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])
+    return docs.filter(judged(F.col("text"))["fail_bits"].bitwiseAND(mask(policy)) == 0)
 
 
 SQL = r"""
