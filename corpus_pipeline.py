@@ -23,9 +23,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_table(docs)
     text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
     gone = (F.col("n_dropped") > 0) & (F.length(F.trim(F.col("kept_text"), F.lit(line_dedup.SPACE))) == 0)
-    out = out.filter(~gone).withColumn("text", text)
-    out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    chars = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    row = F.struct(*[{"text": text, "n_chars": chars}.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    # a generator, so that the lines are put together once and not again in a filter
+    return out.select(F.inline(F.when(gone, F.slice(F.array(row), 1, 0)).otherwise(F.array(row))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
