@@ -1,0 +1,114 @@
+"""Fields of lines that no pack claims: what a key means, and roles filled from pairs and text.
+
+A key's meaning depends on its name alone, so distinct keys are judged once on the driver and joined back; there are few.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sentrylake.functions import text as tx
+
+THRESHOLD = 0.7
+
+# Words that tell a side, an address, a port, or that a key is about something else.
+SOURCE = {"src", "source", "client", "orig", "origin", "originator", "sender", "attacker", "initiator", "from", "s", "c", "caller"}
+TARGET = {"dst", "dest", "destination", "server", "resp", "responder", "target", "recipient", "victim", "to", "d", "callee"}
+ADDRESS = {"ip", "addr", "address", "ipaddr", "ipaddress", "ipv4", "ipv6", "host"}
+PORT = {"port", "pt"}
+OTHER = {
+    "nat", "xlate", "translated", "mapped", "post", "pre", "mac", "zone", "if", "intf", "interface", "iface", "country", "loc", "location", "geo", "asn", "name", "user", "vlan", "bytes",
+    "packets", "pkts", "mask", "net", "subnet", "gateway", "gw", "management", "mgmt",
+}
+EXACT = {
+    "src_ip": ("src", "srcip", "src_ip", "saddr", "sourceaddress", "id.orig_h"),
+    "dst_ip": ("dst", "dstip", "dst_ip", "daddr", "destinationaddress", "id.resp_h"),
+    "src_port": ("spt", "sport", "srcport", "src_port", "sourceport", "id.orig_p"),
+    "dst_port": ("dpt", "dport", "dstport", "dst_port", "destinationport", "id.resp_p"),
+    "protocol": ("proto", "protocol", "ipproto", "ip_proto", "transport"),
+    "action": ("act", "action", "disposition", "decision", "verdict", "fw_action", "policy_action"),
+    "user": ("suser", "user", "username", "usrname", "user_name", "login", "account", "duser"),
+    "time": ("rt", "timestamp", "time", "ts", "datetime", "date_time", "eventtime", "event_time", "start_time", "starttime", "start", "devtime", "logtime", "generated_time"),
+    "severity": ("severity", "sev", "level", "priority"),
+    "signature": ("signature", "sig", "attack", "attack_type", "attack_name", "threat", "threat_name", "threatname", "virus", "virus_name", "malware", "ids_signature"),
+}
+WEAK_ACTION = {"status", "result", "outcome", "request_status", "info", "event_action", "fw_rule_action"}
+CHECKS = {
+    "src_ip": tx.as_ip, "dst_ip": tx.as_ip, "src_port": lambda v: tx.as_port(v).cast("string"), "dst_port": lambda v: tx.as_port(v).cast("string"), "protocol": tx.as_protocol, "action": tx.as_action,
+    "severity": tx.as_severity, "user": tx.as_user, "signature": tx.as_signature,
+}
+
+
+def _glued(word: str) -> list[str]:
+    """A word as known words put together, or itself."""
+    known = SOURCE | TARGET | ADDRESS | PORT | OTHER | {"proto", "time"}
+    long = {w for w in known if len(w) > 1}
+    best: dict[int, list[str]] = {0: []}
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            if start in best and word[start:end] in long and (end not in best or len(best[start]) + 1 < len(best[end])):
+                best[end] = [*best[start], word[start:end]]
+    return best.get(len(word), [word])
+
+
+@lru_cache(maxsize=4096)
+def key_words(key: str) -> tuple[str, ...]:
+    spaced = re.sub(r"(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])", " ", key)
+    return tuple(w for part in re.split(r"[\s_\-./:@\[\]]+", spaced.lower()) if part for w in ([part] if part in SOURCE | TARGET | ADDRESS | PORT | OTHER else _glued(part)))
+
+
+@lru_cache(maxsize=4096)
+def key_role(key: str) -> tuple[str, float] | None:
+    """(role, confidence) of a key's name."""
+    low = key.lower()
+    for role, names in EXACT.items():
+        if low in names:
+            return role, 0.95
+    if low in WEAK_ACTION:
+        return "action", 0.75
+    words = set(key_words(key))
+    side = "src" if words & SOURCE and not words & TARGET else "dst" if words & TARGET and not words & SOURCE else None
+    if side and not words & OTHER:
+        if words & PORT:
+            return f"{side}_port", 0.85
+        if words & ADDRESS:
+            return f"{side}_ip", 0.85
+    return None
+
+
+def roles(keys: DataFrame) -> DataFrame:
+    """(key, role, confidence) of the distinct keys that have a meaning; key names are vocabulary, not data."""
+    found = [(k, *r) for (k,) in keys.select("key").distinct().collect() if k is not None and (r := key_role(k))]
+    return keys.sparkSession.createDataFrame(found, "key string, role string, confidence double")
+
+
+def from_pairs(lines: DataFrame, key_map: str = "m", ident: str = "event_id") -> DataFrame:
+    """(ident, role, value): per role the valid value of greatest confidence; two different ones of nearly equal confidence
+    conflict, which costs 0.3, and what stays under THRESHOLD is not filled."""
+    pairs = lines.select(ident, F.explode(key_map).alias("key", "value")).filter(~F.trim("value").isin("", "-"))
+    offers = pairs.join(F.broadcast(roles(pairs)), "key")
+    value: Column = F.lit(None).cast("string")
+    for role, check in CHECKS.items():
+        value = F.when(F.col("role") == role, check(F.col("value"))).otherwise(value)
+    value = F.when(F.col("role") == "time", F.trim("value")).otherwise(value)
+    good = offers.withColumn("v", value).filter("v IS NOT NULL").groupBy(ident, "role", "v").agg(F.max("confidence").alias("c"))
+    ranked = good.groupBy(ident, "role").agg(F.reverse(F.array_sort(F.collect_list(F.struct("c", "v")))).alias("o"))
+    clash = (F.size("o") > 1) & (F.get("o", F.lit(0))["c"] - F.get("o", F.lit(1))["c"] < 0.05)
+    sure = F.get("o", F.lit(0))["c"] - F.when(clash, 0.3).otherwise(0.0)
+    return ranked.withColumn("confidence", sure).filter(F.col("confidence") >= THRESHOLD).select(ident, "role", F.get("o", F.lit(0))["v"].alias("value"), F.round("confidence", 2).alias("confidence"))
+
+
+def arrow(text: Column) -> Column:
+    """A struct of both ends of ``a:p -> b:p`` or ``from a:p to b:p``; null where neither is there."""
+    v4 = rf"({tx.IPV4})(?:[:/](\d{{1,5}}))?"
+    patterns = (rf"{v4}\s*(?:->|=>|→)\s*{v4}", rf"(?i)\bfrom\s+{v4}\s+to\s+{v4}")
+    out = F.lit(None)
+    for p in reversed(patterns):
+        parts = [F.nullif(F.regexp_extract(text, p, i), F.lit("")) for i in (1, 2, 3, 4)]
+        row = F.struct(*[c.alias(n) for c, n in zip(parts, ("src_ip", "src_port", "dst_ip", "dst_port"), strict=True)])
+        out = F.when(text.rlike(p), row).otherwise(out)
+    return out
