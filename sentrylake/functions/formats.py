@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,11 +13,20 @@ LIST_KEYS = r"[A-Za-z_][\w.\-]*"
 KV = rf'({LIST_KEYS})=("(?:[^"\\]|\\.)*"|[^\s"]*)'
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f over a value that is computed once, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def last_wins(keys: Column, values: Column) -> Column:
     """A map of two arrays in which the last of equal keys stays."""
-    n = F.size(keys)
-    at = F.filter(F.transform(keys, lambda k, i: F.when(F.array_position(F.slice(keys, i + 2, n), k) == 0, i)), lambda i: i.isNotNull())
-    return F.map_from_arrays(F.transform(at, lambda i: F.get(keys, i)), F.transform(at, lambda i: F.get(values, i)))
+
+    def of(kv: Column) -> Column:
+        n = F.size(kv["k"])
+        rows = F.transform(kv["k"], lambda k, i: F.struct(k.alias("key"), F.get(kv["v"], i).alias("value"), F.array_contains(F.slice(kv["k"], i + 2, n), k).alias("again")))
+        return F.map_from_entries(F.transform(F.filter(rows, lambda r: ~r["again"]), lambda r: F.struct(r["key"], r["value"])))
+
+    return let(F.struct(keys.alias("k"), values.alias("v")), of)
 
 
 def kv(text: Column, least: int = 1) -> Column:

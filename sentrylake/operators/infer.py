@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.functions import text as tx
+from sentrylake.functions.formats import let
 
 THRESHOLD = 0.7
 
@@ -93,7 +94,7 @@ def from_pairs(lines: DataFrame, key_map: str = "m", ident: str = "event_id") ->
     offers = pairs.join(F.broadcast(roles(pairs)), "key")
     value: Column = F.lit(None).cast("string")
     for role, check in CHECKS.items():
-        value = F.when(F.col("role") == role, check(F.col("value"))).otherwise(value)
+        value = F.when(F.col("role") == role, let(F.col("value"), check)).otherwise(value)
     value = F.when(F.col("role") == "time", F.trim("value")).otherwise(value)
     good = offers.withColumn("v", value).filter("v IS NOT NULL").groupBy(ident, "role", "v").agg(F.max("confidence").alias("c"))
     ranked = good.groupBy(ident, "role").agg(F.reverse(F.array_sort(F.collect_list(F.struct("c", "v")))).alias("o"))

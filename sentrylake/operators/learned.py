@@ -105,23 +105,28 @@ def learn(lines: DataFrame, name: str) -> Spec:
 def score(spec: Spec, line: Column) -> Column:
     """Of how sure the line is of the format: the share of its keys, or 1 for its template; null under 80 %."""
     if spec.kind == "kv":
-        m = fm.kv(line)
-        share = F.size(F.array_intersect(F.map_keys(m), F.array(*map(F.lit, spec.keys)))) / F.lit(float(max(1, len(spec.keys))))
-        return F.when(share >= 0.8, share)
+        there = F.array_intersect(F.regexp_extract_all(line, F.lit(fm.KV), F.lit(1)), F.array(*map(F.lit, spec.keys)))
+        return fm.let(F.size(there) / F.lit(float(max(1, len(spec.keys)))), lambda share: F.when(share >= 0.8, share))
     return F.when(line.rlike(template_regex(spec.template)[0]), F.lit(1.0))
 
 
 def apply(spec: Spec, line: Column) -> Column:
     """A struct of the spec's roles; a template with two impossible values is not its format."""
-    values: dict[str, Column] = {}
-    m = fm.kv(line)
     pattern = template_regex(spec.template)[0] if spec.kind == "text" else ""
-    for s in spec.slots:
-        raw = F.try_element_at(m, F.lit(s.at)) if spec.kind == "kv" else F.regexp_extract(line, pattern, int(s.at) + 1)
-        values[s.role] = CHECKS[s.role](raw) if s.role in CHECKS else raw
-    row = F.struct(*[values.get(r, F.lit(None).cast("string")).alias(r) for r in (*CHECKS, "time")])
-    odd = sum((F.when(v.isNull(), 1).otherwise(0) for v in values.values()), F.lit(0))
-    return F.when(score(spec, line).isNotNull() & ((F.lit(spec.kind) == "kv") | (odd < 2)), row)
+    source = fm.kv(line) if spec.kind == "kv" else F.array(*[F.regexp_extract(line, pattern, i + 1) for i in range(len(template_regex(spec.template)[1]))])
+
+    def read(m: Column) -> Column:
+        values = {}
+        for s in spec.slots:
+            raw = F.try_element_at(m, F.lit(s.at)) if spec.kind == "kv" else F.get(m, F.lit(int(s.at)))
+            values[s.role] = fm.let(raw, CHECKS[s.role]) if s.role in CHECKS else raw
+        return F.struct(*[values.get(r, F.lit(None).cast("string")).alias(r) for r in (*CHECKS, "time")])
+
+    def whole(row: Column) -> Column:
+        odd = sum((F.when(row[s.role].isNull(), 1).otherwise(0) for s in spec.slots), F.lit(0))
+        return row if spec.kind == "kv" else F.when(odd < 2, row)
+
+    return F.when(score(spec, line).isNotNull(), fm.let(fm.let(source, read), whole))
 
 
 def best_match(specs: list[Spec], line: Column) -> Column:
