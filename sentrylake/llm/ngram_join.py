@@ -386,7 +386,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sizes = shared.save(sizes.select("root", cut.alias("chunks")), "sizes")
     chunk = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
     member = shared.save(member.join(sizes, "root").select("root", "sid", "copies", F.col("first_id").alias("doc_id"), "chunks", chunk.alias("chunk")), "members")
-    both = member.join(named, "doc_id").select("root", "sid", "copies", "chunk", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    # the texts are dealt by doc_id at every size: whether the members fit a broadcast says nothing about the next table
+    both = member.join(named.hint("merge"), "doc_id").select("root", "sid", "copies", "chunk", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     groups = both.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sid", "copies", "text")
     found = shared.save(verify(groups, size, t), "found")
     linked = found.filter("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
