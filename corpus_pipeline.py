@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_join.join(docs, size=SHINGLE, percent=SIMILAR)
     later = groups.filter("doc_id <> component_id").select("doc_id")
     later = Shared(spark, "later").save(later, "later")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    # dealt by doc_id at every size, as in the join itself
+    return docs.join(later.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
