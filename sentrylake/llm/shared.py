@@ -65,6 +65,7 @@ class Shared:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
+        self.spark._jvm.System.gc()  # the lineage ends here: what its shuffles left on disk goes when the driver collects it
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out

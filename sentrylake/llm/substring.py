@@ -325,6 +325,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int =
     marks = shared.save(marked(distinct, window), "marks")
     first = distinct.select("s1", "s2", at.alias("first")).join(marks, ["s1", "s2"])
     first = shared.save(first, "first")
+    shared.drop(distinct, marks, kept)
     spans = cut.select("s1", "s2", "doc_id", "start", (F.size("words") - window + 1).alias("n")).join(first, ["s1", "s2"])
     flags = F.when(F.struct("doc_id", "start") == F.col("first"), F.col("repeats")).otherwise(F.array_repeat(F.lit(True), F.col("n")))
     places = F.filter(F.transform(flags, lambda f, i: F.when(f, F.col("start") + i)), lambda x: x.isNotNull())
