@@ -27,7 +27,7 @@ from .shared import Shared, ship
 from .words import byte_texts, grams, hash_words, mix, signed, slices
 
 WINDOW, GRAM = 20, 8
-HEAVY = 256
+HEAVY = 2048
 #: Words that one index holds, about.
 SHARD_WORDS = 1 << 18
 
