@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,8 +65,15 @@ class Shared:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        self.spark._jvm.System.gc()  # the lineage ends here: what its shuffles left on disk goes when the driver collects it
+        # the lineage ends here, so what this write shuffles may go when it is done
+        before = self.spark.conf.get(_CLEAN, None)
+        if before is not None:
+            self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is not None:
+                self.spark.conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
