@@ -1,12 +1,19 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores from a weighted backoff model of words.
 
-Counts over all training documents give a backed-off model of words: an n-gram is an arc when its share of the training
-tokens is at least TAU, so there are at most 1 / TAU arcs of each order whatever the corpus, and the automaton may be
-broadcast. States are the contexts that have arcs; a state's failure arc leads to its longest proper suffix that is a
-state, at the cost of the backoff weight. A text is read once from left to right, carrying the state.
+Counts over all training documents give a backed-off model: an n-gram that occurs LEAST times or more is an arc, at every
+size of the corpus, so the model grows with it and stays in written tables. At the empty context it is the unigram model with
+ADD added to every count and one unknown word. Backing off from u v to v costs the backoff weight of u v, and so on down.
 
-At the empty context the model is the unigram model with ADD added to every count and one unknown word. Words that are too
-rare for an arc get their exact count by a join on their hash, outside the automaton; they leave the empty state behind.
+The log10 probability of a text is a sum of one weight per n-gram in it, none for n-grams that are not arcs:
+
+- a word w: its unigram probability, and the backoff weight of w (the next token starts by backing off);
+- an arc v w: its probability over that of w, less the backoff weight of v, and the backoff weight of v w;
+- an arc u v w: its probability over that of v w, less the backoff weight of u v.
+
+That holds as the parts of an arc are arcs. So scoring is one join of the distinct n-grams of each chunk of texts with the table
+of weights; the answers are added up beside the texts of the chunk. A run of three words is counted and asked for only where
+both its pairs are arcs, as no other can be one; each chunk is told which of its pairs are. ``train`` makes the same model as an automaton in memory,
+with arcs by their share of the tokens; it is what small examples are compared with, the query does not use it.
 
 Words are as in ``words`` with A-Z lower-cased, and every text ends with one end token, a null or empty text being that
 token alone. Without training rows all probabilities are one. Every row is scored by itself, also when ids repeat.
@@ -22,13 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Shared, ship
-from .words import byte_texts, hash_words, signed, slices
+from .words import byte_texts, hash_words, mix, signed, slices
 
+#: An n-gram is an arc from this count on.
+LEAST = 2
 TAU, ORDER, ADD, DISCOUNT = 2e-6, 3, 0.1, 0.5
 #: not the hash of any word, as no word holds a space
 END = np.uint64(0x9D39247E33776D41)
 _BITS = 20
 _ROOM = 1 << 21
+#: Bytes of text in a chunk
+_CHUNK = 4 << 20
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,56 +240,211 @@ def train(docs: DataFrame, shared: Shared, order: int = ORDER, tau: float = TAU)
     return Automaton(vocabulary, arcs, n_tokens, n_words), words
 
 
-def score(docs: DataFrame, model: Automaton, words: DataFrame, shared: Shared, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    ship(spark)
-    sent = spark.sparkContext.broadcast(model)
-    one = docs.select(*keep, "text")
-    fields = ", ".join(f"`{c}` {t}" for c, t in one.dtypes if c in keep)
+def pair(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of the n-gram whose first n - 1 words have the key ``context`` and whose last ones have ``suffix``."""
+    return mix(mix(context + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + suffix)
+
+
+def keys(h: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order the keys of the n-grams of all texts, and the place of each one's last token. A word's key is its hash."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    made, at = [h], [np.arange(len(h))]
+    for n in range(2, ORDER + 1):
+        last = np.flatnonzero(text[n - 1 :] == text[: max(len(h) - n + 1, 0)]) + n - 1
+        whole = np.zeros(len(h), np.uint64)
+        whole[at[-1]] = made[-1]
+        made.append(pair(whole[last - 1], whole[last]))
+        at.append(last)
+    return made, at
+
+
+def _parts(made: list[np.ndarray], at: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of context and suffix of the n-grams of order n; a word is the suffix of the context 0."""
+    if n == 1:
+        return np.zeros(len(made[0]), np.uint64), made[0]
+    whole = np.zeros(len(made[0]), np.uint64)
+    whole[at[n - 2]] = made[n - 2]
+    return whole[at[n - 1] - 1], whole[at[n - 1]]
+
+
+def _counts(docs: DataFrame) -> DataFrame:
+    """(k, ctx, suf, c): how often words, all of them, and pairs from LEAST on occur; context and suffix as in _parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in batches:
             for part in slices(batch):
-                h, counts = tokens(byte_texts(part.column("text")))
-                ids = m.vocabulary.ids(h)
-                ends = np.cumsum(counts)
-                starts = ends - counts
-                known = ids >= 0
-                value = np.where(known, m.unigram[np.maximum(ids, 0)] if len(m.unigram) else 0.0, 0.0)
-                base = np.add.reduceat(value, starts)
-                listed = ids.tolist()
-                scores = [m.score(listed[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                rare, sizes = signed(h[~known]), counts - np.add.reduceat(known.astype(np.int64), starts)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in keep], pa.array(counts), pa.array(counts - sizes), pa.array(base), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(rare))],
-                    names=[*keep, "n_tokens", "known", "base", "score", "rare"],
-                )
-
-    made = one.mapInArrow(run, f"{fields}, n_tokens long, known long, base double, score double, rare array<long>")
-    made = shared.save(made.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    seen = made.select("_row", F.explode("rare").alias("k")).join(words, "k", "left")
-    c = F.coalesce("c", F.lit(0))
-    rest = seen.groupBy("_row").agg(
-        F.sum(F.log10((c + F.lit(ADD)) / F.lit(model.below))).alias("rest"), F.count_if(c > 0).alias("more")
-    )
-    out = made.drop("rare").join(rest, "_row", "left")
-    extra = F.coalesce("rest", F.lit(0.0))
-    return out.select(
-        *keep,
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"),
-        (F.col("score") + extra).alias("score"),
-    )
+                made, at = keys(*tokens(byte_texts(part.column("text"))))
+                for n in (1, 2):
+                    ctx, suf = _parts(made, at, n)
+                    _, first, c = np.unique(made[n - 1], return_index=True, return_counts=True)
+                    for i in range(0, len(c), 1 << 18):
+                        to = slice(i, i + (1 << 18))
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in (ctx[first[to]], suf[first[to]], c[to])], names=["ctx", "suf", "c"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, suf = (b.column(x).to_numpy().view(np.uint64) for x in ("ctx", "suf"))
+            k = np.where(ctx == 0, suf, pair(ctx, suf))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(k)), *b.columns], names=["k", *b.schema.names])
+
+    summed = docs.select("text").mapInArrow(run, "ctx long, suf long, c long").groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
+    return summed.filter((F.col("ctx") == 0) | (F.col("c") >= LEAST)).mapInArrow(keyed, "k long, ctx long, suf long, c long")
+
+
+def learn(few: DataFrame, triples: DataFrame, n_tokens: int, n_words: int, shared: Shared) -> DataFrame:
+    """The table (k, a, base) of weights of words and pairs as in _counts, and of arcs (k, ctx, suf, c) of three words.
+
+    ``base`` is a word's unigram log10 probability, and null for longer n-grams.
+    """
+    words = few.filter("ctx = 0").select("k", "c")
+    below = F.lit(float(n_tokens + ADD * (n_words + 1)))
+
+    def backoffs(arcs: DataFrame) -> DataFrame:
+        """(ctx, b): what is left of a context over what is left of the shorter one."""
+        left = lambda p: F.greatest(1 - F.sum(p), F.lit(1e-12))
+        return arcs.groupBy("ctx").agg(F.log10(left("p") / left("lower")).alias("b"))
+
+    def probable(arcs: DataFrame, shorter: DataFrame, lower: Column) -> DataFrame:
+        """Arcs with p, and the probability of their last word in the shorter context."""
+        of_ctx = shorter.select(F.col("k").alias("ctx"), F.col("c").alias("c_ctx"))
+        of_suf = shorter.select(F.col("k").alias("suf"), lower.alias("lower"))
+        both = arcs.join(of_ctx, "ctx").join(of_suf, "suf")
+        return both.select("k", "ctx", "c", ((F.col("c") - DISCOUNT) / F.col("c_ctx")).alias("p"), "lower")
+
+    pairs = shared.save(probable(few.filter("ctx <> 0"), words, (F.col("c") + ADD) / below), "pairs")
+    triples = shared.save(probable(triples, pairs, F.col("p")), "probable")
+    after_one, after_two = shared.save(backoffs(pairs), "after-one"), shared.save(backoffs(triples), "after-two")
+    at = lambda b, key, name: b.select(F.col("ctx").alias(key), F.col("b").alias(name))
+    base = F.log10((F.col("c") + ADD) / below)
+    gain = F.log10(F.col("p") / F.col("lower")) - F.col("own")
+    one = words.join(at(after_one, "k", "next"), "k", "left").select("k", (base + F.coalesce("next", F.lit(0.0))).alias("a"), base.alias("base"))
+    two = pairs.join(at(after_one, "ctx", "own"), "ctx").join(at(after_two, "k", "next"), "k", "left")
+    two = two.select("k", (gain + F.coalesce("next", F.lit(0.0))).alias("a"), F.lit(None).cast("double").alias("base"))
+    three = triples.join(at(after_two, "ctx", "own"), "ctx").select("k", gain.alias("a"), F.lit(None).cast("double").alias("base"))
+    weights = shared.save(one.unionByName(two).unionByName(three), "weights")
+    shared.drop(pairs, triples, after_one, after_two)
+    return weights
+
+
+def _chunked(docs: DataFrame) -> DataFrame:
+    """The rows with ``_chunk``: neighbouring rows of about _CHUNK bytes of text have the same."""
+    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        held = 0
+        for batch in batches:
+            for part in slices(batch, limit=_CHUNK):
+                size = part.column("text").nbytes
+                if held and held + size > _CHUNK:
+                    chunk, held = chunk + 1, 0
+                held += size
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, chunk))], names=[*part.schema.names, "_chunk"])
+
+    return docs.mapInArrow(run, f"{fields}, _chunk long")
+
+
+def _asked(chunks: DataFrame) -> DataFrame:
+    """(_chunk, k): the distinct words and pairs of each chunk, more than once where its rows do not come in one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now, size = None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k = np.unique(np.concatenate(held))
+            for i in range(0, len(k), 1 << 18):
+                part = signed(k[i : i + (1 << 18)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now)), pa.array(part)], names=["_chunk", "k"])
+
+        for batch in batches:
+            number = batch.column("_chunk").to_numpy()
+            cuts = np.flatnonzero(number[1:] != number[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True):
+                if a == b:
+                    continue
+                for part in slices(batch.slice(a, b - a)):
+                    if held and (number[a] != now or size > _ROOM):
+                        yield from flush()
+                        held, size = [], 0
+                    now = number[a]
+                    held.append(np.unique(np.concatenate(keys(*tokens(byte_texts(part.column("text"))))[0][:2])))
+                    size += len(held[-1])
+        if held:
+            yield from flush()
+
+    return chunks.select("_chunk", "text").mapInArrow(run, "_chunk long, k long")
+
+
+def _found(k: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``asked`` in the sorted keys, and which are there."""
+    if not len(k):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(k, asked), len(k) - 1)
+    return at, k[at] == asked
+
+
+def _triples(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(_chunk, k, ctx, suf, c): runs of three words whose pairs are arcs, and how often the chunk's training rows have them."""
+
+    def run(found: pa.Table, rows: pa.Table) -> pa.Table:
+        h, counts = tokens(byte_texts(rows.column("text").combine_chunks()))
+        made, at = keys(h, counts)
+        arc = np.zeros(len(h), bool)
+        arc[at[1]] = _found(np.sort(found.column("k").to_numpy()), signed(made[1]))[1]
+        ok = arc[at[2]] & arc[at[2] - 1]
+        ctx, suf = (x[ok] for x in _parts(made, at, 3))
+        learned = np.repeat(~rows.column("held_out").fill_null(True).to_numpy(), counts)[at[2][ok]]
+        k, first, which = np.unique(made[2][ok], return_index=True, return_inverse=True)
+        c = np.bincount(which, learned, len(k)).astype(np.int64)
+        number = np.full(len(k), rows.column("_chunk")[0].as_py())
+        return pa.Table.from_arrays([pa.array(number), *[pa.array(signed(x)) for x in (k, ctx[first], suf[first], c)]], names=["_chunk", "k", "ctx", "suf", "c"])
+
+    both = hits.groupBy("_chunk").cogroup(chunks.select("_chunk", "held_out", "text").groupBy("_chunk"))
+    return both.applyInArrow(run, "_chunk long, k long, ctx long, suf long, c long")
+
+
+def _score(chunks: DataFrame, answers: DataFrame, n_tokens: int, unknown: float, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of every row."""
+    fields = ", ".join(f"`{c}` {t}" for c, t in chunks.select(*keep).dtypes)
+
+    def run(found: pa.Table, rows: pa.Table) -> pa.Table:
+        k = found.column("k").to_numpy()
+        order = np.argsort(k)
+        k, a, base = k[order], found.column("a").to_numpy()[order], found.column("base").to_numpy()[order]
+        h, counts = tokens(byte_texts(rows.column("text").combine_chunks()))
+        starts = np.cumsum(counts) - counts
+        total, below, known = np.zeros(len(h)), np.full(len(h), unknown), np.zeros(len(h), bool)
+        for n, (key, last) in enumerate(zip(*keys(h, counts), strict=True), 1):
+            at, hit = _found(k, signed(key))
+            if n == 1:
+                known = hit
+                below[hit] = base[at[hit]]
+                total[~hit] = unknown
+            total[last[hit]] += a[at[hit]]
+        made = [pa.array(x) for x in (counts, np.add.reduceat(known.astype(np.int64), starts), np.full(len(counts), n_tokens), np.add.reduceat(below, starts), np.add.reduceat(total, starts))]
+        return pa.Table.from_arrays([*[rows.column(c) for c in keep], *made], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return answers.groupBy("_chunk").cogroup(chunks.groupBy("_chunk")).applyInArrow(run, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_table(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Learn from the rows that are not held out and score all; ``held_out`` is carried along."""
+    ship(docs.sparkSession)
     shared = Shared(docs.sparkSession, "lm")
-    model, words = train(docs.filter(~held_out), shared)
-    return score(docs.withColumn("held_out", held_out), model, words, shared, keep=(*keep, "held_out"))
-
+    chunks = shared.save(_chunked(docs.select(*keep, held_out.alias("held_out"), "text")), "chunks")
+    few = shared.save(_counts(chunks.filter(~F.col("held_out"))), "words-and-pairs")
+    n_tokens, n_words = few.filter("ctx = 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # written tables, so both sides are dealt by key; a chunk asks for a key about once, so none is hot
+    hits = shared.save(_asked(chunks).join(few.select("k").hint("merge"), "k").select("_chunk", "k"), "hits")
+    triples = shared.save(_triples(hits, chunks), "triples")
+    arcs = shared.save(triples.groupBy("k", "ctx", "suf").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST), "arcs")
+    weights = learn(few, arcs, n_tokens, n_words, shared)
+    shared.drop(few, arcs)
+    asked = hits.unionByName(triples.select("_chunk", "k"))
+    answers = shared.save(asked.join(weights.hint("merge"), "k").select("_chunk", "k", "a", "base"), "answers")
+    shared.drop(hits, triples, weights)
+    unknown = float(np.log10(ADD / (n_tokens + ADD * (n_words + 1))))
+    return _score(chunks, answers, n_tokens, unknown, (*keep, "held_out"))

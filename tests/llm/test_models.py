@@ -92,3 +92,18 @@ def test_code_lengths_are_probabilities():
     both = trees.code_lengths(x, np.array([0, 2]))
     one = [trees.code_lengths(np.frombuffer(t, np.uint8), np.array([0]))[:, 0] for t in (b"ab", b"hello")]
     assert np.allclose(both, np.stack(one, 1))
+
+
+def test_arcs_do_not_depend_on_the_size_of_the_corpus(spark):
+    # 1.2 million tokens: a share of 2e-6 of them is more than the two times that "left right turn" occurs
+    texts = ["a " * 40000] * 30 + ["left right turn"] * 2 + ["left right turn a a neverseen right turn a", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") >= 32
+    got = {r.doc_id: r for r in lm.score_table(docs, held).collect()}
+    assert got[32].train_tokens == 30 * 40001 + 8
+    model, _ = lm.train(docs.filter(~held), Shared(spark, "lm-test"), tau=1e-9)
+    unknown = math.log10(lm.ADD / model.below)
+    for i, t in enumerate(texts):
+        ids = model.vocabulary.ids(lm.tokens([t.encode() if t else None])[0]).tolist()
+        assert got[i].score == pytest.approx(model.score(ids) + unknown * ids.count(-1), rel=1e-9)
+    assert got[30].score > -16
