@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens follow the target weights of sources, languages and topics."""
+    """A sample whose tokens follow the target weights of sources, languages and topics; documents of rare cells are repeated."""
     return mixing.sample(docs)
 
 

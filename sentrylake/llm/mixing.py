@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting (DataFrame functions only).
 
 Documents are summed to cells of source x language x topic. Raking scales the cells in turn until the token shares of the
-three marginals are the targets; a document's sampling probability follows from its cell and a fixed hash of its id
-decides. The cells are as many as the named categories allow, whatever the corpus: a value without a target of its own
+three marginals are the targets. A document is due ``expected`` times, as its cell's weight says: as often as the whole part
+says, and once more where a fixed hash of its id is under the fraction. So the sample's tokens follow the targets, rare cells
+being repeated instead of the frequent ones being thrown away down to them. The cells are as many as the named categories allow, whatever the corpus: a value without a target of its own
 falls in the category ``other``, so the table of cells that the raking loop holds has a size bound given by ``targets``.
 
 Null source, language or text count as ``other``, ``other`` and 0 words. A document without words is kept (it weighs
@@ -27,7 +28,7 @@ TARGETS: dict[str, dict[str, float]] = {
     "topic": {"list": 0.30, "prose": 0.65, "short": 0.05},
 }
 ROUNDS = 25
-#: Share of the tokens that the sample may keep at most where every probability is one.
+#: Tokens of the sample, repeats counted, as a share of the tokens.
 BUDGET = 0.9
 
 
@@ -100,27 +101,15 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS,
     return out.select(*AXES, "tokens", (F.col("w") / F.col("tokens")).alias("weight"))
 
 
-def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``p``: min(1, weight * scale), with the largest scale whose expected tokens stay within the budget share.
+def repeats(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """``expected``: how often a document of the cell is due, weight times the one scale that spends the budget.
 
-    The scale is found exactly: with cells in descending weight, the first ones are taken whole and the rest in
-    proportion; the right split is where the implied scale leaves the next weight under one.
+    ``p`` is the probability that it is in the sample at all.
     """
-    one = raked.agg(F.reverse(F.array_sort(F.collect_list(F.struct("weight", "tokens", *AXES)))).alias("c"))
-    total = F.aggregate("c", F.lit(0.0), lambda a, x: a + x["tokens"])
-    splits = F.transform(
-        F.sequence(F.lit(0), F.size("c") - 1),
-        lambda k: F.struct(
-            ((F.lit(budget) * F.col("t") - F.aggregate(F.slice("c", F.lit(1), k), F.lit(0.0), lambda a, x: a + x["tokens"]))
-             / F.aggregate(F.slice("c", k + 1, F.size("c")), F.lit(0.0), lambda a, x: a + x["tokens"] * x["weight"])).alias("scale"),
-            F.element_at("c", k + 1)["weight"].alias("next"),
-        ),
-    )
-    whole = one.filter(F.size("c") > 0).withColumn("t", total).withColumn("s", splits)
-    fits = F.filter("s", lambda x: x["scale"] * x["next"] <= 1.0)
-    scale = F.coalesce(F.get(fits, F.lit(0))["scale"], F.lit(1e300))
-    cells = whole.withColumn("scale", scale).select("scale", F.inline("c"))
-    return cells.select(*AXES, "tokens", "weight", F.least(F.lit(1.0), F.col("weight") * F.col("scale")).alias("p"))
+    one = raked.agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("weight")).alias("w"), F.collect_list(F.struct(*AXES, "tokens", "weight")).alias("c"))
+    cells = one.select((F.lit(budget) * F.col("t") / F.col("w")).alias("scale"), F.inline("c"))
+    expected = F.col("weight") * F.col("scale")
+    return cells.select(*AXES, "tokens", "weight", expected.alias("expected"), F.least(F.lit(1.0), expected).alias("p"))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -129,24 +118,26 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = 5, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every row with its cell, ``n_tokens``, ``weight``, ``p`` and ``sampled``.
+    """Every row with its cell, ``n_tokens``, ``weight``, ``p``, ``expected``, ``copies`` and ``sampled`` (any copies).
 
     The raked table has at most one row per combination of the targets' categories, so it is broadcast.
     """
     cats = categorise(docs, targets)
     base = docs.select(*carry, *[c.alias(f"_{a}") for a, c in cats.items()], token_count(F.col("text")).alias("n_tokens"))
     cells = base.groupBy(*[F.col(f"_{a}").alias(a) for a in AXES]).agg(F.sum("n_tokens").alias("tokens"))
-    probs = probabilities(rake(cells, targets), budget).drop("tokens")
-    probs = probs.select(*[F.col(a).alias(f"_{a}") for a in AXES], "weight", "p")
+    probs = repeats(rake(cells, targets), budget).drop("tokens")
+    probs = probs.select(*[F.col(a).alias(f"_{a}") for a in AXES], "weight", "p", "expected")
     joined = base.join(F.broadcast(probs), [f"_{a}" for a in AXES], "left")
-    p = F.coalesce("p", F.lit(1.0))
-    out = joined.withColumn("p", p).withColumn("sampled", uniform(F.col(carry[0]) if carry[0] != "_row" else F.col("_row.doc_id"), seed) < F.col("p"))
-    return out
+    joined = joined.withColumn("p", F.coalesce("p", F.lit(1.0))).withColumn("expected", F.coalesce("expected", F.lit(1.0)))
+    whole = F.floor("expected")
+    once_more = uniform(F.col(carry[0]) if carry[0] != "_row" else F.col("_row.doc_id"), seed) < F.col("expected") - whole
+    return joined.withColumn("copies", whole + once_more.cast("long")).withColumn("sampled", F.col("copies") > 0)
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the mix keeps, with their columns."""
+    """The rows of ``docs`` that the mix keeps, each as often as its copies say, with their columns."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "source", "lang", "text")
     kept = mix(packed, carry=("_row",), **how).filter("sampled")
+    kept = kept.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])

@@ -40,7 +40,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_docs(spark, sf_dir))
-    return out.select("doc_id", *[F.col(f"_{a}").alias(a) for a in mixing.AXES], "n_tokens", "weight", "p", "sampled")
+    return out.select("doc_id", *[F.col(f"_{a}").alias(a) for a in mixing.AXES], "n_tokens", "weight", "p", "expected", "copies", "sampled")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,21 @@ def test_mix_probabilities_and_budget(spark):
     assert {r.doc_id: r.sampled for r in out} == {r.doc_id: r.sampled for r in mixing.mix(docs).collect()}
     assert mixing.sample(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_sampled_tokens_follow_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = mixing.mix(docs).collect()
+    for axis in mixing.AXES:
+        have, due, got = {}, {}, {}
+        for r in out:
+            name = r[f"_{axis}"]
+            for sums, tokens in ((have, r.n_tokens), (due, r.n_tokens * r.expected), (got, r.n_tokens * r.copies)):
+                sums[name] = sums.get(name, 0) + tokens
+        reach = sum(mixing.TARGETS[axis][k] for k, v in have.items() if v)
+        for k in (k for k, v in have.items() if v):
+            assert abs(due[k] / sum(due.values()) - mixing.TARGETS[axis][k] / reach) < 1e-3
+            assert abs(got[k] / sum(got.values()) - mixing.TARGETS[axis][k] / reach) < 0.03
+    assert all(abs(r.copies - r.expected) < 1 and r.sampled == (r.copies > 0) for r in out if r.n_tokens)
+    rows = {r.doc_id: r["count"] for r in mixing.sample(docs).groupBy("doc_id").count().collect()}
+    assert rows == {r.doc_id: r.copies for r in out if r.copies}
