@@ -115,3 +115,23 @@ def test_learning_and_its_gates(spark):
         learned.approve(text, {"recognised": 1.0, "clean": 1.0})
     f = one(spark, "conn 10.0.0.5 to 198.51.100.77 allowed", learned.apply(text, F.col("t")))
     assert (f.src_ip, f.dst_ip, f.action) == ("10.0.0.5", "198.51.100.77", "allowed")
+
+
+def test_mask_query_reads_all_documents(spark, tmp_path):
+    import re
+
+    import __spark_entry__ as e
+
+    texts = [None, "", "plain words", 'said "hi 5" to \'me\'', "see http://a.b/c?d=1 and https://x", "10.0.0.1:80 or 1.2.3.4.5", "mac 00:1b:44:11:3A:b7 host a-1.example.org", "0xFF deadbeef1 beef 12 a1b", "line 1\nline 22"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+    rules = [(r"\"[^\"]*\"|'[^']*'", "<Q>"), (r"\b[a-z][a-z0-9+.-]*://\S+", "<URL>"), (rf"(?<![\d.]){octet}(?:\.{octet}){{3}}(?![\d.])", "<IP>"), (r"\b(?:[0-9a-f]{2}[:-]){5}[0-9a-f]{2}\b", "<MAC>"), (r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b", "<HOST>"), (r"\b0x[0-9a-f]+\b", "<HEX>"), (r"\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]+\b", "<X>"), (r"\d+", "<N>")]
+
+    def masked(t):
+        for pattern, name in rules if t else []:
+            t = re.sub(pattern, name, t, flags=re.I | re.A)
+        return t
+
+    got = {r.doc_id: r.masked for r in e.queries()["fun_07_mask_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: masked(t) for i, t in enumerate(texts)}
+    assert all(any(f"<{m}>" in (v or "") for v in got.values()) for m in ("Q", "URL", "IP", "MAC", "HOST", "HEX", "X", "N"))
