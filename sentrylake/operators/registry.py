@@ -24,23 +24,53 @@ def merge_templates(templates: list[tuple[str, str, str, int]]) -> dict[str, str
     """format_id -> canonical id of (format_id, app, template, first_seen) rows, in order of their first time.
 
     Text templates of four words or more with equal app and length merge when at most one word differs and that word tells no
-    direction. The result depends on the order and merges stay, so formats, which are few, are merged on the driver.
+    direction. The result depends on the order and merges stay. Only entries that agree in one half of the words, but for
+    wildcards, can differ in one word at most, so entries are looked up by their halves.
     """
     canonical: dict[str, str] = {}
-    known: dict[tuple[str, int], list[list]] = {}
+    known: dict[tuple[str, int], tuple[list[list], list[dict]]] = {}
     for fid, app, template, _ in sorted(templates, key=lambda t: (t[3], t[0])):
         words = template.split(" ")
         canonical[fid] = fid
         if len(words) < 4:
             continue
-        group = known.setdefault((app, len(words)), [])
-        for entry in group:
+        group, halves = known.setdefault((app, len(words)), ([], [{}, {}]))
+        middle = len(words) // 2
+        spans = (range(middle), range(middle, len(words)))
+
+        def put(n: int) -> None:
+            for by_places, span in zip(halves, spans, strict=True):  # noqa: B023
+                fixed = tuple(i for i in span if group[n][1][i] != "<*>")  # noqa: B023
+                by_places.setdefault(fixed, {}).setdefault(tuple(group[n][1][i] for i in fixed), set()).add(n)  # noqa: B023
+
+        near = {n for by_places in halves for fixed, by_words in by_places.items() for n in by_words.get(tuple(words[i] for i in fixed), ())}
+        for n in sorted(near):
+            entry = group[n]
             apart = [i for i, (a, b) in enumerate(zip(entry[1], words, strict=True)) if a != b and a != "<*>"]
             if len(apart) <= 1 and not any(w.lower() in DIRECTION or w in DIRECTION for i in apart for w in (entry[1][i], words[i])):
                 for i in apart:
                     entry[1][i] = "<*>"
+                if apart:
+                    put(n)
                 canonical[fid] = entry[0]
                 break
         else:
             group.append([fid, words])
+            put(len(group) - 1)
     return canonical
+
+
+def merge_table(templates: DataFrame) -> DataFrame:
+    """(format_id, canonical_id) of rows (id, app, t, first): each group of equal app and number of words in one task, as the
+    result depends on the order in it."""
+    import pyarrow as pa
+
+    from sentrylake.llm.shared import ship
+
+    ship(templates.sparkSession)
+
+    def run(rows: pa.Table) -> pa.Table:
+        merged = merge_templates(list(zip(*[rows.column(c).to_pylist() for c in ("id", "app", "t", "first")], strict=True)))
+        return pa.table({"format_id": pa.array(list(merged), pa.string()), "canonical_id": pa.array(list(merged.values()), pa.string())})
+
+    return templates.groupBy("app", F.size(F.split("t", " ")).alias("words")).applyInArrow(run, "format_id string, canonical_id string")

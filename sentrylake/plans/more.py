@@ -197,12 +197,12 @@ def fun_16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fun_08_template_merge")
 def fun_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sentrylake.operators.registry import merge_templates
+    from sentrylake.operators.registry import merge_table
 
-    rows = table(spark, sf_dir, "documents").select(F.array_join(tx.mask_words(F.split(F.coalesce("text", F.lit("")), "\n")[0], 24), " ").alias("t"), "doc_id")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    rows = lines.select(F.array_join(tx.mask_words(F.col("line"), 24), " ").alias("t"), "doc_id")
     few = rows.groupBy("t").agg(F.min("doc_id").alias("first")).select(F.substring(F.sha1("t"), 1, 12).alias("id"), F.lit("").alias("app"), "t", "first")
-    merged = merge_templates([tuple(r) for r in few.collect()])
-    return spark.createDataFrame(list(merged.items()), "format_id string, canonical_id string")
+    return merge_table(few)
 
 
 @query("prj_19_32_packs", f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'fortinet_fortigate' WHEN 1 THEN 'suricata_eve' WHEN 2 THEN 'sonicwall_sonicos' ELSE 'checkpoint_log_exporter' END AS pack, src_ip, src_port, dst_ip, dst_port, protocol FROM ({EVENTS})")

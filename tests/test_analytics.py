@@ -176,3 +176,45 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_timeline_has_no_gaps(spark):
     df = spark.createDataFrame([(T0, "denied"), (T0 + 900000, "allowed")], "time long, disposition string")
     assert [(r.events, r.denied) for r in analytics.timeline(df, 300000).orderBy("slot").collect()] == [(1, 1), (0, 0), (0, 0), (1, 0)]
+
+
+def brute_merge(rows):
+    from sentrylake.operators.registry import DIRECTION
+
+    out, known = {}, []
+    for fid, app, template, _ in sorted(rows, key=lambda t: (t[3], t[0])):
+        words = template.split(" ")
+        out[fid] = fid
+        for entry in known if len(words) > 3 else []:
+            apart = [i for i, (a, b) in enumerate(zip(entry[2], words)) if a not in (b, "<*>")]
+            if entry[1] == (app, len(words)) and len(apart) < 2 and not any(w.lower() in DIRECTION or w in DIRECTION for i in apart for w in (entry[2][i], words[i])):
+                for i in apart:
+                    entry[2][i] = "<*>"
+                out[fid] = entry[0]
+                break
+        else:
+            if len(words) > 3:
+                known.append([fid, (app, len(words)), words])
+    return out
+
+
+def test_template_merging_equals_brute_force():
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"{i:04d}", rng.choice(["", "a"]), " ".join(rng.choice(["x", "y", "in", "z<N>"]) for _ in range(rng.randint(3, 7))), rng.randint(0, 300)) for i in range(600)]
+    assert merge_templates(rows) == brute_merge(rows)
+
+
+def test_templates_of_all_lines_are_merged(spark, tmp_path):
+    import __spark_entry__ as e
+
+    texts = ["head line of text\nuser 5 logged on here\nuser bob logged on here", None, "other\npass it inbound now", "pass it outbound now"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.format_id: r.canonical_id for r in e.queries()["fun_08_template_merge"](spark, str(tmp_path)).collect()}
+    seen = {}
+    for i, t in enumerate(texts):
+        for line in (t or "").split("\n"):
+            seen.setdefault(line.replace("5", "<N>").replace("pass ", "<ACTION> "), i)
+    rows = [(hashlib.sha1(t.encode()).hexdigest()[:12], "", t, i) for t, i in seen.items()]
+    assert got == brute_merge(rows) and len(got) == 7 and len(set(got.values())) == 6
