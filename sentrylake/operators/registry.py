@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that tell directions or verdicts apart, so templates that differ in one are different formats.
@@ -10,14 +10,25 @@ DIRECTION = frozenset(("inbound", "outbound", "in", "out", "from", "to", "src",
 
 
 def summarise(lines: DataFrame, samples: int = 200, top: int = 20) -> DataFrame:
-    """Per format_id: lines, mean confidence, first and last time, sources, and a bounded set of samples: the smallest
-    hashes, one heap of ``samples`` per task, so that no task holds a format's lines."""
+    """Per format_id: lines, mean confidence, first and last time, sources, the ``top`` sources by lines, and ``samples`` lines.
+
+    Samples are the distinct lines with the smallest hashes: the smallest of each of 64 salts, then of those the format's, so that
+    no task holds a format's lines.
+    """
     base = lines.groupBy("format_id").agg(
         F.count("*").alias("lines"), F.round(F.avg("confidence"), 2).alias("confidence"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"), F.count_distinct("source_id").alias("sources")
     )
-    few = lines.select("format_id", "line", F.xxhash64("line").alias("h")).filter(F.abs(F.col("h") % 64) == 0).groupBy("format_id", "line").agg(F.first("h").alias("h"))
-    kept = few.groupBy("format_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("h", "line"))), lambda x: x["line"]), 1, samples).alias("samples"))
-    return base.join(kept, "format_id", "left")
+
+    def smallest(rows: DataFrame, by: list, order: list, most: int) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= most).drop("rank")
+
+    few = lines.filter("line IS NOT NULL").select("format_id", "line").distinct().withColumn("h", F.xxhash64("line"))
+    few = smallest(few.withColumn("salt", F.pmod("h", F.lit(64))), ["format_id", "salt"], ["h", "line"], samples)
+    few = smallest(few, ["format_id"], ["h", "line"], samples)
+    kept = few.groupBy("format_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "line"))), lambda x: x["line"]).alias("samples"))
+    by_source = smallest(lines.groupBy("format_id", "source_id").agg(F.count("*").alias("n")), ["format_id"], [F.col("n").desc(), "source_id"], top)
+    first = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "source_id"))), lambda x: F.struct(x["source_id"].alias("source_id"), (-x["less"]).alias("lines")))
+    return base.join(kept, "format_id", "left").join(by_source.groupBy("format_id").agg(first.alias("top_sources")), "format_id", "left")
 
 
 def merge_templates(templates: list[tuple[str, str, str, int]]) -> dict[str, str]:

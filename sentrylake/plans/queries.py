@@ -447,13 +447,21 @@ def fun_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("class_uid", "format_id").agg(F.count("*").alias("lines"))
 
 
-@query("agg_14_format_registry", f"SELECT format_id, count(*) AS lines, round(avg(confidence), 2) AS confidence, min(time) AS first_seen, max(time) AS last_seen, count(DISTINCT source_id) AS sources FROM (SELECT *, substr(sha1(concat('kv| ||', parser_pack)), 1, 12) AS format_id, severity_id / 5 AS confidence FROM ({EVENTS})) GROUP BY 1")
-def agg_14(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sentrylake.operators.registry import summarise
 
     rows = events(spark, sf_dir).withColumn("format_id", tx.keyed_fingerprint(F.lit("kv"), F.lit(" "), F.lit(""), F.array(F.lower("parser_pack"))))
-    rows = rows.withColumn("confidence", F.col("severity_id") / 5).withColumn("line", F.col("raw_text"))
-    return summarise(rows).select("format_id", "lines", "confidence", "first_seen", "last_seen", "sources")
+    return summarise(rows.withColumn("confidence", F.col("severity_id") / 5).withColumn("line", F.col("raw_text")))
+
+
+@query("agg_14_format_registry", f"SELECT format_id, count(*) AS lines, round(avg(confidence), 2) AS confidence, min(time) AS first_seen, max(time) AS last_seen, count(DISTINCT source_id) AS sources FROM (SELECT *, substr(sha1(concat('kv| ||', parser_pack)), 1, 12) AS format_id, severity_id / 5 AS confidence FROM ({EVENTS})) GROUP BY 1")
+def agg_14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _registry(spark, sf_dir).select("format_id", "lines", "confidence", "first_seen", "last_seen", "sources")
+
+
+@query("agg_14_format_samples")
+def agg_14_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _registry(spark, sf_dir).select("format_id", "samples", "top_sources")
 
 
 @query("fun_10_time", f"SELECT event_id, time FROM ({EVENTS})")

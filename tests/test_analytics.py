@@ -218,3 +218,18 @@ def test_templates_of_all_lines_are_merged(spark, tmp_path):
             seen.setdefault(line.replace("5", "<N>").replace("pass ", "<ACTION> "), i)
     rows = [(hashlib.sha1(t.encode()).hexdigest()[:12], "", t, i) for t, i in seen.items()]
     assert got == brute_merge(rows) and len(got) == 7 and len(set(got.values())) == 6
+
+
+def test_registry_keeps_samples_of_small_and_large_formats(spark):
+    from sentrylake.operators.registry import summarise
+
+    rows = [("rare", f"line {i}", 1.0, i, 7) for i in (1, 2, 2)] + [("hot", f"text {i % 900}", 0.5, i, i % 30 if i % 2 else 4) for i in range(2000)]
+    lines = spark.createDataFrame(rows, "format_id string, line string, confidence double, time long, source_id long")
+    got = {r.format_id: r for r in summarise(lines).collect()}
+    assert sorted(got["rare"].samples) == ["line 1", "line 2"] and [tuple(x) for x in got["rare"].top_sources] == [(7, 3)]
+    hashes = {r.line: r.h for r in lines.filter("format_id = 'hot'").select("line", F.xxhash64("line").alias("h")).collect()}
+    assert got["hot"].samples == sorted(hashes, key=hashes.get)[:200]
+    counts = {}
+    for _, _, _, _, s in rows[3:]:
+        counts[s] = counts.get(s, 0) + 1
+    assert [tuple(x) for x in got["hot"].top_sources] == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]
