@@ -1,22 +1,23 @@
-"""Language-model scores from a weighted backoff model of words.
+"""Language-model scores from a weighted backoff automaton of words.
 
-Counts over all training documents give a backed-off model: an n-gram that occurs LEAST times or more is an arc, at every
-size of the corpus, so the model grows with it and stays in written tables. At the empty context it is the unigram model with
-ADD added to every count and one unknown word. Backing off from u v to v costs the backoff weight of u v, and so on down.
+The counts of all training documents give a smoothed model of n-grams of up to ORDER words; every n-gram that occurs is in
+it, at every size of the corpus. A context u v that occurs is a state. Its arc for w has the weight of
 
-The log10 probability of a text is a sum of one weight per n-gram in it, none for n-grams that are not arcs:
+    p(w | u v) = (c(u v w) + PRIOR * p(w | v)) / (c(u v) + PRIOR)
 
-- a word w: its unigram probability, and the backoff weight of w (the next token starts by backing off);
-- an arc v w: its probability over that of w, less the backoff weight of v, and the backoff weight of v w;
-- an arc u v w: its probability over that of v w, less the backoff weight of u v.
+if u v w occurs; for all other words its failure arc leads to the state v at the cost PRIOR / (c(u v) + PRIOR), which is the same
+formula with c(u v w) = 0. The empty context has ADD added to every count and one unknown word. So every weight is made from
+counts of n-grams that stand in the text itself, and the probabilities of a state sum to one.
 
-That holds as the parts of an arc are arcs. So scoring is one join of the distinct n-grams of each chunk of texts with the table
-of weights; the answers are added up beside the texts of the chunk. A run of three words is counted and asked for only where
-both its pairs are arcs, as no other can be one; each chunk is told which of its pairs are. ``train`` makes the same model as an automaton in memory,
-with arcs by their share of the tokens; it is what small examples are compared with, the query does not use it.
+The model is never in one place. Texts are written in chunks; a chunk sends the sorted hashes of its distinct n-grams, as gaps of
+few bytes, in one piece to each bucket of hashes, with their counts in its training rows. A bucket adds the counts up
+and answers each piece with the sums alone, in the order of its keys. With them a chunk has the part of the automaton that its texts
+can visit, and walks it from left to right: the state after each word is the longest context that occurs, known from the
+counts, so a step is taken for all places of a chunk at once.
 
 Words are as in ``words`` with A-Z lower-cased, and every text ends with one end token, a null or empty text being that
-token alone. Without training rows all probabilities are one. Every row is scored by itself, also when ids repeat.
+token alone. Without training rows all probabilities are one. Every row is scored by itself, also when ids repeat or are
+null. An empty table gives an empty result. N-grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,405 +30,241 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Shared, ship
-from .words import byte_texts, hash_words, mix, signed, slices
+from .words import hash_column, mix, signed, slices
 
-#: An n-gram is an arc from this count on.
-LEAST = 2
-TAU, ORDER, ADD, DISCOUNT = 2e-6, 3, 0.1, 0.5
-#: not the hash of any word, as no word holds a space
+#: PRIOR was chosen by the likelihood of held-out texts.
+ORDER, ADD, PRIOR = 3, 0.1, 16.0
+#: not the hash of any word
 END = np.uint64(0x9D39247E33776D41)
-_BITS = 20
-_ROOM = 1 << 21
-#: Bytes of text in a chunk
-_CHUNK = 4 << 20
+#: Bytes of text in a chunk, and of text whose n-grams meet in a bucket.
+CHUNK, BUCKET = 12 << 20, 24 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each with its end, and the number of tokens of each text."""
-    h, counts = hash_words(texts, lower=True)
-    out = np.full(len(h) + len(texts), END, np.uint64)
-    ends = np.cumsum(counts + 1) - 1
+    h, counts = hash_column(column, lower=True)
+    out = np.full(len(h) + len(column), END, np.uint64)
     inner = np.ones(len(out), bool)
-    inner[ends] = False
+    inner[np.cumsum(counts + 1) - 1] = False
     out[inner] = h
     return out, counts + 1
 
 
-class Summed:
-    """Sums counts by key within a task, in bounded memory: what is over the room goes out and is summed by Spark."""
-
-    def __init__(self):
-        self.keys, self.counts, self.held = [], [], 0
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.held += len(k)
-        if self.held > 2 * _ROOM:
-            self._merge()
-            if self.held > _ROOM:
-                yield from self.flush()
-
-    def _merge(self) -> None:
-        k, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-        self.keys, self.counts, self.held = [k], [np.bincount(at, np.concatenate(self.counts), len(k)).astype(np.int64)], len(k)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.keys:
-            self._merge()
-            for i in range(0, self.held, 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(self.keys[0][i : i + (1 << 18)]), pa.array(self.counts[0][i : i + (1 << 18)])], names=["k", "c"])
-        self.__init__()
-
-
-def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(k, c): how often each key of ``keys_of(hashes, counts)`` occurs in the texts of ``docs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summed = Summed()
-        for batch in batches:
-            for part in slices(batch):
-                yield from summed.add(keys_of(*tokens(byte_texts(part.column("text")))))
-        yield from summed.flush()
-
-    return docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
-
-class Vocabulary:
-    """The words that may be in arcs, in the order of their hashes: a word's id is its place."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """-1 for words that are not in it."""
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
-
-
-def grams(vocabulary: Vocabulary, arcs: dict[int, np.ndarray], n: int, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Keys of the n-grams of all texts whose words are in the vocabulary and whose shorter parts are arcs.
-
-    An n-gram occurs no more often than its parts, so no other n-gram can be an arc.
-    """
-    ids = vocabulary.ids(h)
-    text = np.repeat(np.arange(len(counts)), counts)
-    m = len(ids) - n + 1
-    if m <= 0:
-        return np.empty(0, np.int64)
-    ok = text[:m] == text[n - 1 :]
-    key = np.zeros(m, np.int64)
-    for j in range(n):
-        part = ids[j : j + m]
-        ok &= part >= 0
-        key = key << _BITS | np.maximum(part, 0)
-    key = key[ok]
-    if n > 2:
-        known, cut = arcs[n - 1], (1 << _BITS * (n - 1)) - 1
-        for part in (lambda k: k >> _BITS, lambda k: k & cut):
-            if len(known):
-                at = np.minimum(np.searchsorted(known, part(key)), len(known) - 1)
-                key = key[known[at] == part(key)]
-            else:
-                key = key[:0]
-    return key
-
-
-class Automaton:
-    """States, arcs and failure arcs, with log10 weights. State 0 is the empty context."""
-
-    def __init__(self, vocabulary: Vocabulary, arcs: dict[int, tuple[np.ndarray, np.ndarray]], n_tokens: int, n_words: int):
-        self.vocabulary, self.n_tokens, self.n_words = vocabulary, n_tokens, n_words
-        self.below = n_tokens + ADD * (n_words + 1)
-        p1 = (vocabulary.counts + ADD) / self.below
-        self.unigram = np.log10(p1)
-        contexts = {n: np.unique(keys >> _BITS) for n, (keys, _) in arcs.items()}
-        state_of: dict[tuple[int, ...], int] = {}
-        for n in sorted(contexts):
-            for key in contexts[n].tolist():
-                state_of[self._words(key, n - 1)] = len(state_of) + 1
-        self.fail, self.backoff = [0] * (len(state_of) + 1), [0.0] * (len(state_of) + 1)
-        self.next_unigram = [state_of.get((w,), 0) for w in range(len(p1))]
-        self.weight: dict[int, float] = {}
-        self.next: dict[int, int] = {}
-
-        def suffix_state(words: tuple[int, ...]) -> int:
-            while words and words not in state_of:
-                words = words[1:]
-            return state_of.get(words, 0)
-
-        prob = {(w,): p for w, p in enumerate(p1.tolist())}
-        count = {(w,): c for w, c in enumerate(vocabulary.counts.tolist())}
-        for n in sorted(arcs):
-            keys, counts = arcs[n]
-            kept: dict[tuple[int, ...], list[float]] = {}
-            for key, c in zip(keys.tolist(), counts.tolist(), strict=True):
-                words = self._words(key, n)
-                context = words[:-1]
-                p = (c - DISCOUNT) / count[context]
-                prob[words], count[words] = p, c
-                both = kept.setdefault(context, [0.0, 0.0])
-                both[0] += p
-                both[1] += prob[words[1:]]
-                arc = state_of[context] << _BITS | words[-1]
-                self.weight[arc] = float(np.log10(p))
-                self.next[arc] = suffix_state(words[-(ORDER - 1) :])
-            for context, (here, lower) in kept.items():
-                s = state_of[context]
-                self.fail[s] = suffix_state(context[1:])
-                self.backoff[s] = float(np.log10(max(1 - here, 1e-12) / max(1 - lower, 1e-12)))
-
-    @staticmethod
-    def _words(key: int, n: int) -> tuple[int, ...]:
-        return tuple(key >> _BITS * (n - 1 - j) & (1 << _BITS) - 1 for j in range(n))
-
-    def score(self, ids: list[int]) -> float:
-        """log10 probability of one text but for the unigram part of words outside the vocabulary (-1)."""
-        total, s = 0.0, 0
-        weight, following, fail, backoff = self.weight.get, self.next, self.fail, self.backoff
-        unigram, first = self._unigrams, self.next_unigram
-        for w in ids:
-            if w < 0:
-                while s:
-                    total += backoff[s]
-                    s = fail[s]
-                continue
-            while s:
-                arc = s << _BITS | w
-                p = weight(arc)
-                if p is not None:
-                    total += p
-                    s = following[arc]
-                    break
-                total += backoff[s]
-                s = fail[s]
-            else:
-                total += unigram[w]
-                s = first[w]
-        return total
-
-    @property
-    def _unigrams(self) -> list[float]:
-        if not hasattr(self, "_listed"):
-            self._listed = self.unigram.tolist()
-        return self._listed
-
-
-def _collect(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = rows.toArrow()
-    return got.column("k").to_numpy(), got.column("c").to_numpy()
-
-
-def train(docs: DataFrame, shared: Shared, order: int = ORDER, tau: float = TAU) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the table (k, c) of all words' counts. At most 1 / tau rows of each order come to the driver."""
-    ship(docs.sparkSession)
-    words = shared.save(_counted(docs, lambda h, counts: signed(h)), "words")
-    n_tokens, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(tau * n_tokens, 2)
-    k, c = _collect(words.filter(F.col("c") >= least))
-    vocabulary = Vocabulary(k.view(np.uint64), c)
-    arcs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for n in range(2, order + 1):
-        known = docs.sparkSession.sparkContext.broadcast((vocabulary, {m: a[0] for m, a in arcs.items()}))
-        rows = _counted(docs, lambda h, counts, n=n, known=known: grams(*known.value, n, h, counts))
-        k, c = _collect(rows.filter(F.col("c") >= least))
-        at = np.argsort(k)
-        arcs[n] = (k[at], c[at])
-    return Automaton(vocabulary, arcs, n_tokens, n_words), words
-
-
-def pair(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """The key of the n-gram whose first n - 1 words have the key ``context`` and whose last ones have ``suffix``."""
-    return mix(mix(context + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + suffix)
-
-
-def keys(h: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def grams(h: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order the keys of the n-grams of all texts, and the place of each one's last token. A word's key is its hash."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    made, at = [h], [np.arange(len(h))]
-    for n in range(2, ORDER + 1):
-        last = np.flatnonzero(text[n - 1 :] == text[: max(len(h) - n + 1, 0)]) + n - 1
+    place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    keys, last = h, np.arange(len(h))
+    for n in range(1, ORDER + 1):
+        yield keys, last
         whole = np.zeros(len(h), np.uint64)
-        whole[at[-1]] = made[-1]
-        made.append(pair(whole[last - 1], whole[last]))
-        at.append(last)
-    return made, at
-
+        whole[last] = keys
+        last = np.flatnonzero(place >= n)
+        keys = mix(mix(whole[last - 1] + _STEP) * np.uint64(3) + whole[last])
 
-def _parts(made: list[np.ndarray], at: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of context and suffix of the n-grams of order n; a word is the suffix of the context 0."""
-    if n == 1:
-        return np.zeros(len(made[0]), np.uint64), made[0]
-    whole = np.zeros(len(made[0]), np.uint64)
-    whole[at[n - 2]] = made[n - 2]
-    return whole[at[n - 1] - 1], whole[at[n - 1]]
 
+def pack(k: np.ndarray) -> tuple[int, int, bytes]:
+    """Sorted keys as the first one, the bytes of a gap, and the gaps."""
+    gaps = np.diff(k)
+    width = (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 0
+    return int(signed(k[:1])[0]), width, gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """(k, ctx, suf, c): how often words, all of them, and pairs from LEAST on occur; context and suffix as in _parts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                made, at = keys(*tokens(byte_texts(part.column("text"))))
-                for n in (1, 2):
-                    ctx, suf = _parts(made, at, n)
-                    _, first, c = np.unique(made[n - 1], return_index=True, return_counts=True)
-                    for i in range(0, len(c), 1 << 18):
-                        to = slice(i, i + (1 << 18))
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in (ctx[first[to]], suf[first[to]], c[to])], names=["ctx", "suf", "c"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ctx, suf = (b.column(x).to_numpy().view(np.uint64) for x in ("ctx", "suf"))
-            k = np.where(ctx == 0, suf, pair(ctx, suf))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(k)), *b.columns], names=["k", *b.schema.names])
+def unpack(first: int, width: int, gaps: bytes) -> np.ndarray:
+    out = np.zeros(1 + (len(gaps) // width if width else 0), np.uint64)
+    out[0] = np.array([first], np.int64).view(np.uint64)[0]
+    if width:
+        wide = np.zeros((len(out) - 1, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(gaps, np.uint8).reshape(-1, width)
+        out[1:] = wide.view(np.uint64).ravel()
+    return np.cumsum(out, dtype=np.uint64)
 
-    summed = docs.select("text").mapInArrow(run, "ctx long, suf long, c long").groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
-    return summed.filter((F.col("ctx") == 0) | (F.col("c") >= LEAST)).mapInArrow(keyed, "k long, ctx long, suf long, c long")
 
+def pack_counts(c: np.ndarray) -> bytes:
+    """A byte for each count, and the counts from 255 on in full after them."""
+    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype(np.int64).tobytes()
 
-def learn(few: DataFrame, triples: DataFrame, n_tokens: int, n_words: int, shared: Shared) -> DataFrame:
-    """The table (k, a, base) of weights of words and pairs as in _counts, and of arcs (k, ctx, suf, c) of three words.
 
-    ``base`` is a word's unigram log10 probability, and null for longer n-grams.
-    """
-    words = few.filter("ctx = 0").select("k", "c")
-    below = F.lit(float(n_tokens + ADD * (n_words + 1)))
-
-    def backoffs(arcs: DataFrame) -> DataFrame:
-        """(ctx, b): what is left of a context over what is left of the shorter one."""
-        left = lambda p: F.greatest(1 - F.sum(p), F.lit(1e-12))
-        return arcs.groupBy("ctx").agg(F.log10(left("p") / left("lower")).alias("b"))
-
-    def probable(arcs: DataFrame, shorter: DataFrame, lower: Column) -> DataFrame:
-        """Arcs with p, and the probability of their last word in the shorter context."""
-        of_ctx = shorter.select(F.col("k").alias("ctx"), F.col("c").alias("c_ctx"))
-        of_suf = shorter.select(F.col("k").alias("suf"), lower.alias("lower"))
-        both = arcs.join(of_ctx, "ctx").join(of_suf, "suf")
-        return both.select("k", "ctx", "c", ((F.col("c") - DISCOUNT) / F.col("c_ctx")).alias("p"), "lower")
-
-    pairs = shared.save(probable(few.filter("ctx <> 0"), words, (F.col("c") + ADD) / below), "pairs")
-    triples = shared.save(probable(triples, pairs, F.col("p")), "probable")
-    after_one, after_two = shared.save(backoffs(pairs), "after-one"), shared.save(backoffs(triples), "after-two")
-    at = lambda b, key, name: b.select(F.col("ctx").alias(key), F.col("b").alias(name))
-    base = F.log10((F.col("c") + ADD) / below)
-    gain = F.log10(F.col("p") / F.col("lower")) - F.col("own")
-    one = words.join(at(after_one, "k", "next"), "k", "left").select("k", (base + F.coalesce("next", F.lit(0.0))).alias("a"), base.alias("base"))
-    two = pairs.join(at(after_one, "ctx", "own"), "ctx").join(at(after_two, "k", "next"), "k", "left")
-    two = two.select("k", (gain + F.coalesce("next", F.lit(0.0))).alias("a"), F.lit(None).cast("double").alias("base"))
-    three = triples.join(at(after_two, "ctx", "own"), "ctx").select("k", gain.alias("a"), F.lit(None).cast("double").alias("base"))
-    weights = shared.save(one.unionByName(two).unionByName(three), "weights")
-    shared.drop(pairs, triples, after_one, after_two)
-    return weights
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    c = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    c[c == 255] = np.frombuffer(data, np.int64, offset=n)
+    return c
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
-    """The rows with ``_chunk``: neighbouring rows of about _CHUNK bytes of text have the same."""
+    """The rows with ``_chunk``, which neighbouring rows of about CHUNK bytes of text share, and ``_row``, their order."""
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
-        held = 0
+        held = row = 0
         for batch in batches:
-            for part in slices(batch, limit=_CHUNK):
+            for part in slices(batch, limit=CHUNK):
                 size = part.column("text").nbytes
-                if held and held + size > _CHUNK:
+                if held and held + size > CHUNK:
                     chunk, held = chunk + 1, 0
                 held += size
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, chunk))], names=[*part.schema.names, "_chunk"])
-
-    return docs.mapInArrow(run, f"{fields}, _chunk long")
+                n = part.num_rows
+                more = [np.full(n, chunk), np.arange(row, row + n), np.full(n, size // n)]
+                row += n
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, more)], names=[*part.schema.names, "_chunk", "_row", "_bytes"])
+
+    return docs.mapInArrow(run, f"{fields}, _chunk long, _row long, _bytes long")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a chunk that a task reads one after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        number = batch.column("_chunk").to_numpy()
+        cuts = np.flatnonzero(number[1:] != number[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True):
+            if a == b:
+                continue
+            if held and held[0].column("_chunk")[0].as_py() != number[a]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _asked(chunks: DataFrame) -> DataFrame:
-    """(_chunk, k): the distinct words and pairs of each chunk, more than once where its rows do not come in one piece."""
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    """One array of a column."""
+    made = column.combine_chunks()
+    return made if isinstance(made, pa.Array) else pa.concat_arrays(made.chunks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        now, size = None, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            k = np.unique(np.concatenate(held))
-            for i in range(0, len(k), 1 << 18):
-                part = signed(k[i : i + (1 << 18)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now)), pa.array(part)], names=["_chunk", "k"])
+def _asked(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, _chunk, piece, first, width, gaps, counts): the distinct n-grams of each piece of a chunk, dealt by their hashes."""
+    edges = np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], np.uint64)
 
-        for batch in batches:
-            number = batch.column("_chunk").to_numpy()
-            cuts = np.flatnonzero(number[1:] != number[:-1]) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True):
-                if a == b:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches):
+            chunk, piece = rows.column("_chunk")[0].as_py(), rows.column("_row")[0].as_py()
+            h, counts = tokens(_whole(rows.column("text")))
+            learned = np.repeat(~_whole(rows.column("held_out")).fill_null(True).to_numpy(zero_copy_only=False), counts)
+            for n, (keys, last) in enumerate(grams(h, counts)):
+                order = np.argsort(keys)
+                keys = keys[order]
+                if not len(keys):
                     continue
-                for part in slices(batch.slice(a, b - a)):
-                    if held and (number[a] != now or size > _ROOM):
-                        yield from flush()
-                        held, size = [], 0
-                    now = number[a]
-                    held.append(np.unique(np.concatenate(keys(*tokens(byte_texts(part.column("text"))))[0][:2])))
-                    size += len(held[-1])
-        if held:
-            yield from flush()
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                c = np.add.reduceat(learned[last[order]].astype(np.int64), first)
+                keys = keys[first]
+                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                made = [(i * ORDER + n, chunk, piece, *pack(keys[a:b]), pack_counts(c[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["bucket", "_chunk", "piece", "first", "width", "gaps", "counts"])
+
+    return chunks.select("text", "held_out", "_chunk", "_row").mapInArrow(run, "bucket long, _chunk long, piece long, first long, width int, gaps binary, counts binary")
+
+
+def _summed(asked: DataFrame) -> DataFrame:
+    """(_chunk, piece, bucket, n, counts, n_words, n_tokens): each piece's keys' counts in all training rows; a row without a chunk has a bucket's words."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys = [unpack(*x) for x in zip(*(rows.column(c).to_pylist() for c in ("first", "width", "gaps")), strict=True)]
+        size = [len(k) for k in keys]
+        k = np.concatenate(keys)
+        c = np.concatenate([unpack_counts(d, n) for d, n in zip(rows.column("counts").to_pylist(), size, strict=True)])
+        order = np.argsort(k, kind="stable")
+        k = k[order]
+        fresh = np.r_[True, k[1:] != k[:-1]]
+        total = np.add.reduceat(c[order], np.flatnonzero(fresh))
+        c[order] = total[np.cumsum(fresh) - 1]
+        bucket = rows.column("bucket")[0].as_py()
+        made = [pack_counts(x) for x in np.split(c, np.cumsum(size)[:-1])]
+        chunk, piece = rows.column("_chunk").to_pylist(), rows.column("piece").to_pylist()
+        words, all_ = [None] * len(made), [None] * len(made)
+        if bucket % ORDER == 0:
+            chunk, piece, size, made = [*chunk, None], [*piece, None], [*size, 0], [*made, None]
+            words, all_ = [*words, int((total > 0).sum())], [*all_, int(total.sum())]
+        return pa.table({
+            "_chunk": pa.array(chunk, pa.int64()), "piece": pa.array(piece, pa.int64()), "bucket": pa.array([bucket] * len(made), pa.int64()),
+            "n": pa.array(size, pa.int64()), "counts": pa.array(made, pa.binary()), "n_words": pa.array(words, pa.int64()), "n_tokens": pa.array(all_, pa.int64()),
+        })
+
+    return asked.groupBy("bucket").applyInArrow(run, "_chunk long, piece long, bucket long, n long, counts binary, n_words long, n_tokens long")
 
-    return chunks.select("_chunk", "text").mapInArrow(run, "_chunk long, k long")
-
-
-def _found(k: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``asked`` in the sorted keys, and which are there."""
-    if not len(k):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(k, asked), len(k) - 1)
-    return at, k[at] == asked
 
+class Automaton:
+    """The part of the automaton that the n-grams of some texts visit, from the counts of those n-grams.
 
-def _triples(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(_chunk, k, ctx, suf, c): runs of three words whose pairs are arcs, and how often the chunk's training rows have them."""
+    ``orders`` has, for each order, the number of each n-gram of the texts, the place of its last token, and the counts by number.
+    """
 
-    def run(found: pa.Table, rows: pa.Table) -> pa.Table:
-        h, counts = tokens(byte_texts(rows.column("text").combine_chunks()))
-        made, at = keys(h, counts)
-        arc = np.zeros(len(h), bool)
-        arc[at[1]] = _found(np.sort(found.column("k").to_numpy()), signed(made[1]))[1]
-        ok = arc[at[2]] & arc[at[2] - 1]
-        ctx, suf = (x[ok] for x in _parts(made, at, 3))
-        learned = np.repeat(~rows.column("held_out").fill_null(True).to_numpy(), counts)[at[2][ok]]
-        k, first, which = np.unique(made[2][ok], return_index=True, return_inverse=True)
-        c = np.bincount(which, learned, len(k)).astype(np.int64)
-        number = np.full(len(k), rows.column("_chunk")[0].as_py())
-        return pa.Table.from_arrays([pa.array(number), *[pa.array(signed(x)) for x in (k, ctx[first], suf[first], c)]], names=["_chunk", "k", "ctx", "suf", "c"])
-
-    both = hits.groupBy("_chunk").cogroup(chunks.select("_chunk", "held_out", "text").groupBy("_chunk"))
-    return both.applyInArrow(run, "_chunk long, k long, ctx long, suf long, c long")
-
-
-def _score(chunks: DataFrame, answers: DataFrame, n_tokens: int, unknown: float, keep: tuple[str, ...]) -> DataFrame:
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_places: int, n_tokens: int, n_words: int):
+        self.n_places = n_places
+        self.steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        shorter = count = None
+        for number, last, c in orders:
+            any_place = np.empty(len(c), np.int64)
+            any_place[number] = last  # a place of each n-gram
+            if shorter is None:
+                p, fail = (c + ADD) / (n_tokens + ADD * (n_words + 1)), np.zeros(n_places)
+                at_place = np.zeros(n_places)
+            else:
+                below = count[any_place - 1] + PRIOR  # what the context is seen, and the prior
+                p = (c + PRIOR * shorter[any_place]) / below
+                fail = np.log10(PRIOR / (count + PRIOR))
+                at_place = shorter.copy()
+            at_place[last] = p[number]
+            here = np.zeros(n_places)
+            here[last] = c[number]
+            self.steps.append((number, last, c > 0, np.log10(p), fail))
+            shorter, count = at_place, here
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each place: whether its token is known, its weight at the empty context, and its weight from the state before it.
+
+        From the longest context on, a place takes its arc or adds the failure arc's weight and tries the next context.
+        """
+        total, open_ = np.zeros(self.n_places), np.ones(self.n_places, bool)
+        for number, last, arc, weight, fail in reversed(self.steps[1:]):
+            here = last[open_[last]]
+            number = number[open_[last]]
+            taken = arc[number]
+            total[here[taken]] += weight[number[taken]]
+            open_[here[taken]] = False
+            total[here[~taken]] += fail[here[~taken] - 1]
+        number, _, known, weight, _ = self.steps[0]
+        total[open_] += weight[number[open_]]
+        return known[number], weight[number], total
+
+
+def _score(chunks: DataFrame, answers: DataFrame, n_tokens: int, n_words: int, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of every row."""
     fields = ", ".join(f"`{c}` {t}" for c, t in chunks.select(*keep).dtypes)
 
-    def run(found: pa.Table, rows: pa.Table) -> pa.Table:
-        k = found.column("k").to_numpy()
-        order = np.argsort(k)
-        k, a, base = k[order], found.column("a").to_numpy()[order], found.column("base").to_numpy()[order]
-        h, counts = tokens(byte_texts(rows.column("text").combine_chunks()))
+    def piece(found: pa.Table, rows: pa.Table) -> pa.Table:
+        h, counts = tokens(_whole(rows.column("text")))
+        bucket, size, data = found.column("bucket").to_numpy(), found.column("n").to_numpy(), found.column("counts")
+        orders = []
+        for n, (keys, last) in enumerate(grams(h, counts)):
+            distinct, number = np.unique(keys, return_inverse=True)
+            mine = np.flatnonzero(bucket % ORDER == n)
+            mine = mine[np.argsort(bucket[mine])]
+            assert size[mine].sum() == len(distinct), "a piece has other n-grams than it asked for"
+            parts = [unpack_counts(data[i].as_buffer(), size[i]) for i in mine.tolist()]
+            orders.append((number.astype(np.int32), last, np.concatenate([*parts, np.zeros(0, np.int64)])))
+        known, base, total = Automaton(orders, len(h), n_tokens, n_words).walk()
         starts = np.cumsum(counts) - counts
-        total, below, known = np.zeros(len(h)), np.full(len(h), unknown), np.zeros(len(h), bool)
-        for n, (key, last) in enumerate(zip(*keys(h, counts), strict=True), 1):
-            at, hit = _found(k, signed(key))
-            if n == 1:
-                known = hit
-                below[hit] = base[at[hit]]
-                total[~hit] = unknown
-            total[last[hit]] += a[at[hit]]
-        made = [pa.array(x) for x in (counts, np.add.reduceat(known.astype(np.int64), starts), np.full(len(counts), n_tokens), np.add.reduceat(below, starts), np.add.reduceat(total, starts))]
-        return pa.Table.from_arrays([*[rows.column(c) for c in keep], *made], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        made = [counts, np.add.reduceat(known.astype(np.int64), starts), np.full(len(counts), n_tokens), np.add.reduceat(base, starts), np.add.reduceat(total, starts)]
+        return pa.Table.from_arrays([*[rows.column(c) for c in keep], *map(pa.array, made)], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def run(found: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_row")
+        row, of = rows.column("_row").to_numpy(), found.column("piece").to_numpy()
+        first = np.unique(of)
+        cuts = [*np.searchsorted(row, first).tolist(), len(row)]
+        done = [piece(found.filter(pa.array(of == p)), rows.slice(a, b - a)) for p, a, b in zip(first.tolist(), cuts[:-1], cuts[1:], strict=True)]
+        return pa.concat_tables(done)
 
-    return answers.groupBy("_chunk").cogroup(chunks.groupBy("_chunk")).applyInArrow(run, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = answers.filter("_chunk IS NOT NULL").select("_chunk", "piece", "bucket", "n", "counts").groupBy("_chunk").cogroup(chunks.drop("_bytes").groupBy("_chunk"))
+    return both.applyInArrow(run, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_table(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -435,16 +272,7 @@ def score_table(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc
     ship(docs.sparkSession)
     shared = Shared(docs.sparkSession, "lm")
     chunks = shared.save(_chunked(docs.select(*keep, held_out.alias("held_out"), "text")), "chunks")
-    few = shared.save(_counts(chunks.filter(~F.col("held_out"))), "words-and-pairs")
-    n_tokens, n_words = few.filter("ctx = 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # written tables, so both sides are dealt by key; a chunk asks for a key about once, so none is hot
-    hits = shared.save(_asked(chunks).join(few.select("k").hint("merge"), "k").select("_chunk", "k"), "hits")
-    triples = shared.save(_triples(hits, chunks), "triples")
-    arcs = shared.save(triples.groupBy("k", "ctx", "suf").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST), "arcs")
-    weights = learn(few, arcs, n_tokens, n_words, shared)
-    shared.drop(few, arcs)
-    asked = hits.unionByName(triples.select("_chunk", "k"))
-    answers = shared.save(asked.join(weights.hint("merge"), "k").select("_chunk", "k", "a", "base"), "answers")
-    shared.drop(hits, triples, weights)
-    unknown = float(np.log10(ADD / (n_tokens + ADD * (n_words + 1))))
-    return _score(chunks, answers, n_tokens, unknown, (*keep, "held_out"))
+    size = chunks.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
+    answers = shared.save(_summed(_asked(chunks, max(1, -(-size // BUCKET)))), "answers")
+    n_tokens, n_words = answers.filter("_chunk IS NULL").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    return _score(chunks, answers, n_tokens, n_words, (*keep, "held_out"))

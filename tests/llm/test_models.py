@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.llm import langid, lm
 from sentrylake.llm.queries import remainder
-from sentrylake.llm.shared import Shared
+from sentrylake.llm.words import LOWER
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,45 +18,69 @@ def test_remainder(spark):
     assert all(r.r == zlib.crc32(str(r.doc_id).encode()) % 10 for r in got)
 
 
+def brute_model(texts, held):
+    """Split texts, the counts of n-grams, and p(context, word), by dictionaries and the recursion of the module's formula."""
+    split = [[*(t or "").encode().translate(LOWER).split(), b" end"] for t in texts]
+    c = Counter(tuple(t[i : i + n]) for t, h in zip(split, held) if not h for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    n, v = sum(x for k, x in c.items() if len(k) == 1), sum(len(k) == 1 for k in c)
+
+    def p(context, w):
+        if not context:
+            return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        return (c[(*context, w)] + lm.PRIOR * p(context[1:], w)) / (c[context] + lm.PRIOR)
+
+    return split, c, n, p
+
+
+def brute_scores(texts, held):
+    """(n_tokens, n_known, N, base, score) of each text."""
+    split, c, n, p = brute_model(texts, held)
+    out = []
+    for t in split:
+        score = sum(math.log10(p(tuple(t[max(0, i - 2) : i]), w)) for i, w in enumerate(t))
+        out.append((len(t), sum(c[(w,)] > 0 for w in t), n, sum(math.log10(p((), w)) for w in t), score))
+    return out
+
+
+def check_scores(docs, held_out, keep=("doc_id",)):
+    rows = docs.withColumn("_held", held_out).collect()
+    want = sorted((r.doc_id is None, r.doc_id or 0, r._held, *x) for r, x in zip(rows, brute_scores([r.text for r in rows], [r._held for r in rows])))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_table(docs, held_out, keep).collect())
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:6] == w[:6] and g[6:] == pytest.approx(w[6:], rel=1e-9)
+
+
 def test_scores_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit("x").alias("score"))
     docs = docs.unionByName(spark.createDataFrame([(100000, None, "x"), (100001, "", "x"), (100002, "neverseen words neverseen", "x")], docs.schema))
-    got = {r.doc_id: r for r in lm.score_table(docs, remainder(10) == 0).collect()}
-    texts = {r.doc_id: (r.text or "").encode().lower().split() + [b" end"] for r in docs.collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
-    c = Counter(w for i, t in texts.items() if not held[i] for w in t)
-    n, v = sum(c.values()), len(c)
-    for i, t in texts.items():
-        r = got[i]
-        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(base, rel=1e-9)
-        assert r.score < 0
-    seen = [r for i, r in got.items() if not held[i]]
-    assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
-
-
-def test_probabilities_of_each_state_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c a b c", "a b d", "b c a b", "c c c a b c"] * 3)], "doc_id long, text string")
-    model, _ = lm.train(docs, Shared(spark, "lm-test"), tau=1e-9)
-    size = len(model.vocabulary.hashes)
-    unknown = math.log10(lm.ADD / model.below)
-    def after(state, w):
-        total = 0.0
-        while state and (state << 20 | w) not in model.weight:
-            total += model.backoff[state]
-            state = model.fail[state]
-        return total + (model.weight[state << 20 | w] if state else model.unigram[w])
-    def spare(state):
-        total = 0.0
-        while state:
-            total += model.backoff[state]
-            state = model.fail[state]
-        return total + unknown
-    assert len(model.fail) > 3
-    for state in range(len(model.fail)):
-        total = sum(10 ** after(state, w) for w in range(size)) + 10 ** spare(state)
-        assert total == pytest.approx(1, abs=1e-9)
+    check_scores(docs, remainder(10) == 0)
+    got = lm.score_table(docs, remainder(10) == 0).filter("not held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_scores_in_many_chunks_with_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 1 << 14)
+    monkeypatch.setattr(lm, "BUCKET", 1 << 15)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = [(None, "a text without an id"), (None, "a text without an id"), (7, "seven again"), (8, "word " * 30000), (9, "w" * 200000 + " B\u00c9\u00e9 b")]
+    check_scores(docs.limit(60).unionByName(spark.createDataFrame(more, docs.schema)), F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False)))
+
+
+def test_probabilities_of_each_state_sum_to_one():
+    _, c, _, p = brute_model(["a b c a b c", "a b d", "b c a b", "c c c a b c"] * 3, [False] * 12)
+    contexts = [k for k in c if len(k) < 3 and b" end" not in k]
+    assert len(contexts) > 8
+    for context in [(), *contexts, (b"neverseen", b"a")]:
+        assert sum(p(context, w) for w in [b"a", b"b", b"c", b"d", b" end", b"neverseen"]) == pytest.approx(1, abs=1e-12)
+
+
+def test_packing_of_keys_and_counts():
+    rng = np.random.default_rng(3)
+    for k in (np.array([5], np.uint64), np.array([0, 2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**64, 1000, np.uint64)), np.arange(2**63, 2**63 + 9, dtype=np.uint64)):
+        assert (lm.unpack(*lm.pack(k)) == k).all()
+    c = np.array([0, 1, 254, 255, 256, 10**12, 3])
+    assert (lm.unpack_counts(lm.pack_counts(c), len(c)) == c).all()
 
 
 def test_scoring_without_training_rows(spark):
@@ -94,16 +118,7 @@ def test_code_lengths_are_probabilities():
     assert np.allclose(both, np.stack(one, 1))
 
 
-def test_arcs_do_not_depend_on_the_size_of_the_corpus(spark):
-    # 1.2 million tokens: a share of 2e-6 of them is more than the two times that "left right turn" occurs
+def test_a_rare_run_of_words_counts_in_a_large_corpus(spark):
     texts = ["a " * 40000] * 30 + ["left right turn"] * 2 + ["left right turn a a neverseen right turn a", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    held = F.col("doc_id") >= 32
-    got = {r.doc_id: r for r in lm.score_table(docs, held).collect()}
-    assert got[32].train_tokens == 30 * 40001 + 8
-    model, _ = lm.train(docs.filter(~held), Shared(spark, "lm-test"), tau=1e-9)
-    unknown = math.log10(lm.ADD / model.below)
-    for i, t in enumerate(texts):
-        ids = model.vocabulary.ids(lm.tokens([t.encode() if t else None])[0]).tolist()
-        assert got[i].score == pytest.approx(model.score(ids) + unknown * ids.count(-1), rel=1e-9)
-    assert got[30].score > -16
+    check_scores(docs, F.col("doc_id") >= 32)
