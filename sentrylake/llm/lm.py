@@ -29,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import answered, batch, bucket_count, bucket_edges, chunked, deal, pack_counts, pack_keys, pieces, unpack_counts, unpack_keys, whole
 from .shared import Shared, ship
-from .words import hash_column, mix, signed, slices
+from .words import hash_column, mix
 
 #: PRIOR was chosen by the likelihood of held-out texts.
 ORDER, ADD, PRIOR = 3, 0.1, 16.0
 #: not the hash of any word
 END = np.uint64(0x9D39247E33776D41)
 #: Bytes of text in a chunk, and of text whose n-grams meet in a bucket.
-CHUNK, BUCKET = 12 << 20, 24 << 20
+CHUNK, BUCKET = 24 << 20, 24 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,112 +64,35 @@ def grams(h: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         keys = mix(mix(whole[last - 1] + _STEP) * np.uint64(3) + whole[last])
 
 
-def pack(k: np.ndarray) -> tuple[int, int, bytes]:
-    """Sorted keys as the first one, the bytes of a gap, and the gaps."""
-    gaps = np.diff(k)
-    width = (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 0
-    return int(signed(k[:1])[0]), width, gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpack(first: int, width: int, gaps: bytes) -> np.ndarray:
-    out = np.zeros(1 + (len(gaps) // width if width else 0), np.uint64)
-    out[0] = np.array([first], np.int64).view(np.uint64)[0]
-    if width:
-        wide = np.zeros((len(out) - 1, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(gaps, np.uint8).reshape(-1, width)
-        out[1:] = wide.view(np.uint64).ravel()
-    return np.cumsum(out, dtype=np.uint64)
-
-
-def pack_counts(c: np.ndarray) -> bytes:
-    """A byte for each count, and the counts from 255 on in full after them."""
-    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype(np.int64).tobytes()
-
-
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    c = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    c[c == 255] = np.frombuffer(data, np.int64, offset=n)
-    return c
-
-
-def _chunked(docs: DataFrame) -> DataFrame:
-    """The rows with ``_chunk``, which neighbouring rows of about CHUNK bytes of text share, and ``_row``, their order."""
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        chunk = TaskContext.get().partitionId() << 32
-        held = row = 0
-        for batch in batches:
-            for part in slices(batch, limit=CHUNK):
-                size = part.column("text").nbytes
-                if held and held + size > CHUNK:
-                    chunk, held = chunk + 1, 0
-                held += size
-                n = part.num_rows
-                more = [np.full(n, chunk), np.arange(row, row + n), np.full(n, size // n)]
-                row += n
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, more)], names=[*part.schema.names, "_chunk", "_row", "_bytes"])
-
-    return docs.mapInArrow(run, f"{fields}, _chunk long, _row long, _bytes long")
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of a chunk that a task reads one after the other."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        number = batch.column("_chunk").to_numpy()
-        cuts = np.flatnonzero(number[1:] != number[:-1]) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True):
-            if a == b:
-                continue
-            if held and held[0].column("_chunk")[0].as_py() != number[a]:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _whole(column: pa.ChunkedArray) -> pa.Array:
-    """One array of a column."""
-    made = column.combine_chunks()
-    return made if isinstance(made, pa.Array) else pa.concat_arrays(made.chunks)
-
-
 def _asked(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, _chunk, piece, first, width, gaps, counts): the distinct n-grams of each piece of a chunk, dealt by their hashes."""
-    edges = np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], np.uint64)
+    """(bucket, _chunk, piece, n, keys, counts): the distinct n-grams of each piece of a chunk, dealt by their hashes."""
+    edges = bucket_edges(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _pieces(batches):
+        for rows in pieces(batches):
             chunk, piece = rows.column("_chunk")[0].as_py(), rows.column("_row")[0].as_py()
-            h, counts = tokens(_whole(rows.column("text")))
-            learned = np.repeat(~_whole(rows.column("held_out")).fill_null(True).to_numpy(zero_copy_only=False), counts)
+            h, counts = tokens(whole(rows.column("text")))
+            learned = np.repeat(~whole(rows.column("held_out")).fill_null(True).to_numpy(zero_copy_only=False), counts)
             for n, (keys, last) in enumerate(grams(h, counts)):
-                order = np.argsort(keys)
-                keys = keys[order]
                 if not len(keys):
                     continue
+                order = np.argsort(keys)
+                keys = keys[order]
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                 c = np.add.reduceat(learned[last[order]].astype(np.int64), first)
                 keys = keys[first]
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                made = [(i * ORDER + n, chunk, piece, *pack(keys[a:b]), pack_counts(c[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["bucket", "_chunk", "piece", "first", "width", "gaps", "counts"])
+                made = [(i * ORDER + n, chunk, piece, s.stop - s.start, pack_keys(keys[s]), pack_counts(c[s])) for i, s in deal(keys, edges)]
+                yield batch(made, "bucket _chunk piece n keys counts", "llllbb")
 
-    return chunks.select("text", "held_out", "_chunk", "_row").mapInArrow(run, "bucket long, _chunk long, piece long, first long, width int, gaps binary, counts binary")
+    return chunks.select("text", "held_out", "_chunk", "_row").mapInArrow(run, "bucket long, _chunk long, piece long, n long, keys binary, counts binary")
 
 
 def _summed(asked: DataFrame) -> DataFrame:
     """(_chunk, piece, bucket, n, counts, n_words, n_tokens): each piece's keys' counts in all training rows; a row without a chunk has a bucket's words."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys = [unpack(*x) for x in zip(*(rows.column(c).to_pylist() for c in ("first", "width", "gaps")), strict=True)]
-        size = [len(k) for k in keys]
-        k = np.concatenate(keys)
+        size = rows.column("n").to_pylist()
+        k = np.concatenate([unpack_keys(d, n) for d, n in zip(rows.column("keys").to_pylist(), size, strict=True)])
         c = np.concatenate([unpack_counts(d, n) for d, n in zip(rows.column("counts").to_pylist(), size, strict=True)])
         order = np.argsort(k, kind="stable")
         k = k[order]
@@ -177,15 +101,10 @@ def _summed(asked: DataFrame) -> DataFrame:
         c[order] = total[np.cumsum(fresh) - 1]
         bucket = rows.column("bucket")[0].as_py()
         made = [pack_counts(x) for x in np.split(c, np.cumsum(size)[:-1])]
-        chunk, piece = rows.column("_chunk").to_pylist(), rows.column("piece").to_pylist()
-        words, all_ = [None] * len(made), [None] * len(made)
+        out = [(*x, None, None) for x in zip(rows.column("_chunk").to_pylist(), rows.column("piece").to_pylist(), [bucket] * len(made), size, made, strict=True)]
         if bucket % ORDER == 0:
-            chunk, piece, size, made = [*chunk, None], [*piece, None], [*size, 0], [*made, None]
-            words, all_ = [*words, int((total > 0).sum())], [*all_, int(total.sum())]
-        return pa.table({
-            "_chunk": pa.array(chunk, pa.int64()), "piece": pa.array(piece, pa.int64()), "bucket": pa.array([bucket] * len(made), pa.int64()),
-            "n": pa.array(size, pa.int64()), "counts": pa.array(made, pa.binary()), "n_words": pa.array(words, pa.int64()), "n_tokens": pa.array(all_, pa.int64()),
-        })
+            out.append((None, None, bucket, 0, None, int((total > 0).sum()), int(total.sum())))
+        return pa.Table.from_batches([batch(out, "_chunk piece bucket n counts n_words n_tokens", "llllbll")])
 
     return asked.groupBy("bucket").applyInArrow(run, "_chunk long, piece long, bucket long, n long, counts binary, n_words long, n_tokens long")
 
@@ -240,7 +159,7 @@ def _score(chunks: DataFrame, answers: DataFrame, n_tokens: int, n_words: int, k
     fields = ", ".join(f"`{c}` {t}" for c, t in chunks.select(*keep).dtypes)
 
     def piece(found: pa.Table, rows: pa.Table) -> pa.Table:
-        h, counts = tokens(_whole(rows.column("text")))
+        h, counts = tokens(whole(rows.column("text")))
         bucket, size, data = found.column("bucket").to_numpy(), found.column("n").to_numpy(), found.column("counts")
         orders = []
         for n, (keys, last) in enumerate(grams(h, counts)):
@@ -255,24 +174,15 @@ def _score(chunks: DataFrame, answers: DataFrame, n_tokens: int, n_words: int, k
         made = [counts, np.add.reduceat(known.astype(np.int64), starts), np.full(len(counts), n_tokens), np.add.reduceat(base, starts), np.add.reduceat(total, starts)]
         return pa.Table.from_arrays([*[rows.column(c) for c in keep], *map(pa.array, made)], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    def run(found: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_row")
-        row, of = rows.column("_row").to_numpy(), found.column("piece").to_numpy()
-        first = np.unique(of)
-        cuts = [*np.searchsorted(row, first).tolist(), len(row)]
-        done = [piece(found.filter(pa.array(of == p)), rows.slice(a, b - a)) for p, a, b in zip(first.tolist(), cuts[:-1], cuts[1:], strict=True)]
-        return pa.concat_tables(done)
-
-    both = answers.filter("_chunk IS NOT NULL").select("_chunk", "piece", "bucket", "n", "counts").groupBy("_chunk").cogroup(chunks.drop("_bytes").groupBy("_chunk"))
-    return both.applyInArrow(run, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = answers.filter("_chunk IS NOT NULL").select("_chunk", "piece", "bucket", "n", "counts")
+    return answered(chunks, answers, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double", piece)
 
 
 def score_table(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Learn from the rows that are not held out and score all; ``held_out`` is carried along."""
     ship(docs.sparkSession)
     shared = Shared(docs.sparkSession, "lm")
-    chunks = shared.save(_chunked(docs.select(*keep, held_out.alias("held_out"), "text")), "chunks")
-    size = chunks.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
-    answers = shared.save(_summed(_asked(chunks, max(1, -(-size // BUCKET)))), "answers")
+    chunks = shared.save(chunked(docs.select(*keep, held_out.alias("held_out"), "text"), CHUNK), "chunks")
+    answers = shared.save(_summed(_asked(chunks, bucket_count(chunks, BUCKET))), "answers")
     n_tokens, n_words = answers.filter("_chunk IS NULL").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     return _score(chunks, answers, n_tokens, n_words, (*keep, "held_out"))

@@ -1,17 +1,22 @@
-"""Substring deduplication with an FM-index per shard.
+"""Substring deduplication with a compressed FM-index per shard.
 
 A window is WINDOW consecutive words; the windows whose words also start earlier (smaller doc_id, or earlier in the same
-text) are repeats. Every window has a smallest hashed GRAM-gram, its anchor, so equal windows have equal anchors and meet
-in one shard; only anchors that occur twice in the corpus matter. The run of windows with one anchor is cut out as a
-segment. Equal segments are merged first, with their earliest place, so a passage that very many documents share is one row; an
-anchor of more than HEAVY places is dealt window by window instead, so that its different surroundings spread over all shards.
+text) are repeats. Every window has a smallest hashed GRAM-gram, its anchor, so equal windows have equal anchors, and the run of
+windows with one anchor place is a segment. Segments with equal words are one, kept at its earliest place, so a passage that very many
+documents share is one row a chunk. What is left to compare are anchors with different segments, mostly the edges of shared passages.
 
-A shard's segments are concatenated and indexed (suffix order by WINDOW words, wavelet matrix over the words' numbers,
-packed bits with counts for rank). All windows are searched backwards; the number of words matched is the matching
+A shard holds all different segments of some anchors. They are concatenated and indexed: suffix order by WINDOW words, a wavelet
+matrix over the words' numbers (packed bits with counts for rank), and the earliest place of each suffix instead of the suffix
+array. The windows of the shard's segments are searched backwards; the number of words matched is the matching
 statistic, cut off at WINDOW, and where it reaches WINDOW the interval of suffixes gives the earliest place.
 
-Null texts have no words. doc_ids are taken to be unique and not null; a null one is reported without removal. Words are
-compared by 64-bit hashes. An empty table gives an empty result; further columns are not read.
+An anchor with more than HEAVY different segments (or HEAVY_HERE in one chunk) is dealt window by window instead, by the windows' own
+hashes, so that its different surroundings spread over all buckets. Chunks ask buckets, see ``chunks``: first which segments are known
+and which anchors are shared, then the shards about their windows. Only numbers come back.
+
+Null texts have no words. doc_id is a whole number; a row without one is reported without removal and is nobody's repeat.
+Rows with equal ids stand in the order in which they were read, so of equal rows one keeps its words. Words are compared by 64-bit
+hashes, segments and windows by 128 bits. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -21,15 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .chunks import answered, batch, bucket_count, bucket_edges, chunked, deal, pack_counts, pack_keys, pack_numbers, pieces, unpack_counts, unpack_keys, unpack_numbers, whole
 from .shared import Shared, ship
-from .words import byte_texts, grams, hash_words, mix, signed, slices
+from .words import byte_texts, grams, hash_column, mix
 
 WINDOW, GRAM = 20, 8
-HEAVY = 2048
-#: Words that one index holds, about.
+HEAVY, HEAVY_HERE = 2048, 64
+#: Bytes of text in a chunk, and of text whose segments meet in a bucket; words that one index holds, about.
+CHUNK, BUCKET = 12 << 20, 24 << 20
 SHARD_WORDS = 1 << 18
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: What a bucket says of a segment.
+ALONE, REPEAT, INDEXED, WINDOWED = range(4)
 
 
 def anchors(h: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,107 +65,220 @@ def anchors(h: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[
     return g[place[first]], inside[first], np.diff(np.r_[first, len(inside)]), text[inside[first]]
 
 
-def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, c) of the anchors that occur at two places or more."""
+class RunHashes:
+    """Hashes of runs of words, by differences of running sums."""
+
+    def __init__(self, h: np.ndarray, base: int):
+        n = len(h) + 1
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        self.up = np.multiply.accumulate(up)
+        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h * np.multiply.accumulate(down)[:-1])]
+
+    def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        end = start + size
+        return mix((self.sums[end] - self.sums[start]) * self.up[end - 1] + size.astype(np.uint64))
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run of n."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows that are sorted by the columns begin to be others."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.r_[True, new])
+
+
+class Segments:
+    """The segments of the texts of a piece, and which of them are different; every pass makes the same ones."""
+
+    def __init__(self, rows: pa.Table, window: int, gram: int):
+        ids = whole(rows.column("doc_id")).cast(pa.int64())
+        self.h, self.counts = hash_column(whole(rows.column("text")))
+        self.first_row = rows.column("_row")[0].as_py()
+        a, start, n, text = anchors(self.h, self.counts, window, gram)
+        ok = ids.is_valid().to_numpy(zero_copy_only=False)[text]
+        self.anchor, self.start, self.n, self.text = a[ok], start[ok], n[ok], text[ok]
+        self.doc = ids.fill_null(0).to_numpy()[self.text]
+        self.begin = (np.cumsum(self.counts) - self.counts)[self.text]
+        self.window = window
+        self.hash = RunHashes(self.h, _BASES[0]).of(self.start, self.n + window - 1)
+        order = np.lexsort((self.doc, self.hash, self.anchor))
+        first = firsts(self.anchor[order], self.hash[order])
+        #: the earliest segment of each different one, in the order of anchor and hash, and the number of each segment's one
+        self.earliest = order[first]
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+        keys = self.anchor[self.earliest]
+        by_anchor = firsts(keys)
+        many = np.diff(np.r_[by_anchor, len(keys)])
+        #: anchors with too many different segments are asked once, with a mark
+        self.heavy_here = np.repeat(many > HEAVY_HERE, many)
+        self.asked = np.sort(np.r_[np.flatnonzero(~self.heavy_here), by_anchor[many > HEAVY_HERE]])
+
+    def told(self, flags: np.ndarray) -> np.ndarray:
+        """What is said of each different segment, from the answers to ``asked``."""
+        said = np.full(len(self.earliest), WINDOWED)
+        said[self.asked] = flags
+        said[self.heavy_here] = WINDOWED
+        return said
+
+    def windows(self, said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of segments dealt window by window: (places, their numbers) of all, and (hash, second hash, segment) of the different ones."""
+        of = np.flatnonzero(said[self.number] == WINDOWED)
+        at = spread(self.start[of], self.n[of])
+        of = np.repeat(of, self.n[of])
+        size = np.full(len(at), self.window)
+        w1, w2 = (RunHashes(self.h, b).of(at, size) for b in _BASES)
+        order = np.lexsort((self.doc[of], w2, w1))
+        first = firsts(w1[order], w2[order])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+        early = order[first]
+        return at, number, early, w1[early], w2[early], of[early]
+
+
+def ask_segments(chunks: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+    """The different segments of each piece, to the buckets of their anchors."""
+    edges = bucket_edges(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                a = anchors(*hash_words(byte_texts(part.column("text"))), window, gram)[0]
-                k, c = np.unique(signed(a), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["anchor", "c"])
-
-    rows = docs.select("text").mapInArrow(run, "anchor long, c long")
-    return rows.groupBy("anchor").agg(F.sum("c").alias("c")).filter("c > 1")
-
-
-def anchor_docs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, doc_id), once each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                a, _, _, text = anchors(*hash_words(byte_texts(part.column("text"))), window, gram)
-                ids = part.column("doc_id").take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), ids], names=["anchor", "doc_id"])
-
-    return docs.mapInArrow(run, f"anchor long, doc_id {dict(docs.dtypes)['doc_id']}")
-
-
-def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(shard, s1, s2, doc_id, start, words) of the windows whose anchors are in ``found``; heavy ones window by window.
-
-    ``docs`` has doc_id, text and found, an array of (anchor, heavy).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, limit=4 << 20):
-                h, counts = hash_words(byte_texts(part.column("text")))
-                a, start, n, text = anchors(h, counts, window, gram)
-                begin = (np.cumsum(counts) - counts)[text]
-                found = part.column("found")
-                flat = found.flatten()
-                keys, heavy = np.asarray(flat.field("anchor")).view(np.uint64), np.asarray(flat.field("heavy"))
-                owner = np.repeat(np.arange(part.num_rows), np.asarray(found.value_lengths().fill_null(0)))
-                # a text's anchors are looked up by (text, anchor)
-                order = np.lexsort((keys, owner))
-                both = np.stack([owner[order].astype(np.uint64), keys[order]])
-                slot = _find(both, text.astype(np.uint64), a)
-                ok = slot >= 0
-                is_heavy = heavy[order][np.maximum(slot, 0)] if len(order) else np.zeros(len(a), bool)
-                shard, first, size, owner_text, offset = [], [], [], [], []
-                light = ok & ~is_heavy
-                shard.append(a[light])
-                first.append(start[light])
-                size.append(n[light] + window - 1)
-                owner_text.append(text[light])
-                offset.append(start[light] - begin[light])
-                many = np.flatnonzero(ok & is_heavy)
-                if len(many):
-                    k = n[many]
-                    each = np.repeat(start[many], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                    shard.append(np.full(len(each), 0, np.uint64))
-                    first.append(each)
-                    size.append(np.full(len(each), window))
-                    owner_text.append(np.repeat(text[many], k))
-                    offset.append(each - np.repeat(begin[many], k))
-                shard, first, size, owner_text, offset = (np.concatenate(v) for v in (shard, first, size, owner_text, offset))
-                if not len(first):
-                    continue
-                index = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                words = h[index]
-                ends = np.cumsum(size)
-                s1, s2 = _hash_runs(words, size)
-                shard = np.where(shard == 0, s1, shard)
-                offsets = pa.array(np.r_[0, ends].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(shard)), pa.array(signed(s1)), pa.array(signed(s2)), part.column("doc_id").take(pa.array(owner_text)), pa.array(offset), pa.ListArray.from_arrays(offsets, pa.array(signed(words)))],
-                    names=["shard", "s1", "s2", "doc_id", "start", "words"],
-                )
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"shard long, s1 long, s2 long, doc_id {kind}, start long, words array<long>")
-
-
-def _find(both: np.ndarray, text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Place of each (text, anchor) among the sorted columns of ``both``, or -1."""
-    if not both.shape[1] or not len(text):
-        return np.full(len(text), -1)
-    rank = {v: i for i, v in enumerate(zip(both[0].tolist(), both[1].tolist(), strict=True))}
-    pairs = zip(text.tolist(), anchor.tolist(), strict=True)
-    return np.fromiter((rank.get(v, -1) for v in pairs), np.int64, len(text))
-
-
-def _hash_runs(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each run of words, which depend on the order of the words."""
-    begin = np.cumsum(size) - size
-    place = (np.arange(len(words)) - np.repeat(begin, size)).astype(np.uint64)
-    out = []
-    for salt in (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)):
-        v = mix(words ^ mix((place + np.uint64(1)) * salt))
-        out.append(mix(np.add.reduceat(v, begin) + size.astype(np.uint64)))
-    return out[0], out[1]
+        for rows in pieces(batches):
+            s = Segments(rows, window, gram)
+            chunk, at = rows.column("_chunk")[0].as_py(), s.earliest[s.asked]
+            mark = s.heavy_here[s.asked].astype(np.int64)
+            made = []
+            for i, x in deal(s.anchor[at], edges):
+                e = at[x]
+                made.append((i, chunk, s.first_row, len(e), pack_keys(s.anchor[e]), s.hash[e].tobytes(), pack_numbers(s.doc[e]), pack_numbers(s.text[e]), pack_counts(mark[x])))
+            # a piece without segments is known by an empty row
+            yield batch(made or [(chunk % buckets, chunk, s.first_row, 0, b"", b"", b"", b"", b"")], "bucket _chunk piece n keys hashes docs rows marks", "llllbbbbb")
+
+    return chunks.mapInArrow(run, "bucket long, _chunk long, piece long, n long, keys binary, hashes binary, docs binary, rows binary, marks binary")
+
+
+def _joined(rows: pa.Table, f, *names: str) -> np.ndarray:
+    """The unpacked numbers of a column of all rows."""
+    columns = [rows.column(c).to_pylist() for c in (*names, "n")]
+    return np.concatenate([f(*x) for x in zip(*columns, strict=True)])
+
+
+def _row_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk and row of everything asked."""
+    n = rows.column("n").to_numpy()
+    row = _joined(rows, unpack_numbers, "rows") + np.repeat(rows.column("piece").to_numpy(), n)
+    return np.repeat(rows.column("_chunk").to_numpy(), n), row
+
+
+def _answers(rows: pa.Table, kind: int, values: np.ndarray, pack) -> pa.Table:
+    n = rows.column("n").to_pylist()
+    parts = np.split(values, np.cumsum(n)[:-1])
+    made = [(c, p, b, kind, k, pack(v)) for c, p, b, k, v in zip(rows.column("_chunk").to_pylist(), rows.column("piece").to_pylist(), rows.column("bucket").to_pylist(), n, parts, strict=True)]
+    return pa.Table.from_batches([batch(made, "_chunk piece bucket kind n data", "lllllb")])
+
+
+_ANSWERS = "_chunk long, piece long, bucket long, kind long, n long, data binary"
+
+
+def tell_segments(asked: DataFrame, heavy: int) -> DataFrame:
+    """Of each segment asked: alone with its anchor, a repeat, to be indexed, or to be dealt window by window."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        anchor = _joined(rows, unpack_keys, "keys")
+        hash_ = _joined(rows, lambda d, n: np.frombuffer(d, np.uint64, n), "hashes")
+        doc, mark = _joined(rows, unpack_numbers, "docs"), _joined(rows, unpack_counts, "marks")
+        chunk, row = _row_of(rows)
+        order = np.lexsort((row, chunk, doc, hash_, anchor))
+        a, first = anchor[order], firsts(anchor[order], hash_[order])
+        by_anchor = firsts(a)
+        size = np.diff(np.r_[by_anchor, len(a)])
+        is_first = np.zeros(len(a), np.int64)
+        is_first[first] = 1
+        different = np.repeat(np.add.reduceat(is_first, by_anchor), size) if len(a) else is_first
+        marked = np.repeat(np.maximum.reduceat(mark[order], by_anchor), size) if len(a) else is_first
+        flags = np.where(is_first == 0, REPEAT, np.where(different > 1, INDEXED, ALONE))
+        flags = np.where((marked > 0) | (different > heavy), WINDOWED, flags)
+        out = np.empty(len(a), np.int64)
+        out[order] = flags
+        return _answers(rows, 0, out, pack_counts)
+
+    return asked.groupBy("bucket").applyInArrow(run, _ANSWERS)
+
+
+def _told(found: pa.Table, kind: int, unpack) -> np.ndarray:
+    """The answers of one kind in the order of what was asked."""
+    kinds, bucket, n = (found.column(c).to_numpy() for c in ("kind", "bucket", "n"))
+    mine = np.flatnonzero(kinds == kind)
+    mine = mine[np.argsort(bucket[mine])]
+    data = found.column("data")
+    return np.concatenate([*(unpack(data[i].as_py(), int(n[i])) for i in mine.tolist()), np.zeros(0, np.int64)])
+
+
+def ask_windows(chunks: DataFrame, answers: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+    """The words of segments to be indexed (even buckets), and windows by themselves (odd ones)."""
+    edges = bucket_edges(buckets)
+    names = "bucket _chunk piece n keys hashes docs rows starts sizes words"
+
+    def piece(found: pa.Table, rows: pa.Table) -> pa.Table:
+        s = Segments(rows, window, gram)
+        chunk = rows.column("_chunk")[0].as_py()
+        said = s.told(_told(found, 0, unpack_counts))
+        made = []
+        at = s.earliest[said == INDEXED]
+        for i, x in deal(s.anchor[at], edges):
+            e = at[x]
+            size = s.n[e] + window - 1
+            words = s.h[spread(s.start[e], size)]
+            made.append((2 * i, chunk, s.first_row, len(e), pack_keys(s.anchor[e]), b"", pack_numbers(s.doc[e]), pack_numbers(s.text[e]), pack_numbers(s.start[e] - s.begin[e]), pack_numbers(size), words.tobytes()))
+        _, _, _, w1, w2, of = s.windows(said)
+        for i, x in deal(w1, edges):
+            made.append((2 * i + 1, chunk, s.first_row, len(of[x]), pack_keys(w1[x]), w2[x].tobytes(), pack_numbers(s.doc[of[x]]), pack_numbers(s.text[of[x]]), b"", b"", b""))
+        return pa.Table.from_batches([batch(made, names, "llllbbbbbbb")])
+
+    kinds = ", ".join(f"{c} {'long' if i < 4 else 'binary'}" for i, c in enumerate(names.split()))
+    return answered(chunks, answers, kinds, piece)
+
+
+def tell_windows(asked: DataFrame, window: int) -> DataFrame:
+    """Of each segment: bits of the windows that start earlier elsewhere; of each window alone: whether it is the earliest."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        key, doc = _joined(rows, unpack_keys, "keys"), _joined(rows, unpack_numbers, "docs")
+        chunk, row = _row_of(rows)
+        if rows.column("bucket")[0].as_py() % 2:
+            other = _joined(rows, lambda d, n: np.frombuffer(d, np.uint64, n), "hashes")
+            order = np.lexsort((row, chunk, doc, other, key))
+            out = np.zeros(len(order), np.int64)
+            out[order[firsts(key[order], other[order])]] = 1
+            return _answers(rows, 2, out, pack_counts)
+        start, size = _joined(rows, unpack_numbers, "starts"), _joined(rows, unpack_numbers, "sizes")
+        words = np.concatenate([np.frombuffer(d, np.uint64) for d in rows.column("words").to_pylist()])
+        place = np.lexsort((row, chunk, doc))
+        text = np.empty(len(place), np.int64)  # texts in the order of their places
+        text[place] = np.repeat(np.arange(len(f := firsts(doc[place], chunk[place], row[place]))), np.diff(np.r_[f, len(place)]))
+        order = np.argsort(key, kind="stable")
+        begin = (np.cumsum(size) - size)[order]
+        bits = np.zeros(len(order), np.int64)
+        held = np.cumsum(size[order])
+        cuts = firsts(key[order])
+        # whole anchors to an index, about SHARD_WORDS words to each
+        shard = (held - size[order])[cuts] // SHARD_WORDS
+        to = [*cuts[firsts(shard)].tolist(), len(order)]
+        for a, b in zip(to[:-1], to[1:], strict=True):
+            o = order[a:b]
+            flags = repeats_in_shard(words[spread(begin[a:b], size[o])], size[o], text[o], start[o], window)
+            n = size[o] - window + 1
+            value = flags.astype(np.int64) << spread(np.zeros(len(n), np.int64), n)
+            bits[o] = np.add.reduceat(value, np.cumsum(n) - n)
+        return _answers(rows, 1, bits, pack_numbers)
+
+    return asked.groupBy("bucket").applyInArrow(run, _ANSWERS)
 
 
 class Bits:
@@ -215,7 +337,7 @@ class FMIndex:
             width *= 2
             if new[-1] == n - 1:
                 break
-        self.suffixes = order
+        self.order = order
         top = int(sequence.max()) + 1
         self.begin = np.r_[0, np.cumsum(np.bincount(sequence, minlength=top))]
         self.last = WaveletMatrix(sequence[order - 1], max(1, top.bit_length()))
@@ -236,75 +358,41 @@ class FMIndex:
             matched[live] += 1
         return matched, lo, hi
 
+    def keep(self, when: np.ndarray) -> None:
+        """From now on the index knows the rank in time of each suffix, and no longer where it stands."""
+        self.when = np.r_[when[self.order], np.iinfo(np.int64).max]
+        del self.order
+
+    def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(self.when, np.stack([lo, hi], 1).ravel())[::2]
 
-def repeats_in_shard(words: list[np.ndarray], doc: np.ndarray, start: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each segment, which of its windows also start earlier in this shard."""
-    size = np.array([len(w) for w in words])
-    flat = np.concatenate(words)
+
+def repeats_in_shard(flat: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """For each window of the segments, whose words stand in ``flat`` one after the other, whether it also starts earlier in this shard."""
     _, number = np.unique(flat, return_inverse=True)
     ends = np.cumsum(size + 1)
-    sequence = np.zeros(len(flat) + len(words), np.int64)
+    sequence = np.zeros(len(flat) + len(size), np.int64)
     inner = np.ones(len(sequence), bool)
     inner[ends - 1] = False
     sequence[inner] = number + 1
     index = FMIndex(sequence, window)
-    segment = np.repeat(np.arange(len(words)), size + 1)
+    segment = np.repeat(np.arange(len(size)), size + 1)
     place = np.arange(len(sequence)) - np.repeat(ends - size - 1, size + 1)
-    at = np.lexsort((start[segment] + place, doc[segment]))
+    at_word = start[segment] + place
+    at = np.lexsort((at_word, doc[segment]))
     when = np.empty(len(sequence), np.int64)
-    same = (doc[segment][at][1:] == doc[segment][at][:-1]) & ((start[segment] + place)[at][1:] == (start[segment] + place)[at][:-1])
+    same = (doc[segment][at][1:] == doc[segment][at][:-1]) & (at_word[at][1:] == at_word[at][:-1])
     when[at] = np.r_[0, np.cumsum(~same)]  # a place that two segments cover counts once
-    firsts = np.flatnonzero(place <= size[segment] - window)
-    earlier = np.zeros(len(sequence), bool)
-    for i in range(0, len(firsts), 1 << 16):
-        some = firsts[i : i + (1 << 16)]
+    index.keep(when)
+    first = np.flatnonzero(place <= size[segment] - window)
+    earlier = np.zeros(len(first), bool)
+    for i in range(0, len(first), 1 << 16):
+        some = first[i : i + (1 << 16)]
         matched, lo, hi = index.search(sequence[some[:, None] + np.arange(window)])
-        full = matched >= window
-        some, lo, hi = some[full], lo[full], hi[full]
-        more = hi - lo > 1
-        some, lo, hi = some[more], lo[more], hi[more]
-        if len(some):
-            ordered = np.r_[when[index.suffixes], np.iinfo(np.int64).max]
-            least = np.minimum.reduceat(ordered, np.stack([lo, hi], 1).ravel())[::2]
-            earlier[some] = least < when[some]
-    return [earlier[e - s - 1 : e - window] for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
-
-
-def marked(distinct: DataFrame, window: int) -> DataFrame:
-    """(s1, s2, repeats): for each segment the windows that start earlier elsewhere; whole shards to one index."""
-    kind = "s1 long, s2 long, repeats array<boolean>"
-
-    def unit(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        column = t.column("words").combine_chunks()
-        flat = np.asarray(column.flatten())
-        cuts = np.cumsum(np.asarray(column.value_lengths()))[:-1]
-        flags = repeats_in_shard(np.split(flat, cuts), np.asarray(t.column("doc_id")), np.asarray(t.column("start")), window)
-        offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in flags])].astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [t.column("s1").combine_chunks(), t.column("s2").combine_chunks(), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flags)))], names=["s1", "s2", "repeats"]
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = np.asarray(batch.column("shard"))
-            cuts = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
-            lengths = np.asarray(batch.column("words").value_lengths())
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                new = not held or held[-1].column("shard")[-1].as_py() != int(shard[a])
-                if words >= SHARD_WORDS and new:
-                    yield unit(pa.Table.from_batches(held))
-                    held, words = [], 0
-                held.append(batch.slice(a, b - a))
-                words += int(lengths[a:b].sum())
-        if held:
-            yield unit(pa.Table.from_batches(held))
-
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, kind)
+        full = np.flatnonzero((matched >= window) & (hi - lo > 1))
+        if len(full):
+            earlier[i + full] = index.earliest(lo[full], hi[full]) < when[some[full]]
+    return earlier
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
@@ -312,46 +400,36 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int =
     spark = docs.sparkSession
     ship(spark)
     shared = Shared(spark, "substrings")
-    docs = docs.select("doc_id", "text")
-    named = docs.filter(F.col("doc_id").isNotNull())
-    kept = shared.save(anchor_counts(named, window, gram).withColumn("heavy", F.col("c") > heavy).select("anchor", "heavy"), "anchors")
-    hits = anchor_docs(named, window, gram).distinct().join(kept, "anchor")
-    found = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "heavy")).alias("found"))
-    cut = shared.save(segments(named.join(found, "doc_id").select("doc_id", "text", "found"), window, gram), "segments")
-    at = F.struct("doc_id", "start")
-    distinct = shared.save(
-        cut.groupBy("shard", "s1", "s2").agg(F.min(F.struct("doc_id", "start", "words")).alias("x")).select("shard", "s1", "s2", "x.doc_id", "x.start", "x.words"), "distinct"
-    )
-    marks = shared.save(marked(distinct, window), "marks")
-    first = distinct.select("s1", "s2", at.alias("first")).join(marks, ["s1", "s2"])
-    first = shared.save(first, "first")
-    shared.drop(distinct, marks, kept)
-    spans = cut.select("s1", "s2", "doc_id", "start", (F.size("words") - window + 1).alias("n")).join(first, ["s1", "s2"])
-    flags = F.when(F.struct("doc_id", "start") == F.col("first"), F.col("repeats")).otherwise(F.array_repeat(F.lit(True), F.col("n")))
-    places = F.filter(F.transform(flags, lambda f, i: F.when(f, F.col("start") + i)), lambda x: x.isNotNull())
-    gone = spans.select("doc_id", places.alias("p")).filter(F.size("p") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("p")).alias("windows"))
-    out = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "windows")
-    kind = dict(docs.dtypes)["doc_id"]
+    chunks = shared.save(chunked(docs.select("doc_id", "text"), CHUNK), "chunks")
+    buckets = bucket_count(chunks, BUCKET)
+    segments = shared.save(tell_segments(ask_segments(chunks, buckets, window, gram), heavy), "segments")
+    windows = shared.save(tell_windows(ask_windows(chunks, segments, buckets, window, gram), window), "windows")
+
+    def piece(found: pa.Table, rows: pa.Table) -> pa.Table:
+        s = Segments(rows, window, gram)
+        said = s.told(_told(found, 0, unpack_counts))
+        is_first = np.zeros(len(s.number), bool)
+        is_first[s.earliest] = True
+        all_gone = np.flatnonzero((said[s.number] == REPEAT) | ((said[s.number] != WINDOWED) & ~is_first))
+        at, number, early, w1, _, _ = s.windows(said)
+        one_gone = ~_told(found, 2, unpack_counts).astype(bool)[number]
+        one_gone[np.setdiff1d(np.arange(len(at)), early)] = True
+        indexed = s.earliest[said == INDEXED]
+        bits = np.repeat(_told(found, 1, unpack_numbers), s.n[indexed])
+        places = spread(s.start[indexed], s.n[indexed])
+        bit = bits >> spread(np.zeros(len(indexed), np.int64), s.n[indexed]) & 1
+        single = np.r_[at[one_gone], places[bit.astype(bool)]]
+        begin = np.r_[s.start[all_gone], single]
+        end = np.r_[s.start[all_gone] + s.n[all_gone] + window - 1, single + window]
+        edge = np.bincount(begin, minlength=len(s.h) + 1) - np.bincount(end, minlength=len(s.h) + 1)
+        gone = np.cumsum(edge)[:-1] > 0
+        removed, kept_text, done = [], [], 0
+        for text, n in zip(byte_texts(whole(rows.column("text"))), s.counts.tolist(), strict=True):
+            words, mine = (text or b"").split(), gone[done : done + n]
+            done += n
+            removed.append(int(mine.sum()))
+            kept_text.append(b" ".join([words[j] for j in np.flatnonzero(~mine).tolist()] if removed[-1] else words))
+        return pa.Table.from_arrays([whole(rows.column("doc_id")), pa.array(s.counts), pa.array(removed, pa.int64()), pa.array(kept_text, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, limit=4 << 20):
-                n, removed, kept_text = [], [], []
-                windows = part.column("windows")
-                for i, text in enumerate(byte_texts(part.column("text"))):
-                    words = (text or b"").split()
-                    n.append(len(words))
-                    if windows[i].is_valid and len(windows[i].values):
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        start = np.unique(np.asarray(windows[i].values))
-                        edge[start] += 1
-                        np.add.at(edge, start + window, -1)
-                        stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
-                        removed.append(len(words) - len(stay))
-                        kept_text.append(b" ".join([words[j] for j in stay.tolist()]))
-                    else:
-                        removed.append(0)
-                        kept_text.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_text, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return out.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary")
+    kind = dict(docs.dtypes)["doc_id"]
+    return answered(chunks, segments.unionByName(windows), f"doc_id {kind}, n_words long, n_removed long, kept binary", piece)

@@ -116,6 +116,31 @@ def test_substrings_equal_brute_force(spark, monkeypatch, heavy):
     assert substring.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("here", "heavy"), [(64, 2048), (2, 2048), (64, 3)])
+def test_substrings_in_many_chunks_with_repeated_and_null_ids(spark, monkeypatch, here, heavy):
+    for name, value in (("CHUNK", 6000), ("BUCKET", 9000), ("HEAVY_HERE", here), ("SHARD_WORDS", 400)):
+        monkeypatch.setattr(substring, name, value)
+    r = random.Random(here + heavy)
+    words = [f"w{i}" for i in range(200)]
+    common = [r.choice(words) for _ in range(24)]
+    rows = []
+    for i in range(150):
+        t = [r.choice(words) for _ in range(r.randrange(5, 40))]
+        if i % 2:
+            t += [*common[: r.choice([20, 22, 24])], r.choice(words), *common]
+        if i % 7 == 0:
+            t += ["tick", "tock"] * 15
+        rows.append((None if i % 50 == 3 else i // 2 if i % 11 == 0 else 200 - i, " ".join(t), 1))
+    rows += [(500, "many words " * 20000 + "\u00e9\u00e8 \x00 " * 30, 1), (501, None, 1), (502, "", 1), rows[5], rows[5]]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_words int").coalesce(1)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substring.dedup(docs, heavy=heavy).collect())
+    with_id = sorted((x for x in rows if x[0] is not None), key=lambda x: x[0])  # stable
+    want = [(False, x[0], *b) for x, b in zip(with_id, brute_substrings([x[1] for x in with_id], 20))]
+    want += [(True, 0, *brute_substrings([x[1]], 99999999)[0]) for x in rows if x[0] is None]
+    assert got == sorted(want)
+
+
 def test_index_matches_plain_search():
     r = np.random.default_rng(1)
     seq = np.concatenate([[*r.integers(1, 6, 30), 0] for _ in range(5)]).astype(np.int64)

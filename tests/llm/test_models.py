@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sentrylake.llm import langid, lm
+from sentrylake.llm import chunks, langid, lm
 from sentrylake.llm.queries import remainder
 from sentrylake.llm.words import LOWER
 
@@ -75,12 +75,15 @@ def test_probabilities_of_each_state_sum_to_one():
         assert sum(p(context, w) for w in [b"a", b"b", b"c", b"d", b" end", b"neverseen"]) == pytest.approx(1, abs=1e-12)
 
 
-def test_packing_of_keys_and_counts():
+def test_packing_of_keys_and_numbers():
     rng = np.random.default_rng(3)
-    for k in (np.array([5], np.uint64), np.array([0, 2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**64, 1000, np.uint64)), np.arange(2**63, 2**63 + 9, dtype=np.uint64)):
-        assert (lm.unpack(*lm.pack(k)) == k).all()
+    top = np.iinfo(np.int64)
+    for k in (np.array([5], np.uint64), np.array([0, 2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**64, 1000, np.uint64)), np.array([2**63] * 3 + [2**63 + 9], np.uint64), np.zeros(0, np.uint64)):
+        assert (chunks.unpack_keys(chunks.pack_keys(k), len(k)) == k).all()
+    for v in (np.array([-5, 7, 7]), np.array([top.min, top.max]), np.array([3]), np.array([3, 3]), np.zeros(0, np.int64)):
+        assert (chunks.unpack_numbers(chunks.pack_numbers(v), len(v)) == v).all()
     c = np.array([0, 1, 254, 255, 256, 10**12, 3])
-    assert (lm.unpack_counts(lm.pack_counts(c), len(c)) == c).all()
+    assert (chunks.unpack_counts(chunks.pack_counts(c), len(c)) == c).all()
 
 
 def test_scoring_without_training_rows(spark):
