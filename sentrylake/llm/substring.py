@@ -36,6 +36,7 @@ HEAVY, HEAVY_HERE = 2048, 64
 #: Bytes of text in a chunk, and of text whose segments meet in a bucket; words that one index holds, about.
 CHUNK, BUCKET = 12 << 20, 24 << 20
 SHARD_WORDS = 1 << 18
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: What a bucket says of a segment.
 ALONE, REPEAT, INDEXED, WINDOWED = range(4)
@@ -62,7 +63,8 @@ def anchors(h: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[
     if not len(inside):
         return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (inside[1:] != inside[:-1] + 1)])
-    return g[place[first]], inside[first], np.diff(np.r_[first, len(inside)]), text[inside[first]]
+    # anchors are the smallest of their neighbours: hashed again, so that they spread over all buckets
+    return mix(g[place[first]] + _STEP), inside[first], np.diff(np.r_[first, len(inside)]), text[inside[first]]
 
 
 class RunHashes:
@@ -158,7 +160,7 @@ def ask_segments(chunks: DataFrame, buckets: int, window: int, gram: int) -> Dat
                 e = at[x]
                 made.append((i, chunk, s.first_row, len(e), pack_keys(s.anchor[e]), s.hash[e].tobytes(), pack_numbers(s.doc[e]), pack_numbers(s.text[e]), pack_counts(mark[x])))
             # a piece without segments is known by an empty row
-            yield batch(made or [(chunk % buckets, chunk, s.first_row, 0, b"", b"", b"", b"", b"")], "bucket _chunk piece n keys hashes docs rows marks", "llllbbbbb")
+            yield batch(made or [(chunk % buckets, chunk, s.first_row, 0, b"", b"", b"", b"", pack_counts(s.n[:0]))], "bucket _chunk piece n keys hashes docs rows marks", "llllbbbbb")
 
     return chunks.mapInArrow(run, "bucket long, _chunk long, piece long, n long, keys binary, hashes binary, docs binary, rows binary, marks binary")
 
