@@ -7,6 +7,7 @@ order. So keys travel once and never come back, and there is one row for each pi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -95,15 +96,17 @@ def answered(chunks: DataFrame, answers: DataFrame, fields: str, f: Callable[[pa
 
 
 def _narrow(v: np.ndarray) -> bytes:
-    """A byte that says how wide a number is, then the numbers."""
-    width = (int(v.max()).bit_length() + 7) // 8
-    return bytes([width]) + v.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """A byte that says how wide a number is, the numbers' lower bytes, and their uppermost ones, which differ little, coded."""
+    width = max(1, (int(v.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(v.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + planes[:-1].tobytes() + zlib.compress(planes[-1], 1)
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:
+    width, low = data[0], 1 + (data[0] - 1) * n
     out = np.zeros((n, 8), np.uint8)
-    if data[0]:
-        out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(n, data[0])
+    out[:, : width - 1] = np.frombuffer(data, np.uint8, low - 1, 1).reshape(width - 1, n).T
+    out[:, width - 1] = np.frombuffer(zlib.decompress(data[low:]), np.uint8)
     return out.view(np.uint64).ravel()
 
 
@@ -133,10 +136,11 @@ def unpack_numbers(data: bytes, n: int) -> np.ndarray:
 
 def pack_counts(c: np.ndarray) -> bytes:
     """A byte for each count, and the counts from 255 on in full after them."""
-    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype(np.int64).tobytes()
+    return zlib.compress(np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype(np.int64).tobytes(), 1)
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    data = zlib.decompress(data)
     c = np.frombuffer(data, np.uint8, n).astype(np.int64)
     c[c == 255] = np.frombuffer(data, np.int64, offset=n)
     return c

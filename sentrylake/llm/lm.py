@@ -38,7 +38,7 @@ ORDER, ADD, PRIOR = 3, 0.1, 16.0
 #: not the hash of any word
 END = np.uint64(0x9D39247E33776D41)
 #: Bytes of text in a chunk, and of text whose n-grams meet in a bucket.
-CHUNK, BUCKET = 24 << 20, 24 << 20
+CHUNK, BUCKET = 12 << 20, 24 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,7 +167,7 @@ def _score(chunks: DataFrame, answers: DataFrame, n_tokens: int, n_words: int, k
             mine = np.flatnonzero(bucket % ORDER == n)
             mine = mine[np.argsort(bucket[mine])]
             assert size[mine].sum() == len(distinct), "a piece has other n-grams than it asked for"
-            parts = [unpack_counts(data[i].as_buffer(), size[i]) for i in mine.tolist()]
+            parts = [unpack_counts(data[i].as_py(), int(size[i])) for i in mine.tolist()]
             orders.append((number.astype(np.int32), last, np.concatenate([*parts, np.zeros(0, np.int64)])))
         known, base, total = Automaton(orders, len(h), n_tokens, n_words).walk()
         starts = np.cumsum(counts) - counts
