@@ -12,7 +12,7 @@ get one edge to each. Candidate pairs and those edges form candidate groups; a g
 task that scans the chunks' inverted lists and counts all overlaps exactly. So no row per pair of a group is made, equal sets are
 joined once as one class, and all links are found: ``n_links`` counts them.
 
-A set is known by a 64-bit hash of its sorted shingle hashes. Texts without words (null, empty, white space) have
+A set is known by a hash of its sorted shingle hashes; sets are told apart by 128 bits of hash. Texts without words (null, empty, white space) have
 n_shingles 0 and link with nothing. Rows with a null doc_id link with nothing and have a null component_id. Repeated rows
 are copies. An empty table gives an empty result. Only doc_id and text are read.
 """
@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import Shared, ship, units
-from .words import byte_texts, grams, hash_words, mix, signed, slices
+from .words import grams, hash_column, mix, signed, slices
 
 #: A shingle with so many listings is frequent; at most HOT of them are broadcast (8 bytes each).
 FREQUENT, HOT, ROUNDS = 64, 1 << 17, 2
 #: A list that is longer than this after all is not expanded to pairs.
 LONGEST_LIST = 512
 #: Sets and shingles of a chunk, about.
-CHUNK_SETS, CHUNK_SHINGLES = 1024, 1 << 20
+CHUNK_SETS, CHUNK_SHINGLES = 256, 1 << 18
 ENUMERATED = 4096
 _NODE = np.uint64(0x5851F42D4C957F2D)
 
@@ -81,9 +81,9 @@ class Threshold:
         return b
 
 
-def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer than ``size`` words are one shingle."""
-    h, counts = hash_words(texts, lower=True)
+    h, counts = hash_column(texts, lower=True)
     g = grams(h, size)
     out, at = [], 0
     for n in counts.tolist():
@@ -97,27 +97,55 @@ def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
+def _hash64(s: np.ndarray, seed: int) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=seed)).view(np.int64))
+
+
+class Ids:
+    """The id of a set: a hash, and where different sets have the same one, another. ``clashes`` are those hashes."""
+
+    def __init__(self, clashes: frozenset[int] = frozenset()):
+        self.clashes = clashes
+
+    def of(self, s: np.ndarray) -> int:
+        first = _hash64(s, 0)
+        return self.second(s) if first in self.clashes else first
+
+    @staticmethod
+    def second(s: np.ndarray) -> int:
+        return _hash64(s, 1)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part in slices(batch):
-            yield part, shingle_sets(byte_texts(part.column("text")), size)
+            yield part, shingle_sets(part.column("text"), size)
 
 
-def identify(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, sid) of every row; sid is null without words."""
+def identify(docs: DataFrame, size: int, ids: Ids) -> DataFrame:
+    """(doc_id, n, sid, second) of every row; sid is null without words, ``second`` tells sets with one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, size):
-            ids = [set_id(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n", "sid"]
-            )
+            made = ([len(s) for s in sets], [ids.of(s) if len(s) else None for s in sets], [ids.second(s) if len(s) else None for s in sets])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(v, pa.int64()) for v in made]], names=["doc_id", "n", "sid", "second"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sid long, second long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sid long")
+
+def classes_of(docs: DataFrame, size: int, shared: Shared) -> tuple[DataFrame, DataFrame, Ids]:
+    """(rows, sets, ids): each row with its set, and one row per different set. Ids that two sets share are given up, so that no
+    sets are taken for one another below 128 bits; of n sets about n * n / 2 ** 65 share one, so these few are collected."""
+    ids = Ids()
+    while True:
+        rows = shared.save(identify(docs, size, ids), "rows")
+        named = rows.filter("doc_id IS NOT NULL AND sid IS NOT NULL").groupBy("sid")
+        sets = shared.save(named.agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.count("*").alias("copies"), (F.min("second") != F.max("second")).alias("clash")), "sets")
+        found = frozenset(r.sid for r in sets.filter("clash").select("sid").collect()) - ids.clashes
+        if not found:
+            return rows.drop("second"), sets.drop("clash"), ids
+        shared.drop(rows, sets)
+        ids = Ids(ids.clashes | found)
 
 
 def _in_order(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
@@ -182,7 +210,7 @@ def ranked(found: dict[int, int]) -> np.ndarray:
     return np.sort(out, order="h")
 
 
-def listings(docs: DataFrame, size: int, t: Threshold, hot_rows: np.ndarray, boundary: int) -> DataFrame:
+def listings(docs: DataFrame, size: int, t: Threshold, hot_rows: np.ndarray, boundary: int, known: Ids) -> DataFrame:
     """(k, sid, n, edge): a listing of a set under a shingle, or (edge) a set's link to a node that may join it to others."""
     hot = docs.sparkSession.sparkContext.broadcast(hot_rows)
 
@@ -200,7 +228,7 @@ def listings(docs: DataFrame, size: int, t: Threshold, hot_rows: np.ndarray, bou
                 n = len(s)
                 if not n:
                     continue
-                sid = set_id(s)
+                sid = known.of(s)
                 if n <= boundary:
                     subsets = [xxhash.xxh64_intdigest(np.array(c, np.uint64).tobytes(), seed=1) for o in t.subset_sizes(n, boundary) for c in combinations(s.tolist(), o)]
                     put(np.array(subsets, np.uint64) ^ _NODE, sid, n, True)
@@ -318,16 +346,17 @@ def roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def verify(groups: DataFrame, size: int, t: Threshold) -> DataFrame:
+def verify(groups: DataFrame, size: int, t: Threshold, ids: Ids) -> DataFrame:
     """(sid, low, links): of each set of a chunk pair, the copies linked with it there and one set of its component.
 
-    ``groups``: root, i, j, chunk, sid, copies, text; rows of one (root, i, j) are a task's unit.
+    ``groups``: root, i, j, chunk, chunks, sid, copies, text; rows of one (root, i, j) are a unit. A group's units are dealt to the
+    tasks in turn.
     """
 
     def unit(rows: pa.Table) -> pa.RecordBatch:
-        sets = shingle_sets(byte_texts(rows.column("text").combine_chunks()), size)
+        sets = shingle_sets(rows.column("text").combine_chunks(), size)
         sid, copies, chunk = (np.asarray(rows.column(c)) for c in ("sid", "copies", "chunk"))
-        ok = np.array([bool(len(s)) and set_id(s) == x for s, x in zip(sets, sid.tolist(), strict=True)])
+        ok = np.array([bool(len(s)) and ids.of(s) == x for s, x in zip(sets, sid.tolist(), strict=True)])
         _, keep = np.unique(np.where(ok, sid, -1), return_index=True)
         keep = np.sort(keep[ok[keep]])
         sets, sid, copies, chunk = [sets[x] for x in keep], sid[keep], copies[keep], chunk[keep]
@@ -350,7 +379,8 @@ def verify(groups: DataFrame, size: int, t: Threshold) -> DataFrame:
 
     spark = groups.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    turn = F.xxhash64("root") + F.col("i") * F.col("chunks") + F.col("j")
+    dealt = groups.repartitionById(n, F.pmod(turn, F.lit(n)).cast("int")).sortWithinPartitions("root", "i", "j")
     return dealt.mapInArrow(run, "sid long, low long, links long")
 
 
@@ -363,13 +393,10 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     ship(spark)
     shared, t = Shared(spark, "ngrams"), Threshold(percent)
     docs = docs.select("doc_id", "text")
-    rows = shared.save(identify(docs, size), "rows")
+    rows, sets, ids = classes_of(docs, size, shared)
     named = docs.filter(F.col("doc_id").isNotNull())
-    sets = shared.save(
-        rows.filter("doc_id IS NOT NULL AND sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.count("*").alias("copies")), "sets"
-    )
     hot, mean_list = frequent(named, size, t)
-    lists = shared.save(listings(named, size, t, hot, t.boundary(mean_list)), "lists")
+    lists = shared.save(listings(named, size, t, hot, t.boundary(mean_list), ids), "lists")
     cand = candidates(lists, t)
     near = cand.filter(~F.col("edge")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b")
     nodes = lists.filter("edge").select(F.col("k").alias("a"), F.col("sid").alias("b")).distinct()
@@ -387,9 +414,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     chunk = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
     member = shared.save(member.join(sizes, "root").select("root", "sid", "copies", F.col("first_id").alias("doc_id"), "chunks", chunk.alias("chunk")), "members")
     # the texts are dealt by doc_id at every size: whether the members fit a broadcast says nothing about the next table
-    both = member.join(named.hint("merge"), "doc_id").select("root", "sid", "copies", "chunk", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    groups = both.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sid", "copies", "text")
-    found = shared.save(verify(groups, size, t), "found")
+    both = member.join(named.hint("merge"), "doc_id").select("root", "sid", "copies", "chunk", "chunks", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    groups = both.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "chunks", "sid", "copies", "text")
+    found = shared.save(verify(groups, size, t, ids), "found")
     linked = found.filter("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
     root_of = shared.save(components(linked, shared), "roots").select(F.col("node").alias("sid"), "root")
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))

@@ -63,6 +63,32 @@ def test_join_equals_brute_force(spark, monkeypatch, size, percent, small):
     assert got == dict(enumerate(want))
 
 
+def test_join_when_ids_of_sets_clash():
+    ids = ngram_join.Ids(frozenset([ngram_join._hash64(np.arange(3, dtype=np.uint64), 0)]))
+    assert ids.of(np.arange(3, dtype=np.uint64)) == ids.second(np.arange(3, dtype=np.uint64)) != ngram_join.Ids().of(np.arange(3, dtype=np.uint64))
+
+
+def test_clashing_sets_are_told_apart(spark):
+    texts = corpus(11, 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    class Narrow(ngram_join.Ids):
+        def of(self, s):
+            first = int(s[0] % 8)
+            return self.second(s) if first in self.clashes else first
+
+    keep = ngram_join.Ids
+    ngram_join.Ids = Narrow
+    try:
+        rows, sets, ids = ngram_join.classes_of(docs, 4, Shared(spark, "clash"))
+        assert len(ids.clashes) > 4 and sets.count() == rows.agg(F.count_distinct("sid")).first()[0]
+        got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in ngram_join.join(docs, 4, 85).collect()}
+    finally:
+        ngram_join.Ids = keep
+    assert got == dict(enumerate(brute_join(texts, 4, 85)))
+
+
 def test_join_of_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in ngram_join.join(docs, 4, 85).collect()}

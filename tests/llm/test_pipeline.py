@@ -3,6 +3,7 @@ import hashlib
 import duckdb
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from sentrylake.llm import bpe, mixing, quality
@@ -44,3 +45,20 @@ def test_stages_equal_brute_force(spark, tmp_path):
         ids = enc.encode_ordinary(text)
         assert (last[k].n_tokens, last[k].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     assert {r.doc_id for r in cp.run(spark, SF).collect()} == want.keys()
+
+
+def test_stages_with_clashing_names_nulls_and_empty_tables(spark, tmp_path):
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    more = spark.createDataFrame([(None, None, None, None, None), (None, "a text without an id", "en", "src0", 20), (90001, None, None, None, None), (90002, "", "en", None, 0), (90003, "word " * 100_000, "xx", "src1", 500_000)], base.schema)
+    docs = base.unionByName(more)
+    clashing = ("n_dropped", "n_lines", "kept_text", "n_tokens", "copies", "row", "_row", "component_id", "fail_bits", "p")
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clashing)])
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for i, (_, stage) in enumerate(cp.STAGES):
+            out = stage(spark, now, SF)
+            if i < 4:
+                assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{empty}{i}")
+            now = spark.read.parquet(f"{tmp_path}/{empty}{i}")
+        assert (now.count() == 0) == empty

@@ -73,11 +73,30 @@ def test_runs_are_compacted(spark):
     docs = rows(spark, [f"A line of more than twenty points {i % 3}" for i in range(12)])
     runs = line_dedup.Runs(spark, fanout=2)
     for b in range(5):
-        runs.add(docs.filter(F.col("doc_id") % 5 == b))
+        runs.add(line_dedup.key_rows(docs.filter(F.col("doc_id") % 5 == b)))
+    assert sum(r.count() for r in runs.all()) == 3  # runs share no key
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert sorted(r.last_doc for r in runs.repeated().collect()) == [9, 10, 11]
 
 
+def test_batches_compact_their_runs_without_moving_them(spark):
+    line_dedup_runs = line_dedup.Runs(spark)
+    keys = line_dedup.key_rows(rows(spark, [f"A line of more than twenty points {i}" for i in range(12)]), line_dedup.BATCHES)
+    for b in range(line_dedup.BATCHES):
+        line_dedup_runs.add(keys.filter(F.col("batch") == b))
+    assert line_dedup.BATCHES >= line_dedup.FANOUT**2 and [len(level) for level in line_dedup_runs.levels][:2] == [0, 0]
+    plan = line_dedup_runs.all()[0].hint("merge").join(line_dedup_runs.again[0], ["h1", "h2"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_line_dedup_of_repeated_rows_null_ids_and_clashing_names(spark):
+    line, far = "The same line of twenty code points and more", "x" * 200_000
+    data = [(1, line, "a", 1), (1, line, "a", 1), (2, f"own\n{line}", "b", 2), (2, f"{line}\nother", "c", 3), (3, f"{line}\n{far}", "d", 4), (None, line, "e", 5), (None, f"x\n{line}", "f", 6), (None, None, "g", 7)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _lines string, n_dropped int")
+    got = sorted((r.doc_id or 0, r._lines, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_table(docs).collect())
+    assert got == [(0, "e", 1, 1, ""), (0, "f", 2, 1, "x"), (0, "g", 1, 0, ""), (1, "a", 1, 1, ""), (1, "a", 1, 1, ""), (2, "b", 2, 1, "own"), (2, "c", 2, 1, "other"), (3, "d", 2, 0, f"{line}\n{far}")]
+
+
 def test_oracles(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
