@@ -20,11 +20,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that other documents keep; a document without any text left goes. n_chars follows."""
-    out = line_dedup.dedup_table(docs)
-    text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    gone = (F.col("n_dropped") > 0) & (F.length(F.trim(F.col("kept_text"), F.lit(line_dedup.SPACE))) == 0)
-    chars = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    row = F.struct(*[{"text": text, "n_chars": chars}.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    names = docs.columns
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    out = line_dedup.dedup_table(packed)
+    dropped = F.col("n_dropped") > 0
+    text = F.when(dropped, F.col("kept_text")).otherwise(F.col("text"))
+    gone = dropped & (F.length(F.trim(F.col("kept_text"), F.lit(line_dedup.SPACE))) == 0)
+    chars = F.when(dropped, F.length(text).cast("long")).otherwise(F.col("_row.n_chars").cast("long"))
+    row = F.struct(*[{"text": text, "n_chars": chars}.get(c, F.col("_row").getField(c)).alias(c) for c in names])
     # a generator, so that the lines are put together once and not again in a filter
     return out.select(F.inline(F.when(gone, F.slice(F.array(row), 1, 0)).otherwise(F.array(row))))
 
@@ -35,7 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     later = groups.filter("doc_id <> component_id").select("doc_id")
     later = Shared(spark, "later").save(later, "later")
     # dealt by doc_id at every size, as in the join itself
-    return docs.join(later.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    return packed.join(later.hint("merge"), "doc_id", "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
