@@ -113,8 +113,9 @@ def repeats(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
 
 
 def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the key alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") / F.lit(float(1 << 53))
+    """A number in [0, 1) that depends on the key alone, and that SQL engines agree on."""
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = 5, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -141,3 +142,50 @@ def sample(docs: DataFrame, **how) -> DataFrame:
     kept = mix(packed, carry=("_row",), **how).filter("sampled")
     kept = kept.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])
+
+
+def _sql(targets: Mapping[str, Mapping[str, float]], budget: float, seed: int) -> str:
+    """The mix in SQL: a step of the recursion rakes one axis. Shares are exact in nine digits, as sums differ in the last ones."""
+    def category(axis: str) -> str:
+        names = ", ".join(f"'{k}'" for k in targets[axis] if k != OTHER)
+        return f"CASE WHEN {axis} IN ({names}) THEN {axis} ELSE '{OTHER}' END"
+
+    shares = ", ".join(f"({i}, '{k}', CAST({v} AS DOUBLE))" for i, a in enumerate(AXES) for k, v in targets[a].items())
+    on_axis = "CASE r.step % 3 WHEN 0 THEN r.source WHEN 1 THEN r.lang ELSE r.topic END"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+    CASE WHEN coalesce(length(text), 0) < 400 THEN 'short'
+      WHEN (length(text) - length(replace(text, chr(10), ''))) * 400 >= length(text) THEN 'list' ELSE 'prose' END AS topic
+  FROM documents
+), b AS (
+  SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, {category("source")} AS source, {category("lang")} AS lang, topic FROM d
+), cells AS (
+  SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM b GROUP BY ALL HAVING sum(n_tokens) > 0
+), named(axis, name, share) AS (VALUES {shares}), used AS (
+  SELECT 0 AS axis, source AS name FROM cells UNION SELECT 1, lang FROM cells UNION SELECT 2, topic FROM cells
+), target AS (
+  SELECT axis, name, share / sum(share) OVER (PARTITION BY axis) AS share FROM named JOIN used USING (axis, name)
+), r AS (
+  SELECT 0 AS step, source, lang, topic, tokens, CAST(tokens AS DOUBLE) AS w FROM cells
+  UNION ALL
+  SELECT r.step + 1, r.source, r.lang, r.topic, r.tokens,
+    r.w * t.share * sum(r.w) OVER () / sum(r.w) OVER (PARTITION BY t.name)
+  FROM r JOIN target t ON t.axis = r.step % 3 AND t.name = {on_axis} WHERE r.step < {3 * ROUNDS}
+), raked AS (
+  SELECT source, lang, topic, w / tokens AS weight, w / tokens * {budget} * sum(tokens) OVER () / sum(w) OVER () AS expected
+  FROM r WHERE step = {3 * ROUNDS}
+), e AS (
+  SELECT b.*, weight, coalesce(expected, 1.0) AS expected,
+    CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / {float(1 << 52)} AS u
+  FROM b LEFT JOIN raked USING (source, lang, topic)
+), c AS (
+  SELECT *, CAST(floor(expected) AS BIGINT) + CASE WHEN u < expected - floor(expected) THEN 1 ELSE 0 END AS copies FROM e
+)
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS weight, round(least(1.0, expected), 9) AS p,
+  round(expected, 9) AS expected, CAST(copies AS BIGINT) AS copies, copies > 0 AS sampled
+FROM c
+"""
+
+
+SQL = _sql(TARGETS, BUDGET, 5)

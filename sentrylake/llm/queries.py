@@ -40,7 +40,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_docs(spark, sf_dir))
-    return out.select("doc_id", *[F.col(f"_{a}").alias(a) for a in mixing.AXES], "n_tokens", "weight", "p", "expected", "copies", "sampled")
+    return out.select("doc_id", *[F.col(f"_{a}").alias(a) for a in mixing.AXES], "n_tokens", *[F.round(c, 9).alias(c) for c in ("weight", "p", "expected")], "copies", "sampled")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_line_dedup": line_dedup.SQL, "op7_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL}

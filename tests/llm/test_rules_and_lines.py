@@ -3,7 +3,7 @@ import hashlib
 import duckdb
 from pyspark.sql import functions as F
 
-from sentrylake.llm import line_dedup, mixing, quality
+from sentrylake.llm import line_dedup, mixing, quality, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_words string"
 WORDS = " ".join(f"word{i}" for i in range(30))
@@ -141,6 +141,15 @@ def test_mix_probabilities_and_budget(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    names = ("doc_id", "source", "lang", "topic", "n_tokens", "weight", "p", "expected", "copies", "sampled")
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({mixing.SQL})").fetchall())
+    assert sorted(tuple(r) for r in queries.op5_mixing(spark, sf).select(*names).collect()) == want and len(want) > 100
+
+
 def test_sampled_tokens_follow_the_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mixing.mix(docs).collect()
