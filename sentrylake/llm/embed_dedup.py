@@ -10,8 +10,11 @@ Only vectors with the same label are compared. The codebooks are fitted on the S
 is filed and every vector is a query. Equal vectors are one class with a count. A cell's vectors and its queries are cut into
 chunks, and each pair of chunks is a matrix product in one task, whose pairs are counted there and never become rows.
 
-Vectors that are null, zero, hold a null or non-finite component, or have another length than most, link with nothing, as do
-those without a label or vec_id. An empty table gives an empty result; further columns are not read.
+Only vectors of one length are compared. The grid has the commonest length of the sample; others are filed by their first so many
+components, or by sums of neighbouring ones scaled so that no distance grows, which keeps the bound true.
+
+Vectors that are null, zero, or hold a null or non-finite component link with nothing, as do those without a label or vec_id.
+Rows that repeat a vec_id count as vectors of their own. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from .ngram_join import roots
 from .shared import Shared, ship, units
 
 COSINE = 0.98
-SAMPLE, STEPS, CELL_VECTORS, CODEWORDS = 4096, 12, 1024, 64
+#: A grid has up to CODEWORDS ** 2 cells, for a label of a thousand million vectors.
+SAMPLE, STEPS, CELL_VECTORS, CODEWORDS = 4096, 12, 1024, 1024
 CHUNK = 1024
 
 
@@ -50,7 +54,8 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 class MultiIndex:
     def __init__(self, unit_vectors: np.ndarray, k: int):
-        self.cut = unit_vectors.shape[1] // 2
+        self.length = unit_vectors.shape[1]
+        self.cut = self.length // 2
         self.books = [kmeans(h, k) for h in self.halves(unit_vectors)]
         self.apart = [np.sqrt(squared(b, b)) for b in self.books]
 
@@ -113,48 +118,59 @@ def classes_of(vectors: DataFrame, shared: Shared) -> tuple[DataFrame, DataFrame
         & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
-    rows = vectors.select("vec_id", "label", "embedding", F.coalesce(sound, F.lit(False)).alias("ok"))
-    lengths = rows.filter("ok").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
-    most = lengths.orderBy(F.col("n").desc(), "d").first()
-    ok = F.col("ok") & (F.size("embedding") == (most["d"] if most else 0))
-    rows = rows.withColumn("ok", ok).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
-    classes = rows.filter("ok").groupBy("label", "k1", "k2").agg(
+    rows = vectors.select("vec_id", "label", "embedding", F.coalesce(sound, F.lit(False)).alias("ok"), F.size("embedding").alias("d"))
+    rows = rows.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
+    classes = rows.filter("ok").groupBy("label", "d", "k1", "k2").agg(
         F.min("vec_id").alias("cid"), F.count("*").alias("copies"), F.min(F.struct("vec_id", "embedding"))["embedding"].alias("embedding")
     )
     return rows.drop("embedding"), shared.save(classes, "classes")
 
 
+def projected(x: np.ndarray, d: int) -> np.ndarray:
+    """The rows with d components, none of them further apart than before."""
+    have = x.shape[1]
+    if have <= d:
+        return np.pad(x, ((0, 0), (0, d - have)))
+    begin = np.unique(np.arange(d) * have // d)
+    return np.add.reduceat(x, begin, axis=1) / np.sqrt(np.diff(np.r_[begin, have]))
+
+
 def fit(classes: DataFrame) -> MultiIndex:
-    """The grid has so many cells that one holds about CELL_VECTORS vectors of a label: a row sent to one more cell costs as
-    much as hundreds of comparisons within it."""
-    n = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0]
-    few = classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("embedding").toArrow()
+    """The grid has so many cells that one holds about CELL_VECTORS vectors of the largest label: a row sent to one more cell costs
+    as much as hundreds of comparisons within it."""
+    n = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     k = int(np.clip(round((n / CELL_VECTORS) ** 0.5), 1, CODEWORDS))
-    return MultiIndex(_matrix(few.column("embedding").combine_chunks()), k)
+    few = classes.orderBy(F.xxhash64("cid"), "cid").limit(max(SAMPLE, 16 * k)).select("d", "embedding").toArrow()
+    d = np.bincount(few.column("d").to_numpy()).argmax()
+    return MultiIndex(_matrix(few.filter(pa.array(few.column("d").to_numpy() == d)).column("embedding").combine_chunks()), k)
 
 
 def filed(classes: DataFrame, index: MultiIndex, cosine: float) -> DataFrame:
-    """(label, cell, query, cid, copies, embedding): each class where it is filed, and as a query in each cell it visits."""
+    """(label, d, cell, query, cid, copies, embedding): each class where it is filed, and as a query in each cell it visits."""
     sent = classes.sparkSession.sparkContext.broadcast(index)
     radius2 = 2 - 2 * cosine + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        step = max(16, (1 << 23) // max(len(b) for b in m.books) ** 2)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                cell, bounds = m.look(_matrix(part.column("embedding")))
-                row, visited = m.visits(bounds, radius2)
-                rows = pa.array(np.r_[np.arange(part.num_rows), row])
-                query = np.r_[np.zeros(part.num_rows, bool), np.ones(len(row), bool)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("label").take(rows), pa.array(np.r_[cell, visited]), pa.array(query), *[part.column(c).take(rows) for c in ("cid", "copies", "embedding")]],
-                    names=["label", "cell", "query", "cid", "copies", "embedding"],
-                )
+            length = batch.column("d").to_numpy()
+            for d in np.unique(length).tolist():
+                same = batch.filter(pa.array(length == d))
+                for at in range(0, same.num_rows, min(step, 2048)):
+                    part = same.slice(at, min(step, 2048))
+                    cell, bounds = m.look(projected(_matrix(part.column("embedding")), m.length))
+                    row, visited = m.visits(bounds, radius2)
+                    rows = pa.array(np.r_[np.arange(part.num_rows), row])
+                    query = np.r_[np.zeros(part.num_rows, bool), np.ones(len(row), bool)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(c).take(rows) for c in ("label", "d")], pa.array(np.r_[cell, visited]), pa.array(query), *[part.column(c).take(rows) for c in ("cid", "copies", "embedding")]],
+                        names=["label", "d", "cell", "query", "cid", "copies", "embedding"],
+                    )
 
     kinds = dict(classes.dtypes)
-    return classes.select("label", "cid", "copies", "embedding").mapInArrow(
-        run, f"label {kinds['label']}, cell long, query boolean, cid {kinds['cid']}, copies long, embedding {kinds['embedding']}"
+    return classes.select("label", "d", "cid", "copies", "embedding").mapInArrow(
+        run, f"label {kinds['label']}, d int, cell long, query boolean, cid {kinds['cid']}, copies long, embedding {kinds['embedding']}"
     )
 
 
@@ -174,7 +190,7 @@ def compare(rows: DataFrame, cosine: float) -> DataFrame:
         label = roots(len(nodes), place[q][i], place[b][j])
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label]), pa.array(links)], names=["cid", "low", "links"])
 
-    keys = ("label", "cell", "bi", "qi")
+    keys = ("label", "d", "cell", "bi", "qi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(unit, units(batches, keys))
@@ -194,25 +210,25 @@ def dedup(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     if classes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     placed = shared.save(filed(classes, fit(classes), cosine), "placed")
-    sizes = placed.groupBy("label", "cell").agg(F.count_if(~F.col("query")).alias("b"), F.count_if("query").alias("q")).filter("b > 0 AND b + q > 2")
-    sizes = shared.save(sizes.select("label", "cell", F.ceil(F.col("b") / CHUNK).cast("int").alias("nb"), F.ceil(F.col("q") / CHUNK).cast("int").alias("nq")), "sizes")
+    sizes = placed.groupBy("label", "d", "cell").agg(F.count_if(~F.col("query")).alias("b"), F.count_if("query").alias("q")).filter("b > 0 AND b + q > 2")
+    sizes = shared.save(sizes.select("label", "d", "cell", F.ceil(F.col("b") / CHUNK).cast("int").alias("nb"), F.ceil(F.col("q") / CHUNK).cast("int").alias("nq")), "sizes")
     h = F.xxhash64("cid")
-    chunked = placed.join(sizes, ["label", "cell"])
+    chunked = placed.join(sizes, ["label", "d", "cell"])
     mine = F.when(F.col("query"), F.pmod(h, F.col("nq"))).otherwise(F.pmod(h, F.col("nb"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("nb")).otherwise(F.col("nq")) - 1)).alias("other")
-    chunked = chunked.select("label", "cell", "query", "cid", "copies", "embedding", mine.alias("mine"), other)
+    chunked = chunked.select("label", "d", "cell", "query", "cid", "copies", "embedding", mine.alias("mine"), other)
     chunked = chunked.select(
-        "label", "cell", "query", "cid", "copies", "embedding",
+        "label", "d", "cell", "query", "cid", "copies", "embedding",
         F.when(F.col("query"), F.col("other")).otherwise(F.col("mine")).alias("bi"), F.when(F.col("query"), F.col("mine")).otherwise(F.col("other")).alias("qi"),
     )
     found = shared.save(compare(chunked, cosine), "found")
     linked = found.filter("cid <> low").select(F.col("cid").alias("a"), F.col("low").alias("b"))
     root = components(linked, shared).withColumnRenamed("node", "cid")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = classes.select("label", "k1", "k2", "cid", "copies").join(links, "cid", "left").join(root, "cid", "left")
-    known = known.select("label", "k1", "k2", F.coalesce("root", "cid").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("ok"))
+    known = classes.select("label", "d", "k1", "k2", "cid", "copies").join(links, "cid", "left").join(root, "cid", "left")
+    known = known.select("label", "d", "k1", "k2", F.coalesce("root", "cid").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("ok"))
     known = shared.save(known, "known")
-    out = rows.join(known, ["label", "k1", "k2", "ok"], "left")
+    out = rows.join(known, ["label", "d", "k1", "k2", "ok"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

@@ -220,3 +220,20 @@ def test_traversal_is_sorted_and_agrees_with_the_staircase():
         walked = list(embed_dedup.traverse(bounds[0][i], bounds[1][i]))
         assert [w[0] for w in walked] == sorted(w[0] for w in walked) and len(walked) == index.cells
         assert {a * len(index.books[1]) + b for d, a, b in walked if d <= 0.3} == set(cell[row == i].tolist())
+
+
+def test_embeddings_of_other_lengths_link_too(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CELL_VECTORS", 2)
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=6)], 1) for i in range(40)]
+    for k, d in enumerate((1, 2, 5, 7, 30, 30)):
+        v = r.normal(size=d)
+        rows += [(100 + 3 * k + j, [float(x) for x in v * (1 + j) + r.normal(size=d) * 0.01], 1) for j in range(3)]
+    rows += [(None, rows[0][1], 1), (7, rows[0][1], 1), (7, rows[0][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.dedup(df).collect())
+    want = Counter()
+    for i, v, _ in rows:
+        near = [j for n, (j, w, _) in enumerate(rows) if i is not None and j is not None and len(w) == len(v) and rows[n] is not next(x for x in rows if x[1] is v and x[0] == i) and np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w)) >= 0.98]
+        want[(i, len(near), min([i, *near]) if i is not None else None)] += 1
+    assert got == want
