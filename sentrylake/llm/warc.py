@@ -6,8 +6,8 @@ Files get a temporary name; a manifest of the shard follows and only files that
 final names, so a task that is lost or runs twice leaves nothing that counts. Equal input gives equal bytes.
 
 The payload is the html in UTF-8 (null: empty). Of records with equal payloads of MIN_REVISIT bytes or more, the one with
-the smallest page_id is a response and the others are revisits of it, without a block. page_id is taken to be unique and
-not null; a null url is written as an empty target.
+the smallest page_id is a response and the others are revisits of it, without a block. A record without page_id is a response and
+nobody's; of records that repeat a page_id, all with the smallest are responses. A null url is written as an empty target.
 """
 
 from __future__ import annotations
@@ -41,18 +41,18 @@ def revisits(pages: DataFrame, shared: Shared) -> DataFrame:
     return out.withColumn("refers_to", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id"))).drop("first_id")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record. The date is fixed, for the same input must give the same bytes."""
     kind = "response" if refers_to is None else "revisit"
     block = payload if refers_to is None else b""
-    uid = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")
+    uid = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{digest if page_id is None else page_id}")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:uuid:{uid}>",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
-        f"X-Page-ID: {page_id}",
+        *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
@@ -149,8 +149,8 @@ def read(spark, folder: str) -> DataFrame:
             for content in batch.column("content"):
                 rows = []
                 for h in members(content.as_buffer()):
-                    back = h.get("X-Refers-To-Page-ID")
-                    rows.append((int(h["X-Page-ID"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"], None if back is None else int(back)))
+                    back, own = h.get("X-Refers-To-Page-ID"), h.get("X-Page-ID")
+                    rows.append((None if own is None else int(own), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"], None if back is None else int(back)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)],
                     names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],

@@ -125,3 +125,50 @@ def test_a_rare_run_of_words_counts_in_a_large_corpus(spark):
     texts = ["a " * 40000] * 30 + ["left right turn"] * 2 + ["left right turn a a neverseen right turn a", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check_scores(docs, F.col("doc_id") >= 32)
+
+
+def brute_bits(train, text):
+    """Bits of a text under one language, by contexts in dictionaries: method C with exclusion, orders 2, 1, 0, then all bytes alike."""
+    def folded(t):
+        out, raw = [], t.encode()
+        for i, b in enumerate(raw):
+            b = b + 32 if 65 <= b <= 90 or (i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E) else 32 if 9 <= b <= 13 else b
+            out.append(b)
+        return out
+
+    counts = Counter()
+    for t in train:
+        x = [32, 32, *folded(t)]
+        for i in range(2, len(x)):
+            for n in (2, 1, 0):
+                counts[(tuple(x[i - n : i]), x[i])] += 1
+    bits, x = 0.0, [32, 32, *folded(text)]
+    for i in range(2, len(x)):
+        p, gone = 1.0, set()
+        for n in (2, 1, 0):
+            here = {b: c for (context, b), c in counts.items() if context == tuple(x[i - n : i]) and b not in gone}
+            if not here:
+                continue
+            total = sum(here.values()) + len(here)
+            if x[i] in here:
+                p *= here[x[i]] / total
+                break
+            p *= len(here) / total
+            gone |= here.keys()
+        else:
+            p /= 256 - len(gone)
+        bits -= math.log2(p)
+    return bits
+
+
+def test_language_equals_brute_force(spark):
+    train = {"en": ["the house and the tree", "a dog"], "de": ["das Haus und der Baum", "ein Hund \u00c4\u00d6"], "fr": ["la maison et l'arbre \u00e9"]}
+    texts = ["the dog", "der Hund", "une maison", "\u00c9\u00e9 z", "q" * 50, "das the la", "the dog", "1 a"]
+    docs = spark.createDataFrame([(i, t, lang, "n") for i, (lang, t) in enumerate((k, t) for k, v in train.items() for t in v)] + [(100 + i, t, None, "n") for i, t in enumerate(texts)], "doc_id long, text string, lang string, lang_pred string")
+    trees = langid.train(docs, F.col("doc_id") < 100)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, trees).collect()}
+    for i, t in enumerate(texts):
+        bits = {k: brute_bits(v, t) for k, v in train.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert got[100 + i][0] == best
+        assert got[100 + i][1] == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()), rel=1e-3)

@@ -67,6 +67,14 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0), shards=2).count() == 0
 
 
+def test_warc_with_null_and_repeated_ids(spark):
+    same = "y" * 150
+    data = [(None, None, None), (None, "http://h", same), (None, "http://h", same), (3, None, same), (3, "u", same), (5, "u", same), (6, "u", "z" * 3_000_000), (2, "u", "other")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(pages, shards=3).collect())
+    assert got == [(0, 0, "response", None), (0, 150, "response", None), (0, 150, "response", None), (2, 5, "response", None), (3, 150, "response", None), (3, 150, "response", None), (5, 150, "revisit", 3), (6, 3_000_000, "response", None)]
+
+
 def test_warc_bytes_depend_on_the_rows_alone(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "text " * 50 + str(i)) for i in range(40)], "page_id long, url string, html string")
 
