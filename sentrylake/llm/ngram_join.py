@@ -379,7 +379,7 @@ def verify(groups: DataFrame, size: int, t: Threshold, ids: Ids) -> DataFrame:
 
     spark = groups.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    turn = F.xxhash64("root") + F.col("i") * F.col("chunks") + F.col("j")
+    turn = F.xxhash64("root") + (F.col("j") * (F.col("j") + 1) / 2).cast("long") + F.col("i")  # i <= j: every number once
     dealt = groups.repartitionById(n, F.pmod(turn, F.lit(n)).cast("int")).sortWithinPartitions("root", "i", "j")
     return dealt.mapInArrow(run, "sid long, low long, links long")
 
