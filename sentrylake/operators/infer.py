@@ -44,40 +44,60 @@ CHECKS = {
 }
 
 
+# Words that are found glued together, those that make a time no time, and words of the other roles.
+GLUED = SOURCE | TARGET | ADDRESS | PORT | {"proto", "nat", "mac", "user", "name", "time", "bytes", "if", "zone"}
+NOT_TIME = {"elapsed", "duration", "timezone", "tz", "ttl", "timeout", "time_taken", "response_time", "delay", "uptime", "runtime", "wait"}
+ROLE_WORDS = {
+    "time": {"time", "timestamp", "date", "datetime"},
+    "severity": {"severity", "sev", "priority", "level", "criticality"},
+    "user": {"user", "username", "login", "account"},
+    "signature": {"signature", "attack", "threat", "virus", "malware", "exploit"},
+}
+UNLESS = {"time": NOT_TIME, "user": {"agent", "useragent"}}
+
+
 def _glued(word: str) -> list[str]:
-    """A word as known words put together, or itself."""
-    known = SOURCE | TARGET | ADDRESS | PORT | OTHER | {"proto", "time"}
-    long = {w for w in known if len(w) > 1}
+    """A word as the fewest known words put together, or itself. A single letter tells a side, so it can only be the first."""
     best: dict[int, list[str]] = {0: []}
     for end in range(1, len(word) + 1):
         for start in range(end):
-            if start in best and word[start:end] in long and (end not in best or len(best[start]) + 1 < len(best[end])):
-                best[end] = [*best[start], word[start:end]]
+            piece = word[start:end]
+            if start in best and piece in GLUED and (len(piece) > 1 or not start) and (end not in best or len(best[start]) + 1 < len(best[end])):
+                best[end] = [*best[start], piece]
     return best.get(len(word), [word])
 
 
 @lru_cache(maxsize=4096)
 def key_words(key: str) -> tuple[str, ...]:
     spaced = re.sub(r"(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])", " ", key)
-    return tuple(w for part in re.split(r"[\s_\-./:@\[\]]+", spaced.lower()) if part for w in ([part] if part in SOURCE | TARGET | ADDRESS | PORT | OTHER else _glued(part)))
+    return tuple(w for part in re.split(r"[\s_\-./:@\[\]]+", spaced.lower()) if part for w in ([part] if part in GLUED | OTHER else _glued(part)))
 
 
 @lru_cache(maxsize=4096)
 def key_role(key: str) -> tuple[str, float] | None:
-    """(role, confidence) of a key's name."""
-    low = key.lower()
-    for role, names in EXACT.items():
-        if low in names:
-            return role, 0.95
-    if low in WEAK_ACTION:
+    """(role, confidence) of a key's name: a standard name, also behind the last dot; a word for a side with an address or port, or
+    alone; else a word that only one role has."""
+    low = key.strip().lower()
+    names = (low, low.rpartition(".")[2])
+    for name in names:
+        for role, standard in EXACT.items():
+            if name in standard:
+                return role, 0.95
+    if WEAK_ACTION.intersection(names):
         return "action", 0.75
-    words = set(key_words(key))
-    side = "src" if words & SOURCE and not words & TARGET else "dst" if words & TARGET and not words & SOURCE else None
-    if side and not words & OTHER:
+    words = set(key_words(key.strip()))
+    if words & OTHER:
+        return None
+    source, target = bool(words & SOURCE), bool(words & TARGET)
+    if source != target:
+        side = "src" if source else "dst"
         if words & PORT:
             return f"{side}_port", 0.85
-        if words & ADDRESS:
+        if words & ADDRESS or len(words) == 1:
             return f"{side}_ip", 0.85
+    for role, own in ROLE_WORDS.items():
+        if words & own and not words & UNLESS.get(role, set()):
+            return role, 0.8
     return None
 
 

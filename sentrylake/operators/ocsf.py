@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrylake.functions import formats as fm
 from sentrylake.functions import text as tx
 
 # Fixed values of the schema.
@@ -42,7 +43,9 @@ def alias(fields: Column, lowered: Column, names: tuple[str, ...]) -> Column:
 
 def canonical(fields: Column, text: Column) -> Column:
     """A struct of canonical fields from a map of a line's pairs, with the class that the evidence in them gives."""
-    low = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(fields), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    # of keys that differ in case alone the first with a value counts
+    there = F.reverse(F.filter(F.map_entries(fields), lambda e: e["value"].isNotNull()))
+    low = fm.last_wins(F.transform(there, lambda e: F.lower(e["key"])), F.transform(there, lambda e: e["value"]))
     got = {k: alias(fields, low, v) for k, v in ALIASES.items()}
     finding = F.coalesce(*[F.try_element_at(low, F.lit(k)) for k in ("alert", "signature", "threat_name", "attack", "ids_type")]).isNotNull()
     auth = got["user_name"].isNotNull() & text.rlike("(?i)login|logon|auth|vpn|session.open")
@@ -78,8 +81,16 @@ def iso_millis(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+#: What strict events do not hold and the contract reads beside them.
+CARRIED = (
+    "time_source", "action", "direction", "src_hostname", "dst_hostname", "packets", "finding_title", "finding_uid", "vendor", "product", "device_hostname", "sender_ip", "parser", "parser_pack", "fields_verified",
+    "raw_id", "raw_sha256", "raw_text",
+)
+
+
 def export(events: DataFrame) -> DataFrame:
-    """Strict events: enumerated ids, observables and pruned endpoints. Control ids are for 4001 and 2004 alone."""
+    """Strict events: enumerated ids, observables and pruned endpoints. Control ids are for 4001 and 2004 alone. The CARRIED columns
+    that ``events`` has stand beside them."""
     control = F.col("class_uid").isin(4001, 2004)
     activity = F.coalesce(F.col("activity_id"), F.lit(99)) if "activity_id" in events.columns else F.when(F.col("class_uid") == 0, 99).when(F.col("class_uid") == 4001, 6).otherwise(1)
     end = lambda s: F.when(F.coalesce(F.col(f"{s}_ip"), F.col(f"{s}_port").cast("string")).isNotNull(), F.struct(F.col(f"{s}_ip").alias("ip"), F.col(f"{s}_port").alias("port")))
@@ -92,7 +103,7 @@ def export(events: DataFrame) -> DataFrame:
         F.when(control, _map(ACTION_IDS, F.lower("action"))).alias("action_id"), F.when(control, _map({k: v[0] for k, v in DISPOSITIONS.items()}, F.lower("disposition"))).alias("disposition_id"),
         F.when(control, _map({k: v[1] for k, v in DISPOSITIONS.items()}, F.lower("disposition"))).alias("disposition"), _map({k: v[0] for k, v in STATUSES.items()}, F.lower("status")).alias("status_id"),
         end("src").alias("src_endpoint"), end("dst").alias("dst_endpoint"), F.lower("protocol").alias("protocol_name"), _map(PROTOCOL_NUMBERS, F.lower("protocol")).alias("protocol_num"), "bytes_in", "bytes_out", total.alias("bytes"),
-        user.alias("user"), observables.alias("observables"),
+        user.alias("user"), observables.alias("observables"), *[c for c in CARRIED if c in events.columns],
     )
 
 
@@ -107,10 +118,39 @@ def violations(exported: DataFrame) -> DataFrame:
     return exported.withColumn("violations", found)
 
 
+#: The contract: its columns in order, with their types.
+CONTRACT = {
+    "time": "long", "event_time": "string", "time_source": "string", "class_uid": "int", "class_name": "string", "activity_id": "int", "activity_name": "string", "severity_id": "int", "severity": "string",
+    "status_id": "int", "action_id": "int", "action": "string", "disposition_id": "int", "disposition": "string", "src_ip": "string", "src_port": "int", "src_hostname": "string", "dst_ip": "string", "dst_port": "int",
+    "dst_hostname": "string", "protocol": "string", "protocol_num": "int", "direction_id": "int", "bytes_in": "long", "bytes_out": "long", "packets": "long", "user_name": "string", "finding_title": "string",
+    "finding_uid": "string", "vendor": "string", "product": "string", "device_hostname": "string", "sender_ip": "string", "parser": "string", "fields_verified": "boolean", "sequence_num": "long", "event_uid": "string",
+    "raw_id": "string", "raw_sha256": "string", "ocsf": "string",
+}
+ACTIVITIES = {(4001, 1): "Open", (4001, 2): "Close", (4001, 5): "Refuse", (4001, 6): "Traffic", (3002, 1): "Logon", (3002, 2): "Logoff", (2004, 1): "Create"}
+PRODUCTS = {
+    "paloalto_panos": ("Palo Alto Networks", "PAN-OS"), "fortinet_fortigate": ("Fortinet", "FortiGate"), "cisco_asa": ("Cisco", "ASA"), "checkpoint_log_exporter": ("Check Point", "Security Gateway"),
+    "juniper_srx": ("Juniper", "SRX"), "sophos_firewall": ("Sophos", "Firewall"), "sonicwall_sonicos": ("SonicWall", "SonicOS"), "pfsense_filterlog": ("Netgate", "pfSense"), "suricata_eve": ("OISF", "Suricata"),
+    "zeek_json": ("Zeek", "Zeek"), "snort_alert": ("Cisco", "Snort"), "windows_security": ("Microsoft", "Windows"),
+}
+
+
 def contract(exported: DataFrame) -> DataFrame:
-    """The flat typed columns that analytics read; the stand-in user name is null again."""
-    return exported.select(
-        F.col("time").cast("long").alias("time"), iso_millis(F.col("time")).alias("event_time"), "class_uid", "class_name", "activity_id", "severity_id", "severity", "status_id", "action_id", "disposition_id",
-        F.col("src_endpoint.ip").alias("src_ip"), F.col("src_endpoint.port").alias("src_port"), F.col("dst_endpoint.ip").alias("dst_ip"), F.col("dst_endpoint.port").alias("dst_port"), F.col("protocol_name").alias("protocol"), "protocol_num",
-        "bytes_in", "bytes_out", F.nullif("user", F.lit("unknown")).alias("user_name"), F.col("sequence_num").cast("long").alias("sequence_num"), F.col("event_id").cast("string").alias("event_uid"),
-    )
+    """The flat typed columns of CONTRACT that analytics read, whatever ``exported`` lacks being null; the stand-in user name is null
+    again. Fields are verified where a pack read them without an error, unless the event says so itself."""
+    has = set(exported.columns)
+    col = lambda c: F.col(c) if c in has else F.lit(None)
+    end = lambda s, f: F.col(f"{s}_endpoint.{f}")
+    parser = F.coalesce(col("parser"), col("parser_pack"))
+    activity = F.lit(None)
+    for (uid, number), name in ACTIVITIES.items():
+        activity = F.when((F.col("class_uid") == uid) & (F.col("activity_id") == number), name).otherwise(activity)
+    made = {
+        "event_time": iso_millis(F.col("time")), "activity_name": F.coalesce(activity, F.when(F.col("activity_id") == 99, "Other").otherwise("Unknown")),
+        **{f"{s}_{f}": end(s, f) for s in ("src", "dst") for f in ("ip", "port")}, "protocol": F.col("protocol_name"), "direction_id": _map(DIRECTIONS, F.lower(col("direction").cast("string"))),
+        "user_name": F.nullif("user", F.lit("unknown")), "vendor": F.coalesce(col("vendor"), _map({k: v[0] for k, v in PRODUCTS.items()}, parser.cast("string"))),
+        "product": F.coalesce(col("product"), _map({k: v[1] for k, v in PRODUCTS.items()}, parser.cast("string"))), "parser": parser,
+        "fields_verified": F.coalesce(col("fields_verified"), F.coalesce(parser != "parse_error", F.lit(False))), "event_uid": F.col("event_id"),
+        "raw_sha256": F.coalesce(col("raw_sha256"), F.sha2(col("raw_text").cast("string"), 256)),
+        "ocsf": F.to_json(F.struct(*[F.col(c) for c in exported.columns if c not in CARRIED])),
+    }
+    return exported.select(*[made.get(c, col(c)).cast(t).alias(c) for c, t in CONTRACT.items()])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrylake.session import ship
+
 # Words that tell directions or verdicts apart, so templates that differ in one are different formats.
 DIRECTION = frozenset(("inbound", "outbound", "in", "out", "from", "to", "src", "dst", "source", "destination", "<ACTION>"))
 
@@ -76,8 +78,6 @@ def merge_table(templates: DataFrame) -> DataFrame:
     result depends on the order in it."""
     import pyarrow as pa
 
-    from sentrylake.llm.shared import ship
-
     ship(templates.sparkSession)
 
     def run(rows: pa.Table) -> pa.Table:

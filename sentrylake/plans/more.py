@@ -16,10 +16,10 @@ from .queries import query
 _FIELDS = ("src_ip", "src_port", "dst_ip", "dst_port", "protocol", "user_name")
 
 
-@query("src_05_hec_events", f"SELECT event_id, raw_text AS raw, device_hostname AS host FROM ({EVENTS})")
+@query("src_05_hec_events", f"SELECT event_id, concat(raw_text, ' }} {{') AS raw, device_hostname AS host FROM ({EVENTS}) WHERE event_id % 10 <> 0")
 def src_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.to_json(F.struct(F.col("raw_text").alias("event"), F.col("device_hostname").alias("host")))
-    bodies = events(spark, sf_dir).select("event_id", F.concat(one, F.lit(' {"noevent":1}')).alias("body"))
+    one = F.to_json(F.struct(F.concat("raw_text", F.lit(" } {")).alias("event"), F.col("device_hostname").alias("host")))
+    bodies = events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 10 == 0, F.concat(one, F.lit(' {"noevent":1}'))).otherwise(one).alias("body"))
     return inbound.hec_events(bodies).select("event_id", "raw", "host")
 
 

@@ -41,18 +41,36 @@ def tcp_frames(payload: Column) -> Column:
     return F.when(payload.rlike(r"(?s)^\d{1,6} "), counted).otherwise(plain)
 
 
+def json_objects(body: Column) -> Column:
+    """JSON objects written one after the other, cut where one ends and the next begins; braces within strings are text."""
+    tokens = F.regexp_extract_all(body, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"?|\}\s*\{|[^"}]++|\}'), F.lit(0))
+    marked = F.transform(tokens, lambda t: F.when(t.rlike(r"^\}\s*\{$"), "}\u001e{").otherwise(t))
+    return F.transform(F.split(F.array_join(marked, ""), "\u001e"), lambda o: F.trim(o, F.lit(" \t\r\n")))
+
+
+def _hec(bodies: DataFrame, body: str) -> tuple[DataFrame, Column]:
+    """The bodies with their objects, and whether every object of a body is JSON with an ``event``."""
+    cut = bodies.withColumn("_objects", json_objects(F.trim(F.col(body), F.lit(" \t\r\n"))))
+    return cut, F.coalesce(F.forall("_objects", lambda o: F.try_parse_json(o).isNotNull() & F.get_json_object(o, "$.event").isNotNull()), F.lit(False))
+
+
 def hec_events(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Event-collector JSON: objects one after the other; each must have ``event``. Text events stay, objects become JSON."""
-    parts = F.split(F.regexp_replace(F.trim(body), r"\}\s*\{", "}\u001e{"), "\u001e")
-    one = bodies.withColumn("_o", F.explode(parts))
-    event = F.get_json_object("_o", "$.event")
-    raw = F.coalesce(F.get_json_object("_o", "$.event._raw"), event)
+    """Event-collector JSON: objects one after the other. A body with an object that is broken or has no ``event`` is refused as a
+    whole, see ``hec_refused``. Text events stay, objects become JSON."""
+    cut, sound = _hec(bodies, body)
+    one = cut.filter(sound).withColumn("_o", F.explode("_objects"))
+    raw = F.coalesce(F.get_json_object("_o", "$.event._raw"), F.get_json_object("_o", "$.event"))
     keep = [c for c in bodies.columns if c != body]
-    return one.filter(event.isNotNull()).select(
+    return one.select(
         *keep, raw.alias("raw"), F.get_json_object("_o", "$.host").alias("host"), F.get_json_object("_o", "$.sourcetype").alias("sourcetype"), F.get_json_object("_o", "$.time").try_cast("double").alias("sent_at"),
     )
 
 
+def hec_refused(bodies: DataFrame, body: str = "body") -> DataFrame:
+    cut, sound = _hec(bodies, body)
+    return cut.filter(~sound).select(*bodies.columns)
+
+
 def hec_raw(bodies: DataFrame, body: str = "body") -> DataFrame:
     keep = [c for c in bodies.columns if c != body]
     return bodies.select(*keep, F.explode(F.split(body, r"\r?\n")).alias("raw")).filter(not_blank(F.col("raw")))

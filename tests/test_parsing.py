@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import formats as fm
 from sentrylake.functions import text as tx
-from sentrylake.operators import infer, learned, packs
+from sentrylake.operators import infer, learned, ocsf, packs
+from sentrylake.sources import inbound
 
 NOW = 1767398400000  # 2026-01-03
 LINES = {
@@ -33,6 +34,73 @@ def test_packs_read_their_lines(spark):
             assert r.p is None
 
 
+ASA = {  # number and text: class, activity, source, port, destination, port, protocol, action, user, rule
+    "302013 in": ("Built inbound TCP connection 9 for outside:198.51.100.9/5000 (198.51.100.9/5000) to dmz:10.0.0.4/443 (203.0.113.4/443)", (4001, 1, "198.51.100.9", 5000, "10.0.0.4", 443, "TCP", "allow", None, None)),
+    "302015 six": ("Built outbound UDP connection 9 for outside:2001:db8::5/53 (2001:db8::5/53) to inside:2001:db8::9/4000 (2001:db8::9/4000)", (4001, 1, "2001:db8::9", 4000, "2001:db8::5", 53, "UDP", "allow", None, None)),
+    "302013 names": ("Built outbound TCP connection 5 for outside:UpdateHost/443 (x/443)(LOCAL\\ann) to inside:10.0.0.7/50123 (10.0.0.7/50123)", (4001, 1, "10.0.0.7", 50123, None, 443, "TCP", "allow", None, None)),
+    "302013 side": ("Built inside TCP connection 9 for outside:198.51.100.9/5000 to dmz:10.0.0.4/443", (0, 99, None, None, None, None, None, None, None, None)),
+    "302014": ("Teardown TCP connection 9 for outside:198.51.100.9/5000 to dmz:10.0.0.4/443 duration 0:00:30 bytes 4500 TCP FINs", (4001, 2, None, None, None, None, "TCP", "allow", None, None)),
+    "302020": ("Built inbound ICMP connection for faddr 198.51.100.9/0(LOCAL\\ann) gaddr 203.0.113.4/7 laddr 10.0.0.4/7 type 8 code 0", (4001, 1, "198.51.100.9", 0, "10.0.0.4", 7, "ICMP", "allow", None, None)),
+    "302021": ("Teardown ICMP connection for faddr 198.51.100.9/0 gaddr 203.0.113.4/7 laddr 10.0.0.4/7", (4001, 2, None, None, None, None, "ICMP", "allow", None, None)),
+    "302017": ("Built GRE connection 12 from outside:198.51.100.9 (198.51.100.9) to inside:10.0.0.4/3 (10.0.0.4/3)", (4001, 1, "198.51.100.9", None, "10.0.0.4", 3, "GRE", "allow", None, None)),
+    "305011": ("Built dynamic TCP translation from inside:10.0.0.4/4000 to outside:203.0.113.4/61000", (4001, 1, "10.0.0.4", 4000, None, None, "TCP", "allow", None, None)),
+    "106016": ("Deny IP spoof from (10.9.9.9) to 203.0.113.4 on interface outside", (2004, 1, "10.9.9.9", None, "203.0.113.4", None, None, "deny", None, "106016")),
+    "304001": ("10.0.0.4 Accessed URL 198.51.100.9:/index.html?a=1", (4001, 6, "10.0.0.4", None, "198.51.100.9", None, None, "allow", None, None)),
+    "106023": ('Deny tcp src outside:198.51.100.9/5000(LOCAL\\ann) dst dmz:10.0.0.4/22 by access-group "edge in" [0x0, 0x0]', (4001, 5, "198.51.100.9", 5000, "10.0.0.4", 22, "TCP", "deny", None, "edge in")),
+    "106023 icmp": ('Deny icmp src outside:198.51.100.9 dst dmz:10.0.0.4 (type 8, code 0) by access-group "edge"', (4001, 5, "198.51.100.9", None, "10.0.0.4", None, "ICMP", "deny", None, "edge")),
+    "106001": ("Inbound TCP connection denied from 198.51.100.9/5000 to 10.0.0.4/22 flags SYN on interface outside", (4001, 5, "198.51.100.9", 5000, "10.0.0.4", 22, "TCP", "deny", None, None)),
+    "106006": ("Deny inbound UDP from 198.51.100.9/5000 to 10.0.0.4/53 on interface outside", (4001, 5, "198.51.100.9", 5000, "10.0.0.4", 53, "UDP", "deny", None, None)),
+    "106015": ("Deny TCP (no connection) from 198.51.100.9/5000 to 10.0.0.4/22 flags RST on interface outside", (4001, 5, "198.51.100.9", 5000, "10.0.0.4", 22, "TCP", "deny", None, None)),
+    "106100": ("access-list acl_in denied tcp outside/198.51.100.9(5000) -> inside/10.0.0.4(22) hit-cnt 1 first hit [0x1, 0x0]", (4001, 5, "198.51.100.9", 5000, "10.0.0.4", 22, "TCP", "deny", None, "acl_in")),
+    "106100 ok": ("access-list acl_in permitted udp outside/198.51.100.9(5000)(LOCAL\\ann) -> inside/10.0.0.4(53) hit-cnt 1", (4001, 6, "198.51.100.9", 5000, "10.0.0.4", 53, "UDP", "allow", None, "acl_in")),
+    "710003": ("TCP access denied by ACL from 198.51.100.9/5000 to outside:203.0.113.4/22", (4001, 5, "198.51.100.9", 5000, "203.0.113.4", 22, "TCP", "deny", None, None)),
+    "400013": ("IPS:2003 ICMP redirect from 198.51.100.9 to 203.0.113.4 on interface outside", (2004, 1, "198.51.100.9", None, "203.0.113.4", None, None, None, None, "2003")),
+    "733100": ("[ Scanning] drop rate-1 exceeded. Current burst rate is 9 per second", (2004, 1, None, None, None, None, None, None, None, "733100")),
+    "113004": ("AAA user authentication Successful : server = 10.0.0.5 : user = ann", (3002, 1, None, None, "10.0.0.5", None, None, "success", "ann", None)),
+    "113015": ("AAA user authentication Rejected : reason = Invalid password : local database : user = bob : user IP = 198.51.100.9", (3002, 1, "198.51.100.9", None, None, None, None, "failure", "bob", None)),
+    "113039": ("Group <G> User <ann> IP <198.51.100.9> AnyConnect parent session started.", (3002, 1, "198.51.100.9", None, None, None, None, "success", "ann", None)),
+    "716002": ("Group <G> User <ann> IP <198.51.100.9> WebVPN session terminated: User Requested.", (3002, 2, "198.51.100.9", None, None, None, None, "success", "ann", None)),
+    "611102": ("User authentication failed: IP address: 198.51.100.9, Uname: bob", (3002, 1, "198.51.100.9", None, None, None, None, "failure", "bob", None)),
+    "611103": ("User logged out: Uname: ann", (3002, 2, None, None, None, None, None, "success", "ann", None)),
+    "605004": ('Login denied from 198.51.100.9/5000 to outside:203.0.113.4/ssh for user "bob"', (3002, 1, "198.51.100.9", 5000, "203.0.113.4", None, None, "failure", "bob", None)),
+    "199999": ("Something else", (0, 99, None, None, None, None, None, None, None, None)),
+}
+
+
+def test_asa_messages(spark):
+    lines = [(k, f"<166>Jan  2 03:04:05 fw1 %ASA-4-{k[:6]}: {text}") for k, (text, _) in ASA.items()]
+    for r in spark.createDataFrame(lines, "k string, t string").select("k", packs.parse(F.col("t")).alias("p")).collect():
+        p = r.p
+        assert (r.k, (p.class_uid, p.activity_id, p.src_ip, p.src_port, p.dst_ip, p.dst_port, p.protocol, p.action, p.user_name, p.rule)) == (r.k, ASA[r.k][1])
+        assert (p.severity, p.device_hostname) == ("medium", "fw1")
+        assert p.dst_hostname == ("UpdateHost" if r.k == "302013 names" else None) and p.bytes_total == (4500 if r.k == "302014" else None)
+        assert p.signature == {"106016": "IP spoofing attempt denied", "733100": "Threat detection: Scanning drop rate exceeded", "400013": "ICMP redirect"}.get(r.k)
+
+
+def test_event_collector_bodies(spark):
+    bodies = ['{"event":"a} {b \\" } {"}', '{"event":{"_raw":"x"}}\n {"event":"y","host":"h"}', '{"event":1} {"no":1}', '{"event"', "", None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    assert sorted((r.i, r.raw, r.host) for r in inbound.hec_events(df).collect()) == [(0, 'a} {b " } {', None), (1, "x", None), (1, "y", "h")]
+    assert sorted(r.i for r in inbound.hec_refused(df).collect()) == [2, 3, 4, 5]
+
+
+def test_keys_that_differ_in_case(spark):
+    row = one(spark, "SRC=10.0.0.1 src=10.0.0.2 Dst=10.0.0.3 DST=10.0.0.4 x", ocsf.canonical(fm.kv(F.col("t")), F.col("t")))
+    assert (row.src_ip, row.dst_ip, row.class_uid) == ("10.0.0.2", "10.0.0.3", 4001)
+
+
+def test_contract_columns(spark):
+    events = spark.createDataFrame(
+        [(7, 8, 4001, "Network Activity", "Network Activity", 2, "Low", 1767323045123, "deny", "denied", None, "10.0.0.1", 5, None, None, "tcp", None, 3, 4, "cisco_asa", "raw line", "outbound")],
+        "event_id long, sequence_num long, class_uid int, class_name string, category_name string, severity_id int, severity string, time long, action string, disposition string, status string, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, user_name string, bytes_in long, bytes_out long, parser string, raw_text string, direction string",
+    )
+    out = ocsf.contract(ocsf.export(events))
+    assert dict(out.dtypes) == {k: v.replace("long", "bigint") for k, v in ocsf.CONTRACT.items()} and out.columns == list(ocsf.CONTRACT) and len(out.columns) == 40
+    r = out.first()
+    assert (r.activity_name, r.direction_id, r.vendor, r.product, r.fields_verified, r.src_hostname, r.event_time) == ("Traffic", 2, "Cisco", "ASA", True, None, "2026-01-02T03:04:05.123Z")
+    assert len(r.raw_sha256) == 64 and '"class_uid":4001' in r.ocsf and "raw_text" not in r.ocsf
+
+
 def test_a_drifted_positional_line_is_not_believed(spark):
     drifted = LINES["pfsense_filterlog"][0].replace("203.0.113.4,", "x,203.0.113.4,")
     assert one(spark, drifted, packs.parse(F.col("t"))) is None
@@ -91,6 +159,10 @@ def test_csv_headers():
 
 def test_key_roles():
     assert infer.key_role("sourceAddress") == ("src_ip", 0.95) and infer.key_role("clientPort") == ("src_port", 0.85) and infer.key_role("destaddr") == ("dst_ip", 0.85)
+    want = {"client": "src_ip", "event.src": "src_ip", "log_time": "time", "device_severity": "severity", "attack_info": "signature", "sip": "src_ip", "dip": "dst_ip", "serverport": "dst_port", "clientip": "src_ip", "request.status": "action"}
+    assert {k: infer.key_role(k)[0] for k in want} == want
+    for key in ("device_ip", "deviceIp", "sensor_ip", "system_ip", "data_port", "EventData.IpAddress", "EventData.IpPort", "time_taken_elapsed", "user_name_x", "src_user"):
+        assert infer.key_role(key) is None
     assert infer.key_role("nat_src_ip") is None and infer.key_role("banana") is None and infer.key_role("srcmac") is None
 
 
