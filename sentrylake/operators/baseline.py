@@ -33,19 +33,24 @@ def _long(features: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _history(asked: DataFrame, values: DataFrame, by_entity: bool) -> DataFrame:
-    """asked (entity?, t, feature) with n, median, highest, spread and its source, over reported values in [t - 24 h, t)."""
+    """asked (entity?, t, feature) with n, median, highest, spread and its source, over reported values in [t - 24 h, t).
+
+    Of all entities' values each window keeps how often each one was reported, so a history is as long as its different
+    values however many entities there are.
+    """
     keys = (["entity"] if by_entity else []) + ["t", "feature"]
     day = F.floor(F.col("t") / LOOKBACK_MS)
     wanted = asked.select(*keys).distinct().withColumn("b", F.explode(F.array(day - 1, day)))
     past = values.filter("value IS NOT NULL").withColumn("b", F.floor(F.col("window_start_ms") / LOOKBACK_MS))
     on = (["entity"] if by_entity else []) + ["feature", "b"]
-    joined = wanted.join(past.select(*on, "window_start_ms", "value"), on)
+    past = past.groupBy(*on, "window_start_ms", "value").agg(F.count("*").alias("k"))
+    joined = wanted.join(past, on)
     joined = joined.filter((F.col("window_start_ms") < F.col("t")) & (F.col("window_start_ms") >= F.col("t") - LOOKBACK_MS))
-    middle = joined.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"), F.max("value").alias("highest"))
+    middle = joined.groupBy(*keys).agg(F.sum("k").alias("n"), F.percentile("value", F.lit(0.5), F.col("k")).alias("median"), F.max("value").alias("highest"))
     apart = F.abs(F.col("value") - F.col("median"))
     wide = joined.join(middle, keys).groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("median").alias("median"), F.first("highest").alias("highest"),
-        (1.4826 * F.percentile(apart, F.lit(0.5))).alias("mad"), (1.2533 * F.avg(apart)).alias("mean"),
+        (1.4826 * F.percentile(apart, F.lit(0.5), F.col("k"))).alias("mad"), (1.2533 * (F.sum(apart * F.col("k")) / F.sum("k"))).alias("mean"),
     )
     spread = F.when(F.col("mad") != 0, F.col("mad")).otherwise(F.col("mean"))
     source = F.when(F.col("mad") != 0, "mad").when(F.col("mean") != 0, "mean absolute deviation").otherwise("none")
@@ -148,3 +153,13 @@ SELECT '{kind}' AS entity_type, entity, t AS window_start_ms, feature, value, me
   CASE WHEN spread <> 0 THEN (value - median) / spread END AS z, history, baseline, min_excess
 FROM z WHERE history >= CASE WHEN baseline = 'peers' THEN 30 ELSE 8 END AND value - median >= min_excess AND (spread = 0 OR (value - median) / spread >= 3.5)
 """
+
+
+def flags_sql(features: str, kind: str) -> str:
+    named = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(TITLES.items()))
+    return f"""
+SELECT entity_type, entity, window_start_ms, count(*) AS reasons,
+  'baseline-' || substr(sha256('baseline|' || entity_type || '|' || entity || '|' || CAST(window_start_ms AS VARCHAR)), 1, 16) AS finding_uid,
+  'Unusual ' || string_agg(title, ', ' ORDER BY place) || ' {SUBJECTS[kind]} ' || entity AS title
+FROM ({reasons_sql(features, kind)}) JOIN (VALUES {named}) n(place, feature, title) USING (feature) GROUP BY 1, 2, 3
+"""

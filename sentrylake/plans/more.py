@@ -224,7 +224,9 @@ def prj_35(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "type_uid", F.size("observables").alias("observables"), "user")
 
 
-@query("str_04_windows")
+@query("str_04_windows", """WITH e AS (SELECT epoch_ms(ts) AS ms, '10.0.0.' || CAST(user_id % 256 AS VARCHAR) AS src_ip, event_id FROM events)
+SELECT src_ip, CAST(floor(ms / 300000) AS BIGINT) * 300000 AS window_start_ms, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS bytes_out, CAST(1 AS INT) AS dst_ips FROM e
+WHERE (floor(ms / 300000) + 1) * 300000 <= (SELECT max(ms) FROM e) - 30000 GROUP BY 1, 2""")
 def str_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file stream of the events through watermarked windows into memory, run to its end."""
     import uuid

@@ -39,12 +39,14 @@ for _kind, _entity in (("src_ip", "src_ip"), ("user", "user_name"), ("device", "
     )
 
 
-@query("det_05_flags")
+@query("det_05_flags", baseline.flags_sql(features.features_sql(FLOWS, "src_ip", "src_ip"), "src_ip"))
 def det_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.flags(baseline.reasons(features.window_features(flows(spark, sf_dir), "src_ip"), "src_ip"))
 
 
-@query("joi_17_evidence")
+@query("joi_17_evidence", f"""WITH f AS ({baseline.flags_sql(features.features_sql(FLOWS, "src_ip", "src_ip"), "src_ip")}), e AS (
+  SELECT finding_uid, sequence_num, row_number() OVER (PARTITION BY finding_uid ORDER BY sequence_num) AS r FROM f JOIN ({FLOWS}) x ON x.src_ip = f.entity AND CAST(floor(x.time / 300000) AS BIGINT) * 300000 = f.window_start_ms)
+SELECT finding_uid, count(*) AS n, string_agg(CAST(sequence_num AS VARCHAR), ',' ORDER BY sequence_num) AS sequences FROM e WHERE r <= 50 GROUP BY 1""")
 def joi_17(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flows(spark, sf_dir)
     found = baseline.flags(baseline.reasons(features.window_features(rows, "src_ip"), "src_ip"))
@@ -203,9 +205,9 @@ def joi_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.allowed_then_alert(_scope(spark, sf_dir))
 
 
-@query("joi_10_port_sweep", f"WITH s AS (SELECT row_number() OVER (ORDER BY time, sequence_num, dst_ip) AS pos, src_ip, time, dst_port FROM ({FLOWS}) WHERE src_ip = '203.0.113.66'), h AS (SELECT b.src_ip, b.pos, count(DISTINCT a.dst_port) AS ports FROM s a JOIN s b ON a.pos <= b.pos AND b.time - a.time BETWEEN 0 AND 60000 GROUP BY 1, 2) SELECT src_ip, min(pos) AS event_id, arg_min(ports, pos) AS ports FROM h WHERE ports >= 10 GROUP BY 1")
+@query("joi_10_port_sweep", f"WITH s AS (SELECT row_number() OVER (ORDER BY time, sequence_num, dst_ip) AS pos, src_ip, time, dst_port FROM ({FLOWS})), h AS (SELECT b.src_ip, b.pos, count(DISTINCT a.dst_port) AS ports FROM s a JOIN s b ON a.src_ip = b.src_ip AND a.pos <= b.pos AND b.time - a.time BETWEEN 0 AND 60000 GROUP BY 1, 2) SELECT src_ip, min(pos) AS event_id, arg_min(ports, pos) AS ports FROM h WHERE ports >= 10 GROUP BY 1")
 def joi_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flows(spark, sf_dir).filter("src_ip = '203.0.113.66'")
+    rows = flows(spark, sf_dir)
     pos = F.row_number().over(Window.orderBy("time", "sequence_num", "dst_ip")).cast("long")
     return correlate.port_sweeps(rows.withColumn("pos", pos).withColumn("event_id", F.col("pos")))
 
@@ -507,11 +509,13 @@ def flt_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocsf.violations(rows).select("event_id", F.array_join("violations", ",").alias("violations"))
 
 
-@query("prj_33_normalise", f"SELECT event_id, class_uid, src_ip, src_port, dst_ip, dst_port, protocol, disposition, user_name, time FROM ({EVENTS}) WHERE class_uid = 4001")
+@query("prj_33_normalise", f"SELECT event_id, class_uid, src_ip, src_port, dst_ip, dst_port, protocol, disposition, user_name, time FROM ({EVENTS})")
 def prj_33(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).filter("class_uid = 4001")
+    e = events(spark, sf_dir)
     act = F.when(F.col("disposition") == "dropped", "drop").when(F.col("disposition") == "denied", "deny").otherwise("accept")
-    pairs = F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in {"SRC": F.col("src_ip"), "spt": F.col("src_port"), "dst": F.col("dst_ip"), "dpt": F.col("dst_port"), "proto": F.col("protocol"), "act": act, "user": F.col("user_name"), "rt": F.col("time")}.items()])
+    # an authentication says what it is about, and a finding has a signature
+    kind = {"op": F.when(F.col("class_uid") == 3002, "login"), "signature": F.when(F.col("class_uid") == 2004, "scan")}
+    pairs = F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in kind.items()], *[F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in {"SRC": F.col("src_ip"), "spt": F.col("src_port"), "dst": F.col("dst_ip"), "dpt": F.col("dst_port"), "proto": F.col("protocol"), "act": act, "user": F.col("user_name"), "rt": F.col("time")}.items()])
     rows = e.select("event_id", "sequence_num", pairs.alias("raw_text"), F.lit(NOW).alias("received_at_ms"))
     rows = rows.withColumn("m", fm.kv(F.col("raw_text"))).withColumn("p", ocsf.canonical(F.col("m"), F.col("raw_text")))
     return ocsf.normalise(rows, NOW).select("event_id", "class_uid", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "disposition", "user_name", "time")

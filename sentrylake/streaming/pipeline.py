@@ -17,9 +17,10 @@ def parsed(lines: DataFrame, raw: str = "value") -> DataFrame:
 
 
 def windows(events: DataFrame, width: str = "5 minutes", late: str = "30 seconds", time: str = "ts") -> DataFrame:
-    """Counts per source address and window; windows close ``late`` after their end."""
+    """Counts per source address and window; windows close ``late`` after their end. Destinations are counted exactly, so the state of
+    an open window holds them."""
     rows = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "src_ip")
-    return rows.agg(F.count("*").alias("events"), F.sum("bytes_out").alias("bytes_out"), F.approx_count_distinct("dst_ip").alias("dst_ips")).select(
+    return rows.agg(F.count("*").alias("events"), F.sum("bytes_out").alias("bytes_out"), F.size(F.collect_set("dst_ip")).alias("dst_ips")).select(
         "src_ip", F.unix_millis("w.start").alias("window_start_ms"), "events", "bytes_out", "dst_ips"
     )
 
