@@ -18,6 +18,19 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+#: Stands between the groups of a match; no line has it.
+_BETWEEN = "\x1d\x1e\x1d"
+
+
+def groups(text: Column, pattern: str, whole: bool = False) -> Column:
+    """All groups of the first match as an array, by one run of the expression; null without a match. A group that took no part
+    is empty. ``whole``: the pattern is for the whole text."""
+    n = re.compile(pattern).groups
+    full = pattern if whole else rf"(?s)^.*?{pattern}.*$"
+    parts = F.split(F.regexp_replace(text, full, _BETWEEN.join(f"${i + 1}" for i in range(n)) + _BETWEEN), _BETWEEN)
+    return let(parts, lambda p: F.when(F.size(p) == n + 1, p))
+
+
 def last_wins(keys: Column, values: Column) -> Column:
     """A map of two arrays in which the last of equal keys stays."""
 
@@ -99,16 +112,29 @@ def structured_data(sd: Column) -> Column:
 
 def envelope(text: Column) -> Column:
     """A struct (pri, facility, severity, timestamp, hostname, app, procid, msgid, sd, message) of a syslog line."""
-    five, three, bare = text.rlike(RFC5424), text.rlike(RFC3164), text.rlike(BARE)
-    part = lambda p, i: F.regexp_extract(text, p, i)
     nil = lambda c: F.nullif(F.nullif(c, F.lit("-")), F.lit(""))
-    pri = F.when(five, part(RFC5424, 1)).when(three, part(RFC3164, 1)).when(bare, part(BARE, 1)).try_cast("int")
-    pick = lambda a, b: nil(F.when(five, part(RFC5424, a) if a else None).when(three, part(RFC3164, b) if b else None))
-    message = F.when(five, part(RFC5424, 9)).when(three, part(RFC3164, 6)).when(bare, part(BARE, 2)).otherwise(text)
-    return F.struct(
-        pri.alias("pri"), F.shiftright(pri, 3).alias("facility"), pri.bitwiseAND(7).alias("severity"), pick(3, 2).alias("timestamp"), pick(4, 3).alias("hostname"), pick(5, 4).alias("app"),
-        pick(6, 5).alias("procid"), nil(F.when(five, part(RFC5424, 7))).alias("msgid"), F.when(five & (part(RFC5424, 8) != "-"), structured_data(part(RFC5424, 8))).alias("sd"), message.alias("message"),
-    )
+    none = F.lit(None).cast("string")
+
+    def row(pri: Column, timestamp=none, hostname=none, app=none, procid=none, msgid=none, sd=None, message=text) -> Column:
+        number = pri.try_cast("int")
+        sd = F.lit(None).cast("map<string,string>") if sd is None else F.when(sd != "-", structured_data(sd))
+        return F.struct(
+            number.alias("pri"), F.shiftright(number, 3).alias("facility"), number.bitwiseAND(7).alias("severity"), nil(timestamp).alias("timestamp"), nil(hostname).alias("hostname"), nil(app).alias("app"),
+            nil(procid).alias("procid"), nil(msgid).alias("msgid"), sd.alias("sd"), message.alias("message"),
+        )
+
+    def new(g: Column) -> Column:
+        at = lambda i: F.get(g, F.lit(i - 1))
+        return row(at(1), at(3), at(4), at(5), at(6), at(7), at(8), at(9))
+
+    def old(g: Column) -> Column:
+        at = lambda i: F.get(g, F.lit(i - 1))
+        return row(at(1), at(2), at(3), at(4), at(5), message=at(6))
+
+    bare = let(groups(text, BARE, True), lambda g: F.when(g.isNotNull(), row(F.get(g, F.lit(0)), message=F.get(g, F.lit(1)))).otherwise(row(none)))
+    three = let(groups(text, RFC3164, True), lambda g: F.when(g.isNotNull(), old(g)).otherwise(bare))
+    five = let(groups(text, RFC5424, True), lambda g: F.when(g.isNotNull(), new(g)).otherwise(three))
+    return F.when(text.rlike(r"^<\d{1,3}>\d"), five).otherwise(three)
 
 
 def pri_severity(severity: Column) -> Column:

@@ -49,7 +49,7 @@ def framing(raw: Column) -> Column:
 
 def as_ip(value: Column) -> Column:
     s = F.regexp_replace(F.trim(value), r"^\[|\]$", "")
-    return F.when(s.rlike(f"^(?:{IPV4})$"), s).when(s.rlike(f"^(?:{IPV6})$"), F.lower(s))
+    return F.when(value.rlike(f"^(?:{IPV4})$"), value).when(s.rlike(f"^(?:{IPV4})$"), s).when(s.rlike(f"^(?:{IPV6})$"), F.lower(s))
 
 
 def as_port(value: Column) -> Column:

@@ -73,3 +73,9 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sources(spark: SparkSession) -> DataFrame:
     return spark.sql(SOURCES)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of files with fewer splits than cores, dealt to all cores: parsing a line costs far more than moving it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -11,7 +11,7 @@ from sentrylake.functions import formats as fm
 from sentrylake.functions import text as tx
 from sentrylake.operators import analytics, baseline, correlate, features, integrity, ocsf, search
 
-from .fixtures import EVENTS, FLOWS, SOURCES, T0, events, flows, sources, table
+from .fixtures import EVENTS, FLOWS, SOURCES, T0, events, flows, sources, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -349,7 +349,7 @@ def _at(m: Column, **names: str) -> dict[str, Column]:
 
 @query("prj_04_kv", _TRUTH)
 def prj_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir))
     pairs = [F.concat(F.lit(f'{f}="'), F.col(f).cast("string"), F.lit('"')) for f in _FIELDS]
     made = e.select("event_id", F.concat_ws(" ", F.lit("src_ip=first"), *pairs).alias("line"))
     return _back(made.withColumn("m", fm.kv(F.col("line"))), _at(F.col("m")))
@@ -365,7 +365,7 @@ def _as_cef(e: DataFrame) -> DataFrame:
 
 @query("prj_06_cef", f"SELECT *, 'Ac|me' AS vendor, concat('a=b | c ', user_name) AS msg FROM ({_TRUTH})")
 def prj_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _as_cef(events(spark, sf_dir)).select("event_id", fm.cef(F.col("line")).alias("c"))
+    got = _as_cef(spread(events(spark, sf_dir))).select("event_id", fm.cef(F.col("line")).alias("c"))
     values = _at(F.col("c.ext"), **_CEF_NAMES)
     return got.select("event_id", *[(values[f].try_cast("int") if f.endswith("port") else values[f]).alias(f) for f in _FIELDS], F.col("c.vendor").alias("vendor"), F.col("c.ext")["msg"].alias("msg"))
 
@@ -417,7 +417,7 @@ def prj_21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     end = lambda s: F.concat(F.lit(f"{s}:"), f"{s}_ip", F.lit("/"), F.col(f"{s}_port").cast("string"))
     line = F.concat(F.lit("<166>Jan  2 03:04:05 fw1 %ASA-4-106023: Deny "), F.lower("protocol"), F.lit(" src "), end("src"), F.lit(" dst "), end("dst"), F.lit(' by access-group "in" [0x0, 0x0]'))
-    got = events(spark, sf_dir).select("event_id", line.alias("line")).select("event_id", packs.parse(F.col("line")).alias("p"))
+    got = spread(events(spark, sf_dir)).select("event_id", line.alias("line")).select("event_id", packs.parse(F.col("line")).alias("p"))
     return got.select("event_id", "p.src_ip", "p.src_port", "p.dst_ip", "p.dst_port", "p.protocol", "p.activity_id", "p.action")
 
 
@@ -511,7 +511,7 @@ def flt_12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prj_33_normalise", f"SELECT event_id, class_uid, src_ip, src_port, dst_ip, dst_port, protocol, disposition, user_name, time FROM ({EVENTS})")
 def prj_33(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir))
     act = F.when(F.col("disposition") == "dropped", "drop").when(F.col("disposition") == "denied", "deny").otherwise("accept")
     # an authentication says what it is about, and a finding has a signature
     kind = {"op": F.when(F.col("class_uid") == 3002, "login"), "signature": F.when(F.col("class_uid") == 2004, "scan")}
