@@ -214,7 +214,7 @@ def prj_32(spark: SparkSession, sf_dir: str) -> DataFrame:
     check = F.concat(F.lit('[action:"Accept"; origin:"192.0.2.9"; src:"'), c("src_ip"), F.lit('"; s_port:"'), c("src_port"), F.lit('"; dst:"'), c("dst_ip"), F.lit('"; service:"'), c("dst_port"), F.lit('"; proto:"'), F.lower("protocol"), F.lit('"]'))
     kind = F.col("event_id") % 4
     line = F.when(kind == 0, forti).when(kind == 1, eve).when(kind == 2, sonic).otherwise(check)
-    got = spread(events(spark, sf_dir)).select("event_id", line.alias("line")).select("event_id", packs.parse(F.col("line")).alias("p"))
+    got = spread(events(spark, sf_dir)).select("event_id", line.alias("line")).select("event_id", packs.parse_column("line").alias("p"))
     return got.select("event_id", "p.pack", "p.src_ip", "p.src_port", "p.dst_ip", "p.dst_port", "p.protocol")
 
 

@@ -417,7 +417,7 @@ def prj_21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     end = lambda s: F.concat(F.lit(f"{s}:"), f"{s}_ip", F.lit("/"), F.col(f"{s}_port").cast("string"))
     line = F.concat(F.lit("<166>Jan  2 03:04:05 fw1 %ASA-4-106023: Deny "), F.lower("protocol"), F.lit(" src "), end("src"), F.lit(" dst "), end("dst"), F.lit(' by access-group "in" [0x0, 0x0]'))
-    got = spread(events(spark, sf_dir)).select("event_id", line.alias("line")).select("event_id", packs.parse(F.col("line")).alias("p"))
+    got = spread(events(spark, sf_dir)).select("event_id", line.alias("line")).select("event_id", packs.parse_column("line").alias("p"))
     return got.select("event_id", "p.src_ip", "p.src_port", "p.dst_ip", "p.dst_port", "p.protocol", "p.activity_id", "p.action")
 
 

@@ -13,7 +13,7 @@ from sentrylake.operators import integrity, packs
 
 def parsed(lines: DataFrame, raw: str = "value") -> DataFrame:
     """One projection from lines to canonical fields; a line that no pack reads stays, with nulls."""
-    return lines.withColumn("p", packs.parse(F.col(raw)))
+    return lines.withColumn("p", packs.parse_column(raw))
 
 
 def windows(events: DataFrame, width: str = "5 minutes", late: str = "30 seconds", time: str = "ts") -> DataFrame:
