@@ -196,6 +196,21 @@ def csv_pairs(text: Column, delimiter: str, names: list[str]) -> Column:
     return F.when(full, F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[row[f"c{i}"] for i in range(len(names))])))
 
 
+def line_format(text: Column) -> Column:
+    """The plain format of a line: json, cef, leef, cef_syslog, syslog_kv, syslog, kv, unstructured or empty; the first that fits.
+
+    A header is CEF with seven bars and LEEF with five; pairs are key=value words.
+    """
+    t = F.trim(F.translate(text, "\t\r\n", "   "))
+    is_cef, is_leef, has_pair = (t.rlike(p) for p in (r"CEF:(?:[^|\\]|\\.)*(?:\|(?:[^|\\]|\\.)*){7}", r"LEEF:[^|]*(?:\|[^|]*){5}", r"(?:^|[\s,;|])[A-Za-z_][\w.\-]*="))
+    envelope = t.rlike(r"^<\d{1,3}>")
+    return (
+        F.when(F.coalesce(t, F.lit("")) == "", "empty").when(t.startswith("{") & t.endswith("}") & F.try_parse_json(t).isNotNull(), "json")
+        .when(is_cef, F.when(envelope, "cef_syslog").otherwise("cef")).when(is_leef, "leef").when(envelope & has_pair, "syslog_kv").when(envelope, "syslog")
+        .when(has_pair, "kv").otherwise("unstructured")
+    )
+
+
 # Encoders
 
 

@@ -24,6 +24,11 @@ TITLES = {
     "auth_failures": "failed logins", "distinct_src_ips": "number of source addresses", "denied": "denied connections",
     "findings": "IDS/IPS alerts", "events": "event volume",
 }
+# What a reason's value counts.
+NOUNS = {
+    "events": "events", "denied": "denied connections", "distinct_dst_ips": "destination addresses", "distinct_dst_ports": "destination ports",
+    "distinct_src_ips": "source addresses", "bytes_out": "sent", "auth_failures": "failed logins", "findings": "IDS/IPS alerts",
+}
 SUBJECTS = {"src_ip": "from", "user": "for user", "device": "at device"}
 
 
@@ -113,7 +118,7 @@ def flags(found: DataFrame) -> DataFrame:
     title = F.create_map(*[F.lit(x) for k, v in TITLES.items() for x in (k, v)])
     subject = F.create_map(*[F.lit(x) for k, v in SUBJECTS.items() for x in (k, v)])
     rows = found.groupBy("entity_type", "entity", "window_start_ms").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "feature"))).alias("r"))
-    names = F.array_join(F.transform("r", lambda x: title[x["feature"]]), ", ")
+    names = F.array_join(F.transform("r", lambda x: title[x["feature"]]), " and ")
     return rows.select(
         "entity_type", "entity", "window_start_ms", F.size("r").cast("long").alias("reasons"),
         finding_uid(F.col("entity_type"), F.col("entity"), F.col("window_start_ms")).alias("finding_uid"),
@@ -121,6 +126,59 @@ def flags(found: DataFrame) -> DataFrame:
     )
 
 
+def reason_text(minutes: int = 5) -> Column:
+    """A reason as a sentence: its value, the history that it is compared with, and z where the spread is the usual one."""
+    noun = F.create_map(*[F.lit(x) for k, v in NOUNS.items() for x in (k, v)])[F.col("feature")]
+    shown = lambda c: amount(F.col(c), F.col("feature"))
+    whose = F.when(F.col("baseline") == "own history", "its").otherwise("all peers'")
+    z = F.when(F.col("spread_from") == "mad", F.format_string(", robust z %.1f", "z")).otherwise("")
+    return F.concat(
+        shown("value"), F.lit(" "), noun, F.lit(f" in {minutes} min; "), whose, F.lit(" "), F.col("history").cast("string"),
+        F.lit(" earlier windows: median "), shown("median"), F.lit(", highest "), shown("highest"), z,
+    )
+
+
+def flag_lines(found: DataFrame, minutes: int = 5) -> DataFrame:
+    """(finding_uid, line): each flag as one line of JSON, its keys sorted and numbers to three decimals, so that a flag is always the
+    same bytes. Reasons are in the order of titles."""
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(TITLES) for x in (k, i)])[F.col("feature")]
+    number = lambda c: F.round(F.col(c), 3).alias(c)
+    reason = F.struct(
+        "baseline", "feature", number("highest"), "history", number("median"), number("min_excess"), number("z"), number("spread"), "spread_from", number("value"),
+    )
+    rows = found.groupBy("entity_type", "entity", "window_start_ms").agg(
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), reason_text(minutes).alias("t"), reason.alias("r")))).alias("x")
+    )
+    iso = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    start, end = F.col("window_start_ms"), F.col("window_start_ms") + minutes * 60_000
+    rows = rows.join(flags(found).select("entity_type", "entity", "window_start_ms", "finding_uid", "title"), ["entity_type", "entity", "window_start_ms"])
+    line = F.to_json(F.struct(
+        F.lit("baseline").alias("detector"), "entity", "entity_type", "finding_uid", F.transform("x", lambda e: e["r"]).alias("reasons"), F.lit("medium").alias("severity"),
+        F.array_join(F.transform("x", lambda e: e["t"]), "; ").alias("summary"), F.lit(THRESHOLD).alias("threshold"), iso(end).alias("time"), "title",
+        F.lit(1).alias("version"), iso(end).alias("window_end"), iso(start).alias("window_start"),
+    ), {"ignoreNullFields": "false"})
+    return rows.select("finding_uid", line.alias("line"))
+
+
+def read_lines(lines: DataFrame, text: str = "line") -> DataFrame:
+    """Findings from the detector's own lines; others are left out. The entity is the source address or the user that it names."""
+    shape = "detector string, version int, entity_type string, entity string, finding_uid string, title string, summary string, severity string, time timestamp"
+    rows = lines.withColumn("j", F.from_json(text, shape)).filter("j.detector = 'baseline' AND j.version = 1")
+    entity = lambda kind: F.when(F.col("j.entity_type") == kind, F.col("j.entity"))
+    return rows.select(
+        F.lit(2004).alias("class_uid"), F.unix_millis("j.time").alias("time"), F.col("j.finding_uid").alias("finding_uid"), F.col("j.title").alias("finding_title"),
+        F.col("j.summary").alias("message"), F.col("j.severity").alias("severity"), entity("src_ip").alias("src_ip"), entity("user").alias("user_name"),
+    )
+
+
+def run(features: DataFrame, kind: str, until_ms: int, score_hours: float = 1.0, width: int = 300_000) -> DataFrame:
+    """Reasons of the complete windows in the last hours before ``until_ms``; windows before the history they need are not read."""
+    until = until_ms // width * width
+    since = until - int(score_hours * 3_600_000)
+    needed = features.filter((F.col("window_start_ms") >= since - LOOKBACK_MS) & (F.col("window_start_ms") < until))
+    return reasons(needed, kind, since, until)
+
+
 def attach_evidence(found: DataFrame, events: DataFrame, entity: Column, width: int, most: int = 50) -> DataFrame:
     """The first ``most`` sequence numbers of the events of each flagged window."""
     rows = events.select(entity.alias("entity"), (F.floor(F.col("time") / width) * width).cast("long").alias("window_start_ms"), "sequence_num")
@@ -160,6 +218,6 @@ def flags_sql(features: str, kind: str) -> str:
     return f"""
 SELECT entity_type, entity, window_start_ms, count(*) AS reasons,
   'baseline-' || substr(sha256('baseline|' || entity_type || '|' || entity || '|' || CAST(window_start_ms AS VARCHAR)), 1, 16) AS finding_uid,
-  'Unusual ' || string_agg(title, ', ' ORDER BY place) || ' {SUBJECTS[kind]} ' || entity AS title
+  'Unusual ' || string_agg(title, ' and ' ORDER BY place) || ' {SUBJECTS[kind]} ' || entity AS title
 FROM ({reasons_sql(features, kind)}) JOIN (VALUES {named}) n(place, feature, title) USING (feature) GROUP BY 1, 2, 3
 """

@@ -87,3 +87,18 @@ SELECT '{kind}' AS entity_type, w.*, CAST(coalesce(n, 0) AS BIGINT) AS new_dst_i
   row_number() OVER (PARTITION BY entity ORDER BY window_start_ms) - 1 AS history_windows
 FROM w LEFT JOIN f USING (entity, window_start_ms)
 """
+
+
+# Contract columns that features read as numbers.
+NUMBERS = ("time", "class_uid", "status_id", "action_id", "disposition_id", "dst_port", "severity_id", "bytes_in", "bytes_out", "sequence_num")
+TEXTS = ("time_source", "src_ip", "dst_ip", "dst_hostname", "user_name", "device_hostname", "sender_ip")
+
+
+def coerce(rows: DataFrame) -> DataFrame:
+    """The columns that features read, whatever ``rows`` holds: missing ones are null, numbers that do not read as such too, fields count
+    as unverified unless it says otherwise, and a device without a name is the address that it sent from."""
+    has = set(rows.columns)
+    col = lambda c, t: (F.col(c).try_cast(t) if c in has else F.lit(None).cast(t)).alias(c)
+    verified = F.coalesce(F.col("fields_verified").try_cast("boolean"), F.lit(False)) if "fields_verified" in has else F.lit(False)
+    out = rows.select(*[col(c, "long") for c in NUMBERS], *[col(c, "string") for c in TEXTS], verified.alias("fields_verified"))
+    return out.withColumn("device", F.coalesce("device_hostname", "sender_ip"))

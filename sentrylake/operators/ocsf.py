@@ -154,3 +154,10 @@ def contract(exported: DataFrame) -> DataFrame:
         "ocsf": F.to_json(F.struct(*[F.col(c) for c in exported.columns if c not in CARRIED])),
     }
     return exported.select(*[made.get(c, col(c)).cast(t).alias(c) for c, t in CONTRACT.items()])
+
+
+def label(labels: Column, key: str, namespace: str) -> Column:
+    """The value of the first ``namespace.key=value`` among an event's labels; null where it is empty or absent."""
+    head = f"{namespace}.{key}="
+    found = F.get(F.filter(labels, lambda x: x.startswith(head)), F.lit(0))
+    return F.nullif(F.substring(found, F.lit(len(head) + 1), F.length(found)), F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import formats as fm
 from sentrylake.functions import text as tx
-from sentrylake.operators import connections, infer, integrity, learned, ocsf, packs
+from sentrylake.operators import accounts, connections, infer, integrity, learned, ocsf, packs
 from sentrylake.sources import inbound, sinks
 
 from .fixtures import EVENTS, events, spread, table
@@ -139,25 +139,8 @@ def joi_12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A delivery ledger of one batch per 50 events."""
     rows = events(spark, sf_dir).select((F.floor(F.col("event_id") / 50) + 1).cast("long").alias("batch_id"), "sequence_num", F.col("event_id").cast("string").alias("event_uid"), F.lit("delivered").alias("outcome"))
-    heads = rows.groupBy("batch_id").agg(F.count("*").alias("count"), integrity.events_hash().alias("events_hash"))
-    batches = heads.select(
-        F.col("batch_id").alias("sequence_num"), F.lit(0).alias("shard"), F.lit("siem").alias("output"), F.lit("delivered").alias("outcome"), F.lit("live").alias("trigger"), (F.col("batch_id") * 10).alias("at"), "count", "events_hash",
-    )
-    import hashlib
-
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        prev, before, made = integrity.GENESIS, [], []
-        for r in pdf.sort_values("sequence_num").itertuples():
-            before.append(prev)
-            prev = hashlib.sha256(f"{prev}:{r.output}:{r.outcome}:{r.trigger}:{r.at}:{r.count}:{r.events_hash}".encode()).hexdigest()
-            made.append(prev)
-        return pdf.sort_values("sequence_num").assign(prev_hash=before, batch_hash=made)
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in batches.dtypes)
-    chained = batches.groupBy("shard").applyInPandas(fold, f"{kinds}, prev_hash string, batch_hash string")
-    return chained.withColumnRenamed("sequence_num", "id").drop("shard"), rows
+    sent = rows.select("*", F.lit("siem").alias("output"), F.lit("live").alias("trigger"), (F.col("batch_id") * 10).alias("at"))
+    return accounts.delivery_batches(sent), rows
 
 
 @query("led_06_verify_deliveries", "SELECT CAST(b AS BIGINT) AS batch, problem FROM (VALUES (2, 'event rows changed'), (3, 'outcome edited'), (5, 'chain broken'), (4, 'rows of a missing batch'), (6, 'batch edited')) v(b, problem)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrylake.functions import formats as fm
+
 LINES = r"([^\n]*\n|[^\n]+$)"
 
 
@@ -128,3 +130,28 @@ def named_sources(records: DataFrame, static: DataFrame) -> DataFrame:
     by_host = static.filter("match_hostname IS NOT NULL").select(F.lower("match_hostname").alias("_h"), F.col("name").alias("_b")).dropDuplicates(["_h"])
     out = records.withColumn("_h", F.lower("hostname")).join(F.broadcast(by_ip), "peer_ip", "left").join(F.broadcast(by_host), "_h", "left")
     return out.withColumn("source_name", F.coalesce("_a", "_b")).drop("_a", "_b", "_h")
+
+
+def batch_counts(lines: DataFrame, by: str, text: str = "line") -> DataFrame:
+    """Per upload or call: lines, lines taken and blank ones left out; a line that starts with # is taken."""
+    blank = ~F.coalesce(not_blank(F.col(text)), F.lit(False))
+    return lines.groupBy(by).agg(F.count("*").alias("total"), F.count_if(~blank).alias("ingested"), F.count_if(blank).alias("skipped_blank"))
+
+
+def csv_lines(lines: DataFrame) -> DataFrame:
+    """lines (path, pos, line) with ``is_header`` and the file's ``delimiter`` and ``names``, null where it has no header.
+
+    The first two lines with text decide. They are found by two aggregates, so a large file is not gathered; the header rule runs once a
+    file. Lines of a header's file carry it after its own line.
+    """
+    some = lines.filter(not_blank(F.col("line")))
+    header = F.udf(lambda a, b: fm.csv_header(a, b), "struct<delimiter:string,names:array<string>>")
+    first = some.groupBy("path").agg(F.min(F.struct("pos", "line")).alias("a"))
+    second = some.join(first, "path").filter(F.col("pos") > F.col("a.pos")).groupBy("path").agg(F.min(F.struct("pos", "line")).alias("b"))
+    heads = first.join(second, "path").select("path", F.col("a.pos").alias("_at"), header("a.line", "b.line").alias("_h")).filter("_h IS NOT NULL")
+    out = lines.join(heads, "path", "left")
+    after = F.col("pos") > F.col("_at")
+    return out.select(
+        *[F.col(c) for c in lines.columns], F.coalesce(F.col("pos") == F.col("_at"), F.lit(False)).alias("is_header"),
+        F.when(after, F.col("_h.delimiter")).alias("delimiter"), F.when(after, F.col("_h.names")).alias("names"),
+    )
