@@ -147,7 +147,7 @@ def joi_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.resolve_formats(lines, aliases).select("event_id", "canonical_id")
 
 
-@query("agg_25_formats", f"SELECT concat('f', event_id % 8) AS format_id, count(*) AS count, round(sum(event_id % 10) / 10.0 / count(*), 2) AS avg_confidence, CASE WHEN event_id % 8 = 0 THEN 2 ELSE 0 END AS aliases FROM ({EVENTS}) WHERE event_id % 8 < 6 GROUP BY event_id % 8")
+@query("agg_25_formats", f"SELECT concat('f', event_id % 8) AS format_id, count(*) AS count, round(sum(event_id % 10) / 10.0 / count(*), 2) AS avg_confidence, CAST(CASE WHEN event_id % 8 = 0 THEN 2 ELSE 0 END AS BIGINT) AS aliases FROM ({EVENTS}) WHERE event_id % 8 < 6 GROUP BY event_id % 8")
 def agg_25(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = events(spark, sf_dir).groupBy((F.col("event_id") % 8).alias("f")).agg(F.count("*").alias("count"), (F.sum(F.col("event_id") % 10) / 10.0).alias("confidence_sum"))
     formats = seen.select(F.concat(F.lit("f"), "f").alias("format_id"), "count", "confidence_sum", F.when(F.col("f") < 6, "new").otherwise("approved").alias("status"))
@@ -187,7 +187,7 @@ def agg_27(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.log_counts(nodes, signed)
 
 
-@query("led_08_cosign", """SELECT log_id, idx, variant, CASE WHEN idx <= 3 THEN CASE WHEN variant = 'a' THEN 'signed before' ELSE 'another digest is signed' END WHEN variant = 'b' THEN 'another digest is signed'
+@query("led_08_cosign", """SELECT log_id, CAST(idx AS BIGINT) AS idx, variant, CASE WHEN idx <= 3 THEN CASE WHEN variant = 'a' THEN 'signed before' ELSE 'another digest is signed' END WHEN variant = 'b' THEN 'another digest is signed'
   WHEN log_id % 4 = 1 AND idx = 6 THEN 'does not extend' WHEN log_id % 4 = 1 AND idx > 6 THEN 'not the next index' WHEN log_id % 4 = 2 AND idx > 4 THEN 'not the next index' ELSE 'signed' END AS verdict
 FROM (SELECT n_nationkey AS log_id, i AS idx, v AS variant FROM nation, unnest([2, 3, 4, 5, 6, 7, 8]) t(i), unnest(['a', 'b']) w(v)) WHERE NOT (log_id % 4 = 2 AND idx = 5)""")
 def led_08(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ def led_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("log_id", F.col("idx").cast("long").alias("idx"), F.element_at(F.split("digest", "-"), -1).alias("variant"), "verdict")
 
 
-@query("led_10_register", f"SELECT 'siem' AS output, 5 AS first_sequence UNION ALL SELECT 'lake', max(sequence_num) + 1 FROM ({EVENTS})")
+@query("led_10_register", f"SELECT 'siem' AS output, CAST(5 AS BIGINT) AS first_sequence UNION ALL SELECT 'lake', max(sequence_num) + 1 FROM ({EVENTS})")
 def led_10_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([("siem", 5)], "output string, first_sequence long")
     return accounts.register_outputs(known, spark.createDataFrame([("siem",), ("lake",)], "output string"), events(spark, sf_dir))
