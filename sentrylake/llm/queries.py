@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, langid, line_dedup, lm, mixing, ngram_join, quality, substring, warc
+from . import bpe, embed_dedup, filter_audit, langid, line_dedup, lm, mixing, ngram_join, quality, substring, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, trees, keep=("doc_id", "held_out"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -78,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL, "op13_filter_audit": filter_audit.SQL}
