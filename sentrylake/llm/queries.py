@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, filter_audit, langid, line_dedup, lm, mixing, ngram_join, quality, substring, warc
+from . import bpe, embed_dedup, filter_audit, langid, line_dedup, lm, merkle, mixing, ngram_join, quality, substring, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, trees, keep=("doc_id", "held_out"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.col("n_chars").cast("decimal(20,0)") + F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
+    out = merkle.verify(merkle.manifest(_docs(spark, sf_dir), tampered={"n_chars": tampered}))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.steps(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL, "op13_filter_audit": filter_audit.SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL, "op12_merkle_manifest": merkle.SQL, "op13_filter_audit": filter_audit.SQL}
