@@ -13,7 +13,7 @@ chunks, and each pair of chunks is a matrix product in one task, whose pairs are
 Only vectors of one length are compared. The grid has the commonest length of the sample; others are filed by their first so many
 components, or by sums of neighbouring ones scaled so that no distance grows, which keeps the bound true.
 
-Vectors that are null, zero, or hold a null or non-finite component link with nothing, as do those without a label or vec_id.
+Vectors that are null, zero, or hold a null or non-finite component link with nothing, as do those without a label or vec_id; others link whatever their norms, however huge or tiny.
 Rows that repeat a vec_id count as vectors of their own. An empty table gives an empty result; further columns are not read.
 """
 
@@ -107,7 +107,9 @@ def traverse(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[float, int
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit vectors. Each is first scaled by a power of two, which rounds nothing, so that no norm overflows or vanishes."""
     flat = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    flat = np.ldexp(flat, -np.frexp(np.abs(flat).max(1, initial=0))[1][:, None])
     return flat / np.sqrt((flat * flat).sum(1))[:, None]
 
 

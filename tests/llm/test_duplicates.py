@@ -237,3 +237,20 @@ def test_embeddings_of_other_lengths_link_too(spark, monkeypatch):
         near = [j for n, (j, w, _) in enumerate(rows) if i is not None and j is not None and len(w) == len(v) and rows[n] is not next(x for x in rows if x[1] is v and x[0] == i) and np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w)) >= 0.98]
         want[(i, len(near), min([i, *near]) if i is not None else None)] += 1
     assert got == want
+
+
+def test_embeddings_with_huge_and_tiny_norms(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CELL_VECTORS", 2)
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        v = r.normal(size=8)
+        rows += [(2 * i, [float(x) for x in v], 1), (2 * i + 1, [float(x) for x in v * 3 + r.normal(size=8) * 0.01], 1)]
+    rows += [(100, [1e-200] * 8, 2), (101, [1e200] * 8, 2), (102, [5e-324] * 8, 2), (103, [1e308, *[0.0] * 7], 2), (104, [1e-300, *[0.0] * 7], 2), (105, rows[0][1], 2)]
+    rows += [(106, [49.0, 0.0], 3), (107, [0.98 * 49.0, (1 - 0.98**2) ** 0.5 * 49.0], 3), (108, [0.97, (1 - 0.97**2) ** 0.5], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embed_dedup.dedup(df).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == (1, 2 * i) for i in range(40))
+    assert [got[i] for i in (100, 101, 102)] == [(2, 100)] * 3 and got[103] == got[104] == (1, 103) and got[105] == (0, 105)
+    cosine = lambda a, b: np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))
+    assert got[106][0] == int(cosine(rows[-3][1], rows[-2][1]) >= 0.98) and got[108][0] == int(cosine(rows[-1][1], rows[-2][1]) >= 0.98)
