@@ -128,12 +128,12 @@ def prj_38(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("joi_12_asa_pairs", f"SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN src_ip END AS src, CASE WHEN event_id % 3 <> 0 THEN dst_ip END AS dst FROM ({EVENTS})")
 def joi_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select("event_id", "src_ip", "dst_ip", F.col("device_hostname").alias("host"), (F.col("event_id") % 997).alias("connection_id"))
-    ends = F.array_sort(F.array("src_ip", "dst_ip"))
-    built = e.select("host", "connection_id", (F.col("event_id") * 2).alias("pos"), F.lit("built").alias("verb"), F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), ends.alias("ends")).filter("(pos / 2) % 3 <> 0")
-    down = e.select("host", "connection_id", (F.col("event_id") * 2 + 1).alias("pos"), F.lit("teardown").alias("verb"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), ends.alias("ends"))
-    got = connections.direct_teardowns(built.unionByName(down))
-    return got.select(((F.col("pos") - 1) / 2).cast("long").alias("event_id"), "src", "dst")
+    e = events(spark, sf_dir).select("event_id", "src_ip", "dst_ip", F.col("device_hostname").alias("host"), (F.col("event_id") % 997).cast("string").alias("connection"))
+    ends = F.concat_ws(" ", "dst_ip", "src_ip")
+    built = e.select("host", "connection", (F.col("event_id") * 2).alias("pos"), F.lit("built").alias("verb"), ends.alias("ends"), F.lit("outbound").alias("direction")).filter("(pos / 2) % 3 <> 0")
+    down = e.select("host", "connection", (F.col("event_id") * 2 + 1).alias("pos"), F.lit("teardown").alias("verb"), ends.alias("ends"), F.lit(None).cast("string").alias("direction"))
+    got = connections.directed(built.unionByName(down)).select(((F.col("pos") - 1) / 2).cast("long").alias("event_id"), connections.sides(F.col("ends"), F.col("direction")).alias("s"))
+    return got.select("event_id", F.col("s.src_ip").alias("src"), F.col("s.dst_ip").alias("dst"))
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from sentrylake.operators import analytics, baseline, connections, correlate, features, integrity, search
+from sentrylake.operators import analytics, baseline, correlate, features, integrity, search
 from sentrylake.operators.registry import merge_templates
 from sentrylake.sources import inbound, sinks
 from sentrylake.streaming import pipeline
@@ -137,13 +137,6 @@ def test_search_and_private(spark):
     assert [r[0] for r in ips.select(search.is_private(F.col("ip"))).collect()] == [True, True, False, True, False, False]
 
 
-def test_connections(spark):
-    rows = [("h", 1, 1, "built", "a", "b", ["a", "b"]), ("h", 1, 2, "teardown", None, None, ["a", "b"]), ("h", 1, 3, "teardown", None, None, ["a", "b"]), ("h", 2, 4, "built", "a", "c", ["a", "c"]), ("h", 2, 5, "teardown", None, None, ["a", "d"])]
-    df = spark.createDataFrame(rows, "host string, connection_id int, pos int, verb string, src string, dst string, ends array<string>")
-    got = {r.pos: (r.src, r.dst) for r in connections.direct_teardowns(df).collect()}
-    assert got == {2: ("a", "b"), 3: (None, None), 5: (None, None)}
-
-
 def test_sinks_write_their_layouts(spark, tmp_path):
     df = spark.createDataFrame([(1, 4001, T0), (2, 2004, T0 + 86400000)], "event_id long, class_uid int, time long")
     sinks.write_hive(df, f"{tmp_path}/hive")
