@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.functions import formats as fm
+from sentrylake.sources import frames
 
 LINES = r"([^\n]*\n|[^\n]+$)"
 
@@ -25,22 +26,9 @@ def datagram(payload: Column) -> Column:
     return F.when((F.size(parts) > 1) & F.forall(parts, lambda x: x.startswith("<")), parts).otherwise(F.array(payload))
 
 
-def tcp_frames(payload: Column) -> Column:
-    """RFC 6587 frames of a whole buffer: octet counts where it starts with one, else lines ended by LF or NUL."""
-    counted = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(payload) / 2).cast("int"))),
-        F.struct(payload.alias("rest"), F.array().cast("array<string>").alias("out")),
-        lambda s, _: F.when(
-            s["rest"].rlike(r"(?s)^\d{1,6} "),
-            F.struct(
-                F.substring(s["rest"], F.length(F.substring_index(s["rest"], " ", 1)) + 2 + F.substring_index(s["rest"], " ", 1).cast("int"), F.length(s["rest"])).alias("rest"),
-                F.concat(s["out"], F.array(F.substring(s["rest"], F.length(F.substring_index(s["rest"], " ", 1)) + 2, F.substring_index(s["rest"], " ", 1).cast("int")))).alias("out"),
-            ),
-        ).otherwise(s),
-        lambda s: s["out"],
-    )
-    plain = F.filter(F.split(payload, r"\r?\n|\x00"), lambda x: x != "")
-    return F.when(payload.rlike(r"(?s)^\d{1,6} "), counted).otherwise(plain)
+def tcp_frames(payload: Column, limit: int = frames.LIMIT) -> Column:
+    """RFC 6587 frames of a whole buffer as text, without the ends of lines. Counts are of bytes."""
+    return F.transform(frames.whole(payload, limit), lambda f: F.regexp_replace(F.decode(f, "UTF-8"), r"\r?\n$", ""))
 
 
 def json_objects(body: Column) -> Column:

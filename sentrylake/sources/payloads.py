@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from sentrylake.functions import formats as fm
+from sentrylake.functions import json_folds
+from sentrylake.session import ship
 
 APP = "sentrylake"
 # Attributes that describe an event, as dotted paths into it.
@@ -25,37 +28,34 @@ LOG_SEVERITY = {
 }
 
 
-def flatten_json(text: Column, depth: int = 8) -> Column:
-    """Dotted (key, value) pairs of a JSON object, in the order of its keys; null where it is none.
+def _folded(fold: Callable, kind: DataType, text: Column) -> Column:
+    """A fold of ``json_folds`` over a column of texts."""
+    ship(SparkSession.active())
 
-    Lists of plain values are joined by ", "; other lists, empty ones and empty objects give no pair. What lies deeper than ``depth`` objects stays
-    JSON. Values keep JSON's spelling; a JSON null is a null value.
+    def run(column):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        return pa.array([fold(x.as_py()) for x in column], to_arrow_type(kind))
+
+    return F.arrow_udf(run, kind)(text)
+
+
+def flatten_json(text: Column) -> Column:
+    """Dotted (key, value) pairs of a JSON object, in the order of its text; null where it is none.
+
+    Lists of plain values are joined by ", "; other lists, empty ones and empty objects give no pair. Values keep JSON's spelling; a JSON null is a
+    null value.
     """
-    members = lambda v: F.map_entries(v.cast("map<string,variant>"))
-    kind = lambda v: F.schema_of_variant(v)
-    is_object = lambda v: F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
-    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
-    top = F.try_parse_json(text)
-    pairs = F.when(is_object(top), F.transform(members(top), lambda e: pair(e["key"], e["value"])))
-    for _ in range(depth - 1):
-        deeper = lambda e: F.transform(members(e["value"]), lambda m: pair(F.concat(e["key"], F.lit("."), m["key"]), m["value"]))
-        pairs = F.flatten(F.transform(pairs, lambda e: F.when(is_object(e["value"]), deeper(e)).otherwise(F.array(pair(e["key"], e["value"])))))
-    listed = lambda v: F.coalesce(kind(v).startswith("ARRAY"), F.lit(False))
-    items = lambda v: F.when(listed(v), v.cast("array<variant>"))
-    plain = lambda v: F.coalesce((F.size(items(v)) > 0) & F.forall(items(v), lambda x: ~kind(x).rlike("^(OBJECT|ARRAY)")), F.lit(False))
-    kept = F.filter(pairs, lambda e: ~F.coalesce(kind(e["value"]) == "OBJECT<>", F.lit(False)) & (~listed(e["value"]) | plain(e["value"])))
-    joined = lambda v: F.array_join(F.transform(items(v), lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ", ")
-    shown = lambda v: F.when(plain(v), joined(v)).otherwise(v.cast("string"))
-    return F.transform(kept, lambda e: F.struct(e["key"].alias("key"), shown(e["value"]).alias("value")))
+    return _folded(json_folds.flatten, ArrayType(StructType().add("key", StringType()).add("value", StringType())), text)
 
 
 def prune_json(text: Column) -> Column:
-    """JSON without members that are null, "", {} or []: ``to_json`` drops nulls, and empty values are taken out until none is left."""
-    empty = r'"(?:[^"\\]|\\.)*":(?:null|""|\{\}|\[\])'
-    out = text
-    for _ in range(4):
-        out = F.regexp_replace(F.regexp_replace(out, rf",{empty}(?=[,}}])", ""), rf"\{{{empty},?", "{")
-    return out
+    """JSON without members that are null, "", {} or [], also those that only pruning made so; null where the text is no JSON.
+
+    Lists lose elements that are empty as they stand.
+    """
+    return _folded(json_folds.prune, StringType(), text)
 
 
 def host_of() -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sentrylake.operators.connections import BUILT, KEY
+from sentrylake.session import ship
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,6 +81,7 @@ def directed_stream(rows: DataFrame, time: str = "time", late: str = "1 minute",
 
     A connection that was built more than ``ttl_ms`` before the watermark lends no direction.
     """
+    ship(rows.sparkSession)
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     keyed = rows.withWatermark(time, late).groupBy(*KEY)
     return keyed.transformWithStateInPandas(OpenConnections(rows.columns, time, ttl_ms), schema, "append", "eventTime")

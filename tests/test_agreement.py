@@ -6,9 +6,12 @@ import hashlib
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sentrylake.functions import formats as fm
+from sentrylake.functions import json_folds
 from sentrylake.operators import accounts, baseline, features, integrity, ocsf
 from sentrylake.sources import inbound, payloads
 
@@ -22,15 +25,53 @@ def test_flatten_keeps_order_and_lists(spark):
     got = [tuple(p) for p in column(spark, text, payloads.flatten_json)]
     assert sorted(got, key=lambda p: p[0]) == [("a.b.c", "1"), ("a.d", None), ("l", "1, x, true"), ("s", '{"q":1}')]
     assert column(spark, "[1]", payloads.flatten_json) is None and column(spark, "no", payloads.flatten_json) is None
-    assert column(spark, '{"a":{"b":{"c":1}}}', lambda c: payloads.flatten_json(c, 2))[0]["value"] == '{"c":1}'
+    deep = column(spark, '{"k":' * 200 + "1.50" + "}" * 200, payloads.flatten_json)
+    assert [tuple(p) for p in deep] == [(".".join("k" * 200), "1.50")]
+    assert [tuple(p) for p in column(spark, '{"z":1e2,"a":{"":{"b":-0.0}},"z":3}', payloads.flatten_json)] == [("z", "3"), ("a..b", "-0.0")]
+    assert column(spark, '{"a":' * 200_000 + "1" + "}" * 200_000, payloads.flatten_json) is None
 
 
 def test_prune_drops_empty_members_to_the_top(spark):
     prune = lambda t: json.loads(column(spark, t, payloads.prune_json))
     assert prune('{"a":null,"b":{"c":"","d":{"e":[]}},"f":1,"g":"x,\\"h\\":null"}') == {"f": 1, "g": 'x,"h":null'}
+    assert prune('{"a":{"b":{"c":{"d":{"e":{"f":{}}}}}},"x":1}') == {"x": 1} and prune('{"l":[{}, {"a":null}, "", [], [[]], 0, false]}') == {"l": [{}, [], 0, False]}
+    assert column(spark, '{"n":1.50,"é":[]}', payloads.prune_json) == '{"n":1.50}' and column(spark, "{", payloads.prune_json) is None
     assert prune('{"a":1,"b":""}') == {"a": 1} and prune('{"a":""}') == {}
 
 
+JSON = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.text("ab.\"\\é{}[],:", max_size=4)), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text("abé.", max_size=2), x, max_size=3)), max_leaves=20)
+
+
+def pruned(v):
+    """``json_folds.prune`` in plain recursion."""
+    empty = lambda x: x is None or x == "" or x == {} or x == []
+    if isinstance(v, dict):
+        return {k: x for k, x in ((k, pruned(x)) for k, x in v.items()) if not empty(x)}
+    return [pruned(x) for x in v if not empty(x)] if isinstance(v, list) else v
+
+
+def flattened(v, path=""):
+    """``json_folds.flatten`` in plain recursion."""
+    for k, x in v.items():
+        name = f"{path}.{k}" if path else k
+        if isinstance(x, dict):
+            yield from flattened(x, name)
+        elif isinstance(x, list):
+            if x and not any(isinstance(y, (dict, list)) for y in x):
+                yield name, ", ".join("null" if y is None else str(y).lower() if isinstance(y, bool) else str(y) for y in x)
+        else:
+            yield name, None if x is None else str(x).lower() if isinstance(x, bool) else str(x)
+
+
+@settings(max_examples=400, deadline=None)
+@given(value=JSON)
+def test_folds_equal_plain_recursion(value):
+    text = json.dumps(value, ensure_ascii=False)
+    assert json_folds.prune(text) == json.dumps(pruned(value), ensure_ascii=False, separators=(",", ":"))
+    got = json_folds.flatten(text)
+    assert (got is None) if not isinstance(value, dict) else [tuple(p.values()) for p in got] == list(flattened(value))
+
+
 def test_bulk_answers(spark):
     rows = spark.createDataFrame([(s,) for s in (200, 201, 400, 409, 429, 503, None)], "status int")
     got = [r[0] for r in rows.select(payloads.bulk_outcome(F.col("status"))).collect()]
