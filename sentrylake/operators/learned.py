@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sentrylake.functions import formats as fm
 from sentrylake.functions import text as tx
 
+from . import aligned
 from .infer import CHECKS, key_role
 
 VALID, PRESENT, REVIEW, LEAST = 0.95, 0.9, 0.8, 10
@@ -34,7 +35,7 @@ class Slot:
 @dataclass
 class Spec:
     name: str
-    kind: str  # kv or text
+    kind: str  # kv, text, or aligned and delimited (see ``aligned``)
     keys: list[str] = field(default_factory=list)
     template: str = ""
     slots: list[Slot] = field(default_factory=list)
@@ -107,13 +108,15 @@ def score(spec: Spec, line: Column) -> Column:
     if spec.kind == "kv":
         there = F.array_intersect(F.regexp_extract_all(line, F.lit(fm.KV), F.lit(1)), F.array(*map(F.lit, spec.keys)))
         return fm.let(F.size(there) / F.lit(float(max(1, len(spec.keys)))), lambda share: F.when(share >= 0.8, share))
+    if spec.kind in ("aligned", "delimited"):
+        return F.when(aligned.values_of(spec, line).isNotNull(), F.lit(1.0))
     return F.when(line.rlike(template_regex(spec.template)[0]), F.lit(1.0))
 
 
 def apply(spec: Spec, line: Column) -> Column:
     """A struct of the spec's roles; a template with two impossible values is not its format."""
     pattern = template_regex(spec.template)[0] if spec.kind == "text" else ""
-    source = fm.kv(line) if spec.kind == "kv" else F.array(*[F.regexp_extract(line, pattern, i + 1) for i in range(len(template_regex(spec.template)[1]))])
+    source = fm.kv(line) if spec.kind == "kv" else aligned.values_of(spec, line) if spec.kind != "text" else F.array(*[F.regexp_extract(line, pattern, i + 1) for i in range(len(template_regex(spec.template)[1]))])
 
     def read(m: Column) -> Column:
         values = {}

@@ -1,4 +1,4 @@
-"""Registered queries over byte streams in pieces and JSON of any depth."""
+"""Registered queries over byte streams in pieces, JSON of any depth, and layouts learned from lines."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.functions import text as tx
+from sentrylake.operators import aligned, learned
 from sentrylake.sources import payloads
 from sentrylake.streaming import frames
 from sentrylake.streaming.connections import rocksdb
@@ -52,3 +53,34 @@ def fun_13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fun_25(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _nested(spark, sf_dir, F.lit('{"a":[],"b":""}'), 9, F.concat(F.lit(',"x":'), F.col("event_id").cast("string"), F.lit('.50,"l":[{"a":null},{},"",0]')))
     return rows.select("event_id", payloads.prune_json(F.col("text")).alias("pruned"))
+
+
+_LEARNED = f"""SELECT event_id, src_ip, CAST(src_port AS VARCHAR) AS src_port, dst_ip, CAST(dst_port AS VARCHAR) AS dst_port, protocol, CASE action WHEN 'allow' THEN 'allowed' ELSE 'denied' END AS action
+FROM ({EVENTS}) WHERE event_id % 10 IN ({{}}) """
+
+
+def _learned(spark: SparkSession, sf_dir: str, line, confirm: tuple[str, ...] = ()) -> DataFrame:
+    """Learned from six of ten lines, the other four read by what was learned; ``confirm`` are the roles that a reviewer agrees with."""
+    e = events(spark, sf_dir).select("event_id", line.alias("line"))
+    row = aligned.learn_formats(e.filter("event_id % 10 < 6").select(F.lit("acme").alias("format"), "line")).first()
+    spec = learned.Spec.from_json(row["spec"])
+    for slot in [s for s in spec.slots if s.needs_review and s.role in confirm]:
+        learned.review(spec, slot.role, slot.at)
+    learned.approve(spec, {"recognised": row["recognised"], "clean": row["clean"]})
+    read = e.filter("event_id % 10 >= 6").select("event_id", learned.apply(spec, F.col("line")).alias("f"))
+    return read.select("event_id", *[f"f.{c}" for c in ("src_ip", "src_port", "dst_ip", "dst_port", "protocol", "action")])
+
+
+@query("prj_39_text", _LEARNED.format("6, 7, 8, 9"))
+def prj_39_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = lambda n: F.col(n).cast("string")
+    tail = F.repeat(F.lit(" again"), (F.col("event_id") % 4).cast("int"))
+    line = F.concat(F.lit("2026-09-21 10:00:00 "), "device_hostname", F.lit(" session "), c("event_id"), F.lit(" "), "action", F.lit(" "), F.lower("protocol"), F.lit(" from "), "src_ip", F.lit(":"), c("src_port"), F.lit(" to "), "dst_ip", F.lit(":"), c("dst_port"), F.lit(" noted"), tail)
+    return _learned(spark, sf_dir, line)
+
+
+@query("prj_39_delimited", _LEARNED.format("6, 7, 8, 9"))
+def prj_39_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = F.concat(F.lit('"said ""'), "user_name", F.lit('"", twice"'))
+    line = F.concat_ws(",", F.lit("2"), F.col("event_id").cast("string"), quoted, "src_ip", "dst_ip", F.col("src_port").cast("string"), F.col("dst_port").cast("string"), F.when(F.col("protocol") == "TCP", "6").otherwise("17"), "action")
+    return _learned(spark, sf_dir, line, confirm=("src_ip", "dst_ip", "src_port", "dst_port", "protocol"))
