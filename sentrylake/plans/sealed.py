@@ -1,4 +1,4 @@
-"""Registered queries over sealed ledgers."""
+"""Registered queries over sealed ledgers and dead letters."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentrylake.operators import sealing
+from sentrylake.session import scratch_dir
+from sentrylake.streaming.dead_letters import DeadLetters
 
 from .fixtures import EVENTS, events
 from .queries import query
@@ -89,3 +91,25 @@ SELECT shard, CASE WHEN head <= {FORCED} THEN (head + {SIZE} - 1) // {SIZE} ELSE
 def str_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = _ledger(spark, sf_dir)
     return sealing.sealed_so_far(_sealed(ledger), ledger)
+
+
+@query("snk_08_dead_letters", f"""SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 'rejected' ELSE kind END AS kind, CASE WHEN event_id % 3 < 2 THEN 'no such index' ELSE reason END AS reason, CAST(CASE WHEN event_id % 3 < 2 THEN 7 ELSE 6 END AS INT) AS attempts
+FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'undeliverable' WHEN 1 THEN 'queue_full' ELSE 'rejected' END AS kind, concat('reason ', event_id % 3) AS reason FROM ({EVENTS})) WHERE event_id % 3 = 2 OR event_id % 10 = 0""")
+def snk_08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What still waits after a replay that was cut off in its first wave, and the one that went on; every tenth event is refused again."""
+    kind = F.when(F.col("event_id") % 3 == 0, "undeliverable").when(F.col("event_id") % 3 == 1, "queue_full").otherwise("rejected")
+    reason = F.concat(F.lit("reason "), (F.col("event_id") % 3).cast("string"))
+    e = events(spark, sf_dir).select("event_id", kind.alias("kind"), reason.alias("reason"), F.lit(6).alias("attempts"), F.col("time").alias("at"))
+    store = DeadLetters(spark, scratch_dir(spark, "dead"), wave=4000)
+    store.append(e, "batch-0")
+    store.append(e, "batch-0")  # the same batch again
+
+    def down(rows: DataFrame, wave: str) -> None:
+        raise OSError("connection refused")
+
+    def taken(rows: DataFrame, wave: str) -> DataFrame:
+        return rows.filter("event_id % 10 = 0").select("event_id", F.lit("no such index").alias("reason"))
+
+    store.replay(down, "event_id")
+    store.replay(taken, "event_id")
+    return store.entries().select("event_id", "kind", "reason", "attempts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,3 +35,13 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(_ROOT))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def scratch_dir(spark: SparkSession, what: str) -> str:
+    """A new folder under spark.checkpoint.dir; only a local session may do without that setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
+    return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
