@@ -1,11 +1,11 @@
-"""Registered queries over sealed ledgers and dead letters."""
+"""Registered queries over what is kept on disk: sealed ledgers, dead letters, postings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrylake.operators import sealing
+from sentrylake.operators import postings, sealing
 from sentrylake.session import scratch_dir
 from sentrylake.streaming.dead_letters import DeadLetters
 
@@ -113,3 +113,22 @@ def snk_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.replay(down, "event_id")
     store.replay(taken, "event_id")
     return store.entries().select("event_id", "kind", "reason", "attempts")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields of the events in two batches, the second one written twice."""
+    path = scratch_dir(spark, "postings")
+    e = events(spark, sf_dir)
+    for batch in (0, 1, 1):
+        postings.add(e.filter(F.col("event_id") % 2 == batch), path, batch, ("raw_text", "user_name"))
+    return postings.opened(spark, path)
+
+
+@query("flt_04_postings", f"SELECT event_id AS key FROM ({EVENTS}) WHERE regexp_matches(lower(raw_text), '(^|[^a-z0-9])error by user1')")
+def flt_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.match(_index(spark, sf_dir), "Error by USER1")
+
+
+@query("joi_06_search_events", f"SELECT event_id, src_ip, user_name FROM ({EVENTS}) WHERE user_name LIKE 'user2%'")
+def joi_06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.events_of(events(spark, sf_dir), _index(spark, sf_dir), "user2", fields=(1,)).select("event_id", "src_ip", "user_name")
