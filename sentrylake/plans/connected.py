@@ -1,4 +1,5 @@
-"""Registered queries over firewall lines: connections whose teardown takes the direction of the line that built them."""
+"""Registered queries over lines of devices: connections whose teardown takes the direction of the line that built them, and alerts in every
+shape that a sensor writes."""
 
 from __future__ import annotations
 
@@ -75,3 +76,24 @@ def str_06(spark: SparkSession, sf_dir: str) -> DataFrame:
         running = streamed.directed_stream(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return _sided(spark.table(name))
+
+
+@query("prj_29_snort", f"""SELECT event_id, src_ip, CASE WHEN event_id % 5 < 4 THEN src_port END AS src_port, dst_ip, CASE WHEN event_id % 5 < 4 THEN dst_port END AS dst_port, CASE WHEN event_id % 5 < 4 THEN protocol ELSE 'ICMP' END AS protocol,
+  concat('1:', event_id, ':2') AS rule, concat('say "', user_name, '", twice') AS signature, CASE event_id % 5 WHEN 4 THEN 'medium' WHEN 3 THEN 'medium' ELSE CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END END AS severity
+FROM ({EVENTS})""")
+def prj_29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = lambda n: F.col(n).cast("string")
+    kind, level = F.col("event_id") % 5, (F.col("event_id") % 3 + 1).cast("string")
+    said = F.concat(F.lit('say "'), "user_name", F.lit('", twice'))
+    quoted = F.concat(F.lit('"'), F.replace(said, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    ends = lambda proto, sp, dp: F.concat_ws(",", proto, "src_ip", sp, "dst_ip", dp)
+    head = F.concat_ws(",", F.lit("09/04/26-21:45:37.536335 "), F.lit("1"), c("event_id"), F.lit("2"), quoted)
+    fast = F.concat(F.lit("05/30-19:09:28.472094  [**] [1:"), c("event_id"), F.lit(":2] "), said, F.lit(" [**] [Classification: Misc] [Priority: "), level, F.lit("] {"), "protocol", F.lit("} "), "src_ip", F.lit(":"), c("src_port"), F.lit(" -> "), "dst_ip", F.lit(":"), c("dst_port"))
+    told = F.to_json(F.struct(F.col("event_id").alias("sid"), F.lit(1).alias("gid"), F.lit(2).alias("rev"), said.alias("msg"), F.lit(5).alias("pkt_num"), (F.col("event_id") % 3 + 1).alias("priority"), F.col("protocol").alias("proto"), F.col("src_ip").alias("src_addr"), "src_port", F.col("dst_ip").alias("dst_addr"), "dst_port", F.lit("AA").alias("b64_data")))
+    other = F.concat_ws(",", head, ends(F.col("protocol"), c("src_port"), c("dst_port")), F.lit("54321"), F.lit("Misc Attack"), level, F.lit("alert"), F.lit("Allow"))
+    mac = F.lit("00:25:90:3A:05:13")
+    own = F.concat_ws(",", head, ends(F.col("protocol"), c("src_port"), c("dst_port")), mac, mac, F.lit("0x72,***AP***,0x688F0DFC,0xBC763516,,0x80C,127,0,55665,100,102400,,,,"))
+    ping = F.concat_ws(",", head, ends(F.lit("ICMP"), F.lit(""), F.lit("")), mac, mac, F.lit("0x62,,,,,,64,0,37607,84,86016,8,0,83,1"))
+    line = F.when(kind == 0, fast).when(kind == 1, told).when(kind == 2, other).when(kind == 3, own).otherwise(ping)
+    got = spread(events(spark, sf_dir)).select("event_id", line.alias("line")).select("event_id", packs.parse_column("line").alias("p"))
+    return got.select("event_id", *[f"p.{n}" for n in ("src_ip", "src_port", "dst_ip", "dst_port", "protocol", "rule", "signature", "severity")])

@@ -87,3 +87,38 @@ def test_open_connections_are_forgotten_and_survive_a_restart(spark, tmp_path):
     assert got == [("#1", "inbound")]
     got = batch(2, ("h", "#2", 80, "teardown", None), ("h", "#3", 85, "teardown", None), ("h", "#1", 86, "teardown", None))
     assert got == [("#1", None), ("#2", None), ("#3", "inbound")]
+
+
+SNORT = [
+    (
+        '09/04-21:45:37.536335 ,1,1000006,0,"TCP connection",TCP,10.100.20.59,57263,10.100.10.190,22,00:25:90:3A:05:13,00:50:56:9D:A5:BE,0x72,***AP***,0x688F0DFC,0xBC763516,,0x80C,127,0,55665,100,102400,,,,',
+        ("1:1000006:0", "TCP connection", "10.100.20.59", 57263, "10.100.10.190", 22, "TCP", "medium"),
+    ),
+    (
+        '09/04-21:49:55.900215 ,1,1000004,0,"Pinging...",ICMP,10.100.10.190,,175.16.199.1,,00:50:56:9D:A5:BE,00:25:90:3A:05:13,0x62,,,,,,64,0,37607,84,86016,8,0,83,1',
+        ("1:1000004:0", "Pinging...", "10.100.10.190", None, "175.16.199.1", None, "ICMP", "medium"),
+    ),
+    (
+        '09/03/21-12:37:16.428952 ,1,2403488,68499,"Poor Reputation, group 95",TCP,203.0.113.7,36847,198.51.100.22,91,54321,Misc Attack,2,alert,Allow',
+        ("1:2403488:68499", "Poor Reputation, group 95", "203.0.113.7", 36847, "198.51.100.22", 91, "TCP", "medium"),
+    ),
+    (
+        '{"seconds":1608147213,"action":"allow","b64_data":"AAAA","dst_addr":"10.11.21.11","dst_port":445,"gid":1,"msg":"raw WriteAndX -> attempt","pkt_num":61571,"priority":1,"proto":"TCP","rev":1,"rule":"1:50626:1","sid":50626,"src_addr":"10.11.21.101","src_port":50084}',
+        ("1:50626:1", "raw WriteAndX -> attempt", "10.11.21.101", 50084, "10.11.21.11", 445, "TCP", "high"),
+    ),
+    ("[**] [1:1000006:0] TCP connection [**]", ("1:1000006:0", "TCP connection", None, None, None, None, None, None)),
+    (
+        "05/30-19:09:28.472094  [**] [1:2012811:2] ET DNS Query - Likely Hostile [**] [Classification: Potentially Bad Traffic] [Priority: 2] {UDP} 192.168.88.10:1029 -> 203.0.113.53:53",
+        ("1:2012811:2", "ET DNS Query - Likely Hostile", "192.168.88.10", 1029, "203.0.113.53", 53, "UDP", "medium"),
+    ),
+    ("<33>Sep  5 16:05:26 dev snort: [1:1000017:0] UDP Connection [Classification: Misc activity] [Priority: 3] {UDP} 10.150.10.44:55776 -> 10.25.10.22:32414", ("1:1000017:0", "UDP Connection", "10.150.10.44", 55776, "10.25.10.22", 32414, "UDP", "low")),
+]
+
+
+def test_alerts_in_every_shape(spark):
+    lines = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(SNORT)], "i int, line string")
+    got = {r.i: r.p for r in lines.select("i", packs.parse_column("line").alias("p")).collect()}
+    for i, (_, want) in enumerate(SNORT):
+        p = got[i]
+        assert p.pack == "snort_alert" and p.class_uid == 2004
+        assert (p.rule, p.signature, p.src_ip, p.src_port, p.dst_ip, p.dst_port, p.protocol, p.severity) == want
