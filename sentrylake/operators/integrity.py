@@ -12,7 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sum, with_previous
+
 GENESIS = "0" * 64
+#: Ids of batches that are one block of an order over all of them.
+BLOCK = 100_000
+
+
+def block_of(key: str) -> Column:
+    return F.floor(F.col(key) / BLOCK)
 
 
 def canonical_json(columns: list[str]) -> Column:
@@ -204,9 +212,9 @@ def episodes(batches: DataFrame) -> DataFrame:
     """Batches that were not plain live deliveries, merged while output, outcome, trigger and reason stay the same (gaps and islands)."""
     odd = batches.filter(~((F.col("outcome") == "delivered") & (F.col("trigger") == "live")) & (F.col("outcome") != "filtered"))
     key = F.concat_ws("\x1f", "output", "outcome", "trigger", F.coalesce("detail", F.lit("")))
-    order = Window.orderBy("id")
-    marked = odd.withColumn("k", key).withColumn("new", F.when(F.lag("k").over(order).eqNullSafe(F.col("k")), 0).otherwise(1))
-    numbered = marked.withColumn("episode", F.sum("new").over(order))
+    marked = with_previous(odd.withColumn("k", key), block_of("id"), "id", {"was": F.col("k")})
+    marked = marked.withColumn("new", F.when(F.col("was").eqNullSafe(F.col("k")), 0).otherwise(1))
+    numbered = running_sum(marked, block_of("id"), "id", "new", "episode")
     return numbered.groupBy("episode", "output", "outcome", "trigger", F.coalesce("detail", F.lit("")).alias("detail")).agg(
         F.min_by("at", "id").alias("since"), F.max_by("at", "id").alias("until"), F.count("*").alias("batches"), F.sum("count").alias("count")
     )
@@ -214,9 +222,9 @@ def episodes(batches: DataFrame) -> DataFrame:
 
 def verify_deliveries(batches: DataFrame, rows: DataFrame) -> DataFrame:
     """(batch, problem) of a delivery ledger: five kinds."""
-    order = Window.orderBy("id")
     seen = rows.groupBy(F.col("batch_id").alias("id")).agg(F.count("*").alias("n"), events_hash().alias("rows_hash"), F.collect_set("outcome").alias("outcomes"))
-    b = batches.withColumn("_prev", F.coalesce(F.lag("batch_hash").over(order), F.lit(GENESIS))).withColumn("_known", F.lit(True))
+    b = with_previous(batches, block_of("id"), "id", {"_prev": F.col("batch_hash")})
+    b = b.withColumn("_prev", F.coalesce("_prev", F.lit(GENESIS))).withColumn("_known", F.lit(True))
     both = b.join(seen, "id", "full_outer")
     empty = F.sha2(F.lit(""), 256)
     problems = F.when(F.col("_known").isNull(), F.array(F.lit("rows of a missing batch"))).otherwise(F.array_compact(F.array(

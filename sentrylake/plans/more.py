@@ -247,11 +247,10 @@ def agg_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("source_id").agg(F.count_distinct("src_ip").alias("addresses"), F.count_distinct("user_name").alias("users"))
 
 
-@query("det_06_unwritten", "SELECT CAST(1 AS BIGINT) AS n")
+@query("det_06_unwritten", f"SELECT DISTINCT user_name AS finding_uid FROM ({EVENTS}) WHERE CAST(substr(user_name, 5) AS BIGINT) % 3 <> 0")
 def det_06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a flag of its user, found again and again; those of every third user are stored."""
     from sentrylake.operators.baseline import unwritten
 
-    found = spark.createDataFrame([("a",), ("b",), ("b",)], "finding_uid string")
-    return unwritten(found, spark.createDataFrame([("a",)], "finding_uid string")).agg(F.count("*").alias("n"))
-
-
+    found = events(spark, sf_dir).select(F.col("user_name").alias("finding_uid"))
+    return unwritten(found, found.filter(F.substring("finding_uid", 5, 20).cast("long") % 3 == 0).distinct())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentrylake.functions import formats as fm
 from sentrylake.functions import text as tx
 from sentrylake.operators import analytics, baseline, correlate, features, integrity, ocsf, search
+from sentrylake.operators.ordered import numbered
 
 from .fixtures import EVENTS, FLOWS, SOURCES, T0, events, flows, sources, spread, table
 
@@ -98,10 +99,10 @@ def agg_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.timeline(flows(spark, sf_dir).withColumn("disposition", named), 300_000)
 
 
-@query("agg_04_step", "SELECT CAST(s AS BIGINT) AS span_s, CAST(coalesce((SELECT min(x) FROM (VALUES (1), (5), (10), (30), (60), (300), (600), (1800), (3600), (7200), (14400), (43200), (86400), (604800)) t(x) WHERE s / x <= 60), 604800) AS INT) AS step FROM (VALUES (30), (61), (4000), (90000), (900000000)) v(s)")
+@query("agg_04_step", f"SELECT event_id, event_id * event_id AS span_s, CAST(coalesce((SELECT min(x) FROM (VALUES (1), (5), (10), (30), (60), (300), (600), (1800), (3600), (7200), (14400), (43200), (86400), (604800)) t(x) WHERE event_id * event_id / x <= 60), 604800) AS INT) AS step FROM ({EVENTS})")
 def agg_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = spark.createDataFrame([(s,) for s in (30, 61, 4000, 90000, 900000000)], "span_s long")
-    return spans.select("span_s", analytics.step_seconds(F.col("span_s") * 1000).alias("step"))
+    spans = events(spark, sf_dir).select("event_id", (F.col("event_id") * F.col("event_id")).alias("span_s"))
+    return spans.select("event_id", "span_s", analytics.step_seconds(F.col("span_s") * 1000).alias("step"))
 
 
 @query("agg_05_top_denied", f"SELECT src_ip, count(*) AS n FROM ({EVENTS}) WHERE disposition IN ('denied', 'dropped', 'blocked') GROUP BY 1 ORDER BY n DESC, src_ip LIMIT 8")
@@ -207,9 +208,8 @@ def joi_09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("joi_10_port_sweep", f"WITH s AS (SELECT row_number() OVER (ORDER BY time, sequence_num, dst_ip) AS pos, src_ip, time, dst_port FROM ({FLOWS})), h AS (SELECT b.src_ip, b.pos, count(DISTINCT a.dst_port) AS ports FROM s a JOIN s b ON a.src_ip = b.src_ip AND a.pos <= b.pos AND b.time - a.time BETWEEN 0 AND 60000 GROUP BY 1, 2) SELECT src_ip, min(pos) AS event_id, arg_min(ports, pos) AS ports FROM h WHERE ports >= 10 GROUP BY 1")
 def joi_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flows(spark, sf_dir)
-    pos = F.row_number().over(Window.orderBy("time", "sequence_num", "dst_ip")).cast("long")
-    return correlate.port_sweeps(rows.withColumn("pos", pos).withColumn("event_id", F.col("pos")))
+    rows = numbered(flows(spark, sf_dir), F.floor(F.col("time") / 60_000), ["time", "sequence_num", "dst_ip"], "pos")
+    return correlate.port_sweeps(rows.withColumn("event_id", F.col("pos")))
 
 
 @query("agg_21_incident", f"WITH {_SCOPE} SELECT count(*) AS events, (SELECT severity FROM s ORDER BY severity_id DESC LIMIT 1) AS severity, min(time) AS start_time, max(time) AS end_time, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT unnest(addresses) AS x FROM s)) AS ips, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT user_name AS x FROM s)) AS users, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT device_hostname AS x FROM s)) AS devices FROM s")
@@ -271,11 +271,12 @@ def joi_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.filter("root IS NOT NULL").groupBy("shard", "idx").agg(F.count("*").alias("n"))
 
 
-@query("joi_16_witness", "SELECT CAST(i AS BIGINT) AS idx, s AS state FROM (VALUES (0, 'agree'), (1, 'differ'), (2, 'pending'), (3, 'missing here')) v(i, s)")
+@query("joi_16_witness", "SELECT c_custkey AS idx, CASE c_custkey % 5 WHEN 1 THEN 'differ' WHEN 2 THEN 'pending' WHEN 3 THEN 'missing here' ELSE 'agree' END AS state FROM customer")
 def joi_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ours = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx long, root string")
-    theirs = spark.createDataFrame([(0, "a"), (1, "x"), (3, "d")], "idx long, root string")
-    return integrity.witness_compare(ours, theirs)
+    """Checkpoints are customers: every fifth is known to one side only, or signed with another root."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.sha2("c_name", 256).alias("root"))
+    theirs = rows.filter("idx % 5 <> 2").withColumn("root", F.when(F.col("idx") % 5 == 1, F.lit("other")).otherwise(F.col("root")))
+    return integrity.witness_compare(rows.filter("idx % 5 <> 3"), theirs)
 
 
 # Delivery
@@ -476,10 +477,17 @@ def fun_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", tx.read_time(text, NOW).alias("time"))
 
 
-@query("fun_14_severity_action", "SELECT CAST(i AS BIGINT) AS i, CAST(s AS INT) AS severity_id, d AS disposition, a AS action FROM (VALUES (0, 5, 'allowed', 'allow'), (1, 4, 'denied', 'deny'), (2, 3, 'dropped', 'drop'), (3, 2, 'alert', 'alert'), (4, 1, 'other', 'other')) v(i, s, d, a)")
+@query("fun_14_severity_action", f"""SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN CASE severity WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END
+  ELSE CASE WHEN event_id % 11 >= 9 THEN 5 WHEN event_id % 11 >= 7 THEN 4 WHEN event_id % 11 >= 5 THEN 3 WHEN event_id % 11 >= 3 THEN 2 ELSE 1 END END AS INT) AS severity_id,
+  CASE event_id % 5 WHEN 0 THEN 'denied' WHEN 1 THEN 'dropped' WHEN 2 THEN 'alert' WHEN 3 THEN 'allowed' ELSE lower(user_name) END AS disposition,
+  CASE event_id % 5 WHEN 0 THEN 'deny' WHEN 1 THEN 'drop' WHEN 2 THEN 'alert' WHEN 3 THEN 'allow' ELSE lower(user_name) END AS action FROM ({EVENTS})""")
 def fun_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "Critical", "Accepted"), (1, "3.6", "BLOCKED"), (2, "warning", "discard"), (3, "notice", "detected"), (4, "debug", "Other")], "i long, s string, a string")
-    return rows.select("i", tx.normal_severity(F.col("s")).cast("int").alias("severity_id"), tx.normal_action(F.col("a"))["disposition"].alias("disposition"), tx.normal_action(F.col("a"))["action"].alias("action"))
+    number = (F.col("event_id") % 11 / 2).cast("string")
+    said = F.when(F.col("event_id") % 3 == 0, F.when(F.col("severity") == "Low", "notice").when(F.col("severity") == "Medium", "WARNING").otherwise(F.col("severity"))).otherwise(number)
+    kind = F.col("event_id") % 5
+    done = F.when(kind == 0, F.upper("disposition")).when(kind == 1, "Discarded").when(kind == 2, "detected").when(kind == 3, "Accepted").otherwise(F.col("user_name"))
+    action = tx.normal_action(done)
+    return events(spark, sf_dir).select("event_id", tx.normal_severity(said).cast("int").alias("severity_id"), action["disposition"].alias("disposition"), action["action"].alias("action"))
 
 
 _CONTRACT = f"""SELECT time, strftime(make_timestamp(time * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS event_time, CAST(NULL AS VARCHAR) AS time_source, class_uid, class_name, CAST(CASE class_uid WHEN 4001 THEN 6 ELSE 1 END AS INT) AS activity_id,
