@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import integrity
+from sentrylake import offline
+from sentrylake.session import ship
+
+from . import integrity, sealing
 
 MOST = 1000
 
@@ -62,3 +68,58 @@ def bundle(ledger: DataFrame, wanted: DataFrame, shard: str = "shard", size: int
     made = integrity.record_hash(F.col("prev_hash"), F.col("sequence_num"), F.col("raw_hash"), F.col("body"))
     rows = rows.withColumn("raw_ok", F.sha2(F.encode("raw_text", "UTF-8"), 256) == F.col("raw_hash")).withColumn("record_ok", made == F.col("record_hash"))
     return rows.join(proofs(ledger, wanted, shard, size), [shard, "sequence_num"], "left")
+
+
+def multiproofs(ledger: DataFrame, sealed: DataFrame, wanted: DataFrame, width: int = sealing.SIZE) -> DataFrame:
+    """(shard, idx, leaves, nodes, proven) for each checkpoint that covers some of the wanted records (shard, sequence_num): the records and
+    their places, the nodes that lead from all of them together to the root, and whether they do. A checkpoint's records are one task's."""
+    ranges = sealed.select("shard", "idx", "first_seq", "last_seq")
+    asked = sealing.members(wanted.select("shard", "sequence_num").distinct(), ranges, width)
+    there = asked.select("shard", "idx").distinct()
+    rows = sealing.members(ledger.select("shard", "sequence_num", "record_hash"), ranges.join(there, ["shard", "idx"], "left_semi"), width)
+    rows = rows.join(asked.withColumn("asked", F.lit(True)), ["shard", "idx", "sequence_num"], "left").join(sealed.select("shard", "idx", "merkle_root"), ["shard", "idx"])
+    kind = dict(ledger.dtypes)["shard"]
+
+    def prove(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sequence_num").reset_index(drop=True)
+        level = [offline.leaf(s, h) for s, h in zip(pdf["sequence_num"], pdf["record_hash"], strict=True)]
+        places = [int(i) for i in pdf.index[pdf["asked"].notna()]]
+        nodes = offline.siblings(places, level)
+        root = offline.root_of({i: level[i] for i in places}, len(level), nodes)
+        leaves = [{"sequence_num": int(pdf.at[i, "sequence_num"]), "place": i} for i in places]
+        return pd.DataFrame([(*key, leaves, [n.hex() for n in nodes], root is not None and root.hex() == pdf.at[0, "merkle_root"])], columns=["shard", "idx", "leaves", "nodes", "proven"])
+
+    ship(ledger.sparkSession)
+    return rows.groupBy("shard", "idx").applyInPandas(prove, f"shard {kind}, idx long, leaves array<struct<sequence_num:long,place:long>>, nodes array<string>, proven boolean")
+
+
+def write_bundle(ledger: DataFrame, sealed: DataFrame, wanted: DataFrame, folder: str | Path, case: str = "", width: int = sealing.SIZE) -> str:
+    """Write the wanted records (MOST at most), their checkpoints and proofs to a new folder, with ``offline.py`` to check them; returns the
+    hash of the manifest, which is best kept elsewhere.
+
+    ``ledger``: shard, sequence_num, raw_text, raw_hash, body, prev_hash, record_hash. Records that no checkpoint covers have no proof.
+    """
+    n = wanted.select("shard", "sequence_num").distinct().limit(MOST + 1).count()
+    if not 0 < n <= MOST:
+        raise ValueError(f"a bundle holds 1 to {MOST} records")
+    keys = wanted.select("shard", "sequence_num").distinct()
+    columns = ["shard", "sequence_num", "raw_text", "raw_hash", "body", "prev_hash", "record_hash"]
+    records = sorted((r.asDict() for r in ledger.select(*columns).join(F.broadcast(keys), ["shard", "sequence_num"], "left_semi").collect()), key=lambda r: (r["shard"], r["sequence_num"]))
+    proven = sorted((r.asDict(recursive=True) for r in multiproofs(ledger, sealed, keys, width).drop("proven").collect()), key=lambda r: (r["shard"], r["idx"]))
+    proven = [{**p, "leaves": [[x["sequence_num"], x["place"]] for x in p["leaves"]]} for p in proven]
+    covers = {(p["shard"], p["idx"]) for p in proven}
+    found = sealed.select("shard", "idx", "body", "checkpoint_hash").join(F.broadcast(ledger.sparkSession.createDataFrame(list(covers), f"shard {dict(sealed.dtypes)['shard']}, idx long")), ["shard", "idx"], "left_semi") if covers else None
+    checkpoints = sorted((r.asDict() for r in found.collect()), key=lambda r: (r["shard"], r["idx"])) if found is not None else []
+    folder = Path(folder)
+    folder.mkdir(parents=True)
+    files = []
+    for name, rows in (("records", records), ("proofs", proven), ("checkpoints", checkpoints)):
+        data = "".join(json.dumps(r, sort_keys=True, ensure_ascii=False) + "\n" for r in rows).encode()
+        (folder / f"{name}.jsonl").write_bytes(data)
+        files.append({"name": f"{name}.jsonl", "sha256": offline.sha256(data), "bytes": len(data)})
+    manifest = {"case": case, "files": files, "records": [[r["shard"], r["sequence_num"]] for r in records], "unsealed": len(records) - sum(len(p["leaves"]) for p in proven)}
+    said = json.dumps(manifest, sort_keys=True, ensure_ascii=False).encode()
+    (folder / offline.MANIFEST).write_bytes(said)
+    (folder / offline.SEAL).write_text(offline.sha256(said) + "\n")
+    (folder / "offline.py").write_text(Path(offline.__file__).read_text(encoding="utf-8"), encoding="utf-8")
+    return offline.sha256(said)

@@ -86,21 +86,27 @@ def seal(ledger: DataFrame, sealed: DataFrame, size: int = SIZE, force: bool = F
     return windows.groupBy("shard").applyInPandas(link, schema)
 
 
-def verify(sealed: DataFrame, ledger: DataFrame, width: int = SIZE) -> DataFrame:
-    """(shard, idx, problem) of stored checkpoints against the ledger as it is now.
+def members(ledger: DataFrame, ranges: DataFrame, width: int = SIZE) -> DataFrame:
+    """Records with the ranges (shard, idx, first_seq, last_seq) that hold them.
 
-    A record meets the ranges that may hold it by the blocks of ``width`` numbers that they share, so the range join is one of equal keys.
+    Both meet by the blocks of ``width`` numbers that they share, so the range join is one of equal keys. Ranges must not be longer than LONGEST.
     """
+    blocks = F.sequence(F.floor(F.col("first_seq") / width), F.floor(F.col("last_seq") / width))
+    cut = ranges.select("shard", "idx", F.col("first_seq").alias("_a"), F.col("last_seq").alias("_z"), F.explode(blocks).alias("_block"))
+    records = ledger.withColumn("_block", F.floor(F.col("sequence_num") / width))
+    return records.join(cut, ["shard", "_block"]).filter(F.col("sequence_num").between(F.col("_a"), F.col("_z"))).drop("_block", "_a", "_z")
+
+
+def verify(sealed: DataFrame, ledger: DataFrame, width: int = SIZE) -> DataFrame:
+    """(shard, idx, problem) of stored checkpoints against the ledger as it is now."""
     read = sealed.withColumn("b", F.from_json("body", _BODY)).withColumn("_text", F.try_parse_json("body").isNotNull())
     order = Window.partitionBy("shard").orderBy("idx")
     # an unreadable text ends nothing: the next one is held against the last that can be read
     before = lambda c: F.last(F.when(F.col("_text"), c), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     read = read.withColumn("_prev", F.coalesce(before(F.col("checkpoint_hash")), F.lit(GENESIS))).withColumn("_after", before(F.col("b.last_seq")) + 1)
     believed = F.col("_text") & (F.col("b.last_seq") - F.col("b.first_seq")).between(0, LONGEST - 1)
-    blocks = F.sequence(F.floor(F.col("b.first_seq") / width), F.floor(F.col("b.last_seq") / width))
-    ranges = read.filter(believed).select("shard", "idx", F.col("b.first_seq").alias("_a"), F.col("b.last_seq").alias("_z"), F.explode(blocks).alias("_block"))
-    records = ledger.select("shard", "sequence_num", "record_hash", F.floor(F.col("sequence_num") / width).alias("_block"))
-    held = records.join(ranges, ["shard", "_block"]).filter(F.col("sequence_num").between(F.col("_a"), F.col("_z")))
+    ranges = read.filter(believed).select("shard", "idx", F.col("b.first_seq").alias("first_seq"), F.col("b.last_seq").alias("last_seq"))
+    held = members(ledger.select("shard", "sequence_num", "record_hash"), ranges, width)
     now = _roots(held.select("shard", "idx", "sequence_num", "record_hash"), ("shard", "idx")).select("shard", "idx", F.col("size").alias("_size"), F.col("merkle_root").alias("_root"))
     rows = read.join(now, ["shard", "idx"], "left")
     stored = F.coalesce("_size", F.lit(0))

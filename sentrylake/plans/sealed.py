@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrylake.operators import postings, sealing
+from sentrylake.operators import evidence, postings, sealing
 from sentrylake.session import scratch_dir
 from sentrylake.streaming.dead_letters import DeadLetters
 
@@ -132,3 +132,16 @@ def flt_04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("joi_06_search_events", f"SELECT event_id, src_ip, user_name FROM ({EVENTS}) WHERE user_name LIKE 'user2%'")
 def joi_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.events_of(events(spark, sf_dir), _index(spark, sf_dir), "user2", fields=(1,)).select("event_id", "src_ip", "user_name")
+
+
+@query("led_07_multiproofs", f"""WITH l AS ({_LEDGER}), h AS (SELECT *, max(seq) OVER (PARTITION BY shard) AS head FROM l), k AS (
+  SELECT shard, seq, head, CASE WHEN seq <= {FORCED} THEN 1 + (seq - 1) // {SIZE} ELSE 1 + ({FORCED} + {SIZE} - 1) // {SIZE} + (seq - {FORCED} - 1) // {SIZE} END AS idx,
+    CASE WHEN seq <= {FORCED} THEN 0 ELSE {FORCED} + ((seq - {FORCED} - 1) // {SIZE} + 1) * {SIZE} END AS last_seq FROM h
+)
+SELECT shard, idx, count(*) AS records, NOT bool_or(shard = 2 AND idx = 2) AS proven FROM k WHERE seq % 7 = 0 AND last_seq <= head GROUP BY 1, 2""")
+def led_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh record proven by the checkpoint that seals it; one record of another is not what was sealed."""
+    ledger = _ledger(spark, sf_dir)
+    changed = F.when((F.col("shard") == 2) & (F.col("sequence_num") == 60), F.lit("0")).otherwise(F.col("record_hash"))
+    found = evidence.multiproofs(ledger.withColumn("record_hash", changed), _sealed(ledger), ledger.filter("sequence_num % 7 = 0"), width=SIZE)
+    return found.select("shard", "idx", F.size("leaves").cast("long").alias("records"), "proven")
