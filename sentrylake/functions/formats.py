@@ -6,8 +6,12 @@ import csv
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+from sentrylake.functions import xml_folds
+from sentrylake.session import ship
 
 LIST_KEYS = r"[A-Za-z_][\w.\-]*"
 KV = rf'({LIST_KEYS})=("(?:[^"\\]|\\.)*"|[^\s"]*)'
@@ -177,6 +181,21 @@ def xml_pairs(text: Column, most: int = 400, bytes_: int = 65536) -> Column:
     return F.when(safe, last_wins(F.slice(k, 1, most), F.slice(F.transform(v, unescape), 1, most)))
 
 
+def xml_paths(text: Column, most: int = xml_folds.PAIRS, bytes_: int = xml_folds.BYTES) -> Column:
+    """(key, value) pairs of a document by dotted paths, in its order: namespaces, CDATA, attributes and equal nested names; see ``xml_folds``.
+    ``xml_pairs`` reads flat documents without leaving the JVM."""
+    ship(SparkSession.active())
+    kind = ArrayType(StructType().add("key", StringType()).add("value", StringType()))
+
+    def run(column):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        return pa.array([xml_folds.pairs(x.as_py(), most, bytes_) for x in column], to_arrow_type(kind))
+
+    return F.arrow_udf(run, kind)(text)
+
+
 def csv_header(first: str, second: str) -> tuple[str, list[str]] | None:
     """(delimiter, columns) when the first line of a file names columns and the second is a row of as many cells."""
     for d in (",", "\t", ";"):

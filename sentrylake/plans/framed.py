@@ -1,4 +1,4 @@
-"""Registered queries over byte streams in pieces, JSON of any depth, and layouts learned from lines."""
+"""Registered queries over byte streams in pieces, JSON and XML of any depth, and layouts learned from lines."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrylake.functions import formats as fm
 from sentrylake.functions import text as tx
-from sentrylake.operators import aligned, learned
+from sentrylake.operators import aligned, infer, learned
 from sentrylake.sources import payloads
 from sentrylake.streaming import frames
 from sentrylake.streaming.connections import rocksdb
@@ -55,6 +56,29 @@ def fun_25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", payloads.prune_json(F.col("text")).alias("pruned"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event as XML: a namespace, attributes, a name within equal names, CDATA, entities, and a named element."""
+    c = lambda n: F.col(n).cast("string")
+    text = F.concat(
+        F.lit('<?xml version="1.0"?><f:event xmlns:f="urn:f" id="'), c("event_id"), F.lit('"><f:source ip="'), "src_ip", F.lit('" port="'), c("src_port"), F.lit('"/><destination><ip>'), "dst_ip", F.lit("</ip><port> "),
+        c("dst_port"), F.lit(" </port></destination><a><a>"), "user_name", F.lit("<b/></a>late</a><raw><![CDATA[<"), "severity", F.lit("&]]></raw><note>&lt;&#65;&amp;</note><Data Name='proto'>"), F.lower("protocol"), F.lit("</Data><empty x=''/></f:event>"),
+    )
+    return events(spark, sf_dir).select("event_id", text.alias("text"))
+
+
+@query("prj_11_paths", f"""WITH e AS (SELECT * FROM ({EVENTS})) SELECT event_id, key, value FROM e, LATERAL (SELECT * FROM (VALUES ('id', CAST(event_id AS VARCHAR)), ('source.ip', src_ip), ('source.port', CAST(src_port AS VARCHAR)), ('destination.ip', dst_ip),
+  ('destination.port', CAST(dst_port AS VARCHAR)), ('a.a', user_name), ('raw', concat('<', severity, '&')), ('note', '<A&'), ('proto', lower(protocol)), ('empty.x', '')) v(key, value)) x""")
+def prj_11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("event_id", F.inline(fm.xml_paths(F.col("text"))))
+
+
+@query("prj_11_roles", f"""WITH e AS (SELECT * FROM ({EVENTS})) SELECT event_id, role, value FROM e, LATERAL (SELECT * FROM (VALUES ('src_ip', src_ip), ('src_port', CAST(src_port AS VARCHAR)), ('dst_ip', dst_ip), ('dst_port', CAST(dst_port AS VARCHAR)), ('protocol', protocol)) v(role, value)) x""")
+def prj_11_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fm.xml_paths(F.col("text"))
+    rows = _documents(spark, sf_dir).withColumn("_p", pairs).select("event_id", fm.last_wins(F.transform("_p", lambda p: p["key"]), F.transform("_p", lambda p: p["value"])).alias("m"))
+    return infer.from_pairs(rows).select("event_id", "role", "value")
+
+
 _LEARNED = f"""SELECT event_id, src_ip, CAST(src_port AS VARCHAR) AS src_port, dst_ip, CAST(dst_port AS VARCHAR) AS dst_port, protocol, CASE action WHEN 'allow' THEN 'allowed' ELSE 'denied' END AS action
 FROM ({EVENTS}) WHERE event_id % 10 IN ({{}}) """
 
