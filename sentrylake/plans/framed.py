@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import formats as fm
 from sentrylake.functions import text as tx
-from sentrylake.operators import aligned, infer, learned
+from sentrylake.operators import aligned, features, infer, learned
 from sentrylake.sources import payloads
 from sentrylake.streaming import frames
 from sentrylake.streaming.connections import rocksdb
+from sentrylake.streaming.features import feature_stream
 
-from .fixtures import EVENTS, events
+from .fixtures import EVENTS, FLOWS, events
 from .queries import query
 
 
@@ -108,3 +109,17 @@ def prj_39_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = F.concat(F.lit('"said ""'), "user_name", F.lit('"", twice"'))
     line = F.concat_ws(",", F.lit("2"), F.col("event_id").cast("string"), quoted, "src_ip", "dst_ip", F.col("src_port").cast("string"), F.col("dst_port").cast("string"), F.when(F.col("protocol") == "TCP", "6").otherwise("17"), "action")
     return _learned(spark, sf_dir, line, confirm=("src_ip", "dst_ip", "src_port", "dst_port", "protocol"))
+
+
+@query("str_02_features", f"SELECT * FROM ({features.features_sql(FLOWS, 'src_ip', 'src_ip')}) WHERE window_start_ms + 300000 <= (SELECT max(time) FROM ({FLOWS})) - 30000")
+def str_02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows as a file stream: every window that closes, with all features."""
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    head, tail = FLOWS.rsplit("FROM lineitem", 1)
+    stream = spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/lineitem.parquet*")
+    name = f"s{uuid.uuid4().hex}"
+    with rocksdb(spark):
+        rows = feature_stream(spark.sql(f"{head} FROM {{stream}} {tail}", stream=stream))
+        running = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name)
