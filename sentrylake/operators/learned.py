@@ -30,6 +30,7 @@ class Slot:
     at: str  # a key, or a slot's number in a template
     confidence: float
     needs_review: bool = False
+    transform: str = ""  # a conversion of ``streaming.specs``
 
 
 @dataclass

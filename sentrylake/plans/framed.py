@@ -11,7 +11,8 @@ from sentrylake.functions import formats as fm
 from sentrylake.functions import text as tx
 from sentrylake.operators import aligned, features, infer, learned
 from sentrylake.sources import payloads
-from sentrylake.streaming import frames
+from sentrylake.session import scratch_dir
+from sentrylake.streaming import frames, specs
 from sentrylake.streaming.connections import rocksdb
 from sentrylake.streaming.features import feature_stream
 
@@ -123,3 +124,22 @@ def str_02(spark: SparkSession, sf_dir: str) -> DataFrame:
         running = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name)
+
+
+@query("udf_02_specs", f"""SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'acme' END AS spec, CAST(CASE WHEN event_id % 4 <> 0 THEN 2 END AS BIGINT) AS version, CASE WHEN event_id % 4 <> 0 THEN src_ip END AS src_ip, CASE WHEN event_id % 4 <> 0 THEN dst_ip END AS dst_ip,
+  CASE WHEN event_id % 4 <> 0 THEN CASE action WHEN 'allow' THEN 'allowed' ELSE 'denied' END END AS action, CASE WHEN event_id % 4 <> 0 THEN CASE WHEN event_id % 8 <= 2 THEN 'critical' WHEN event_id % 8 = 3 THEN 'high' WHEN event_id % 8 = 4 THEN 'medium' WHEN event_id % 8 = 5 THEN 'low' ELSE 'informational' END END AS severity,
+  CASE WHEN event_id % 4 <> 0 THEN user_name END AS user FROM ({EVENTS})""")
+def udf_02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines read by the specs of a store: the second version of one is approved, another is a candidate only."""
+    store = specs.SpecStore(spark, scratch_dir(spark, "specs"))
+    roles = {"src_ip": "a", "dst_ip": "b", "action": "act", "severity": "lvl", "user": "who"}
+    slots = [learned.Slot(r, k, 1.0, transform={"severity": "syslog_severity", "user": "$.name"}.get(r, "")) for r, k in roles.items()]
+    made = learned.Spec("acme", "kv", keys=list(roles.values()), slots=slots)
+    store.put(made)
+    made.status = "approved"
+    store.put(made)
+    store.put(learned.Spec("other", "kv", keys=["a"], slots=slots[:1]))
+    c = lambda n: F.col(n).cast("string")
+    line = F.concat(F.lit("a="), "src_ip", F.lit(" b="), "dst_ip", F.lit(" act="), "action", F.lit(" lvl="), c("event_id"), F.lit(" who={'name':'"), "user_name", F.lit("'}"))
+    lines = events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 4 == 0, F.col("raw_text")).otherwise(line).alias("line"))
+    return specs.read_with(lines, specs.table(spark, store.current())).select("event_id", "spec", "version", "src_ip", "dst_ip", "action", "severity", "user")
