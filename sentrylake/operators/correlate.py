@@ -75,6 +75,30 @@ def port_sweeps(rows: DataFrame, span_ms: int = SWEEP_MS, least: int = SWEEP_POR
     return got.select("src_ip", F.col("f.event_id").alias("event_id"), F.col("f.ports").alias("ports"))
 
 
+# What a reader of an incident is told to do, by the kind of what was found; {} is what the events share.
+ADVICE = {
+    "login": "Confirm with the account owner that the session behind {} was theirs; revoke it if not.",
+    "alert": "Pull the sensor's payload for the alert between {} and review the rule that allowed the connection.",
+    "sweep": "Check whether {} is a known scanner; block it at the perimeter if not.",
+}
+LAST_ADVICE = "Verify the integrity chain before these events are used as evidence."
+
+
+def recommendations(logins: DataFrame, alerts: DataFrame, sweeps: DataFrame) -> DataFrame:
+    """(pos, text): advice on logins (login_id, shared), alerts (alert_id, shared) and sweeps (src_ip, event_id), in this order and by event within
+    each, every text once, and the last one always. ``shared`` are addresses joined by commas. A scope bounds what is found."""
+
+    def of(rows: DataFrame, rank: int, kind: str, at: str, shared: str, between: str) -> DataFrame:
+        said = F.replace(F.lit(ADVICE[kind]), F.lit("{}"), F.replace(F.col(shared), F.lit(","), F.lit(between)))
+        return rows.select(F.lit(rank).alias("rank"), F.col(at).alias("at"), said.alias("text"))
+
+    said = of(logins, 0, "login", "login_id", "shared", ", ").unionByName(of(alerts, 1, "alert", "alert_id", "shared", " and ")).unionByName(of(sweeps, 2, "sweep", "event_id", "src_ip", ","))
+    once = said.groupBy("text").agg(F.min(F.struct("rank", "at")).alias("first"))
+    found = once.select("text", F.row_number().over(Window.orderBy("first")).cast("long").alias("pos"))
+    last = found.agg((F.count("*") + 1).alias("pos")).select(F.lit(LAST_ADVICE).alias("text"), "pos")
+    return found.unionByName(last).select("pos", "text")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """One row: number of events, greatest severity, first and last time, and the sorted names involved."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0).cast("long")), F.lit(1))

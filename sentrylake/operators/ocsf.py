@@ -134,6 +134,14 @@ PRODUCTS = {
 }
 
 
+def activity_name() -> Column:
+    """The name of ``activity_id`` within its class."""
+    name = F.when(F.col("activity_id") == 99, "Other").otherwise("Unknown")
+    for (uid, number), known in ACTIVITIES.items():
+        name = F.when((F.col("class_uid") == uid) & (F.col("activity_id") == number), known).otherwise(name)
+    return name
+
+
 def contract(exported: DataFrame) -> DataFrame:
     """The flat typed columns of CONTRACT that analytics read, whatever ``exported`` lacks being null; the stand-in user name is null
     again. Fields are verified where a pack read them without an error, unless the event says so itself."""
@@ -141,11 +149,8 @@ def contract(exported: DataFrame) -> DataFrame:
     col = lambda c: F.col(c) if c in has else F.lit(None)
     end = lambda s, f: F.col(f"{s}_endpoint.{f}")
     parser = F.coalesce(col("parser"), col("parser_pack"))
-    activity = F.lit(None)
-    for (uid, number), name in ACTIVITIES.items():
-        activity = F.when((F.col("class_uid") == uid) & (F.col("activity_id") == number), name).otherwise(activity)
     made = {
-        "event_time": iso_millis(F.col("time")), "activity_name": F.coalesce(activity, F.when(F.col("activity_id") == 99, "Other").otherwise("Unknown")),
+        "event_time": iso_millis(F.col("time")), "activity_name": activity_name(),
         **{f"{s}_{f}": end(s, f) for s in ("src", "dst") for f in ("ip", "port")}, "protocol": F.col("protocol_name"), "direction_id": _map(DIRECTIONS, F.lower(col("direction").cast("string"))),
         "user_name": F.nullif("user", F.lit("unknown")), "vendor": F.coalesce(col("vendor"), _map({k: v[0] for k, v in PRODUCTS.items()}, parser.cast("string"))),
         "product": F.coalesce(col("product"), _map({k: v[1] for k, v in PRODUCTS.items()}, parser.cast("string"))), "parser": parser,

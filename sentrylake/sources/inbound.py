@@ -26,6 +26,14 @@ def datagram(payload: Column) -> Column:
     return F.when((F.size(parts) > 1) & F.forall(parts, lambda x: x.startswith("<")), parts).otherwise(F.array(payload))
 
 
+def datagrams(payload: Column, limit: int = 65_536) -> Column:
+    """The messages of a datagram's first ``limit`` bytes, as bytes: see ``datagram``. Lines are cut apart as Latin-1, which keeps every byte."""
+    text = F.decode(F.substring(payload, 1, limit), "ISO-8859-1")
+    parts = F.filter(F.split(text, "\r?\n"), not_blank)
+    several = (F.size(parts) > 1) & F.forall(parts, lambda x: x.startswith("<"))
+    return F.transform(F.when(several, parts).otherwise(F.array(text)), lambda x: F.encode(x, "ISO-8859-1"))
+
+
 def tcp_frames(payload: Column, limit: int = frames.LIMIT) -> Column:
     """RFC 6587 frames of a whole buffer as text, without the ends of lines. Counts are of bytes."""
     return F.transform(frames.whole(payload, limit), lambda f: F.regexp_replace(F.decode(f, "UTF-8"), r"\r?\n$", ""))
