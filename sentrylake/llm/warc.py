@@ -3,10 +3,13 @@
 Records are range-sorted by (url, page_id); a shard's writer rolls to a new file once the compressed size passes ROLL_BYTES, so
 a file holds whole records, each a gzip member of its own. Headers, lengths and digests are made anew from the payload.
 Files get a temporary name; a manifest of the shard follows and only files that a manifest names are then moved to their
-final names, so a task that is lost or runs twice leaves nothing that counts. Equal input gives equal bytes.
+final names, so a task that is lost or runs twice leaves nothing that counts; what it left is deleted. The manifest (name, records,
+bytes, digest of each file) is kept beside the files, and ``verify`` holds the files against it. Equal input gives equal bytes.
+
+A file begins with a warcinfo record. A response's block is an HTTP response with the payload; a revisit's is its head alone.
 
 The payload is the html in UTF-8 (null: empty). Of records with equal payloads of MIN_REVISIT bytes or more, the one with
-the smallest page_id is a response and the others are revisits of it, without a block. A record without page_id is a response and
+the smallest page_id is a response and the others are revisits of it, without the payload. A record without page_id is a response and
 nobody's; of records that repeat a page_id, all with the smallest are responses. A null url is written as an empty target.
 """
 
@@ -27,6 +30,9 @@ from .shared import Shared, ship
 
 MIN_REVISIT = 100
 ROLL_BYTES = 32 << 20
+#: Pages carry no date of their own.
+DATE = "2000-01-01T00:00:00Z"
+MANIFEST = "name string, records long, bytes long, sha256 string"
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -41,16 +47,30 @@ def revisits(pages: DataFrame, shared: Shared) -> DataFrame:
     return out.withColumn("refers_to", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id"))).drop("first_id")
 
 
+def http_head(size: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+
+
+def info(name: str) -> bytes:
+    """The record that a file begins with."""
+    block = b"software: sentrylake\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'file:{name}')}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record. The date is fixed, for the same input must give the same bytes."""
     kind = "response" if refers_to is None else "revisit"
-    block = payload if refers_to is None else b""
+    block = http_head(len(payload)) + (payload if refers_to is None else b"")
     uid = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{digest if page_id is None else page_id}")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:uuid:{uid}>",
-        "WARC-Date: 2000-01-01T00:00:00Z",
+        f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -63,7 +83,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
             f"X-Refers-To-Page-ID: {refers_to}",
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
         ]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -88,9 +108,12 @@ def write(rows: DataFrame, folder: str, shards: int, roll_bytes: int = ROLL_BYTE
         fs.create_dir(root, recursive=True)
         made, held, size, count = [], [], 0, 0
 
+        def name_of() -> str:
+            return f"part-{shard:06d}-{len(made):05d}.warc.gz"
+
         def roll() -> None:
             nonlocal held, size, count
-            name = f"part-{shard:06d}-{len(made):05d}.warc.gz"
+            name = name_of()
             temp = f"{name}.tmp-{attempt}"
             data = b"".join(held)
             with fs.open_output_stream(f"{root}/{temp}", compression=None) as out:
@@ -101,6 +124,9 @@ def write(rows: DataFrame, folder: str, shards: int, roll_bytes: int = ROLL_BYTE
         for batch in batches:
             for r in zip(*[batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to")], strict=True):
                 page_id, url, html, digest, refers_to = (x.as_py() for x in r)
+                if not held:
+                    held.append(_member(info(name_of())))
+                    size += len(held[-1])
                 held.append(_member(record(page_id, url, (html or "").encode(), digest, refers_to)))
                 size += len(held[-1])
                 count += 1
@@ -131,14 +157,45 @@ def commit(manifest: DataFrame, folder: str) -> None:
                     fs.move(f"{root}/{m['temp']}", f"{root}/{m['name']}")
             yield batch.select(["name"])
 
-    done = manifest.mapInArrow(run, "name string").agg(F.count("*")).first()[0]
+    manifest.mapInArrow(run, "name string").agg(F.count("*")).first()
+    manifest.select("name", "records", "bytes", "sha256").write.mode("overwrite").json(f"{folder}/_manifest")
+    _sweep(spark, folder)
+    total = manifest.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(f"{folder}/_MANIFEST.json")
     out = at.getFileSystem(conf).create(at, True)
-    out.write(bytearray(json.dumps({"files": done}).encode()))
+    out.write(bytearray(json.dumps(dict(zip(("files", "records", "bytes"), total, strict=True))).encode()))
     out.close()
 
 
+def _sweep(spark, folder: str) -> None:
+    """Delete the temporary files that lost attempts left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem, FileType
+
+        fs, root = FileSystem.from_uri(folder)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                name = f"{root}/{path.rsplit('/', 1)[-1]}"
+                if fs.get_file_info(name).type != FileType.NotFound:
+                    fs.delete_file(name)
+            yield batch
+
+    left = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz.tmp-*").load(folder).select("path")
+    left.mapInArrow(run, "path string").agg(F.count("*")).first()
+
+
+def verify(spark, folder: str) -> DataFrame:
+    """(name, problem) for every file that is missing, not in the manifest, or not the bytes that it names; an empty file counts as missing. Only
+    digests are joined."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    there = files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("found"))
+    named = spark.read.schema(MANIFEST).json(f"{folder}/_manifest").select("name", "sha256")
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "not in the manifest").when(F.col("found") != F.col("sha256"), "changed")
+    return named.join(there, "name", "full").select("name", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def read(spark, folder: str) -> DataFrame:
     """One row per record of the archives in ``folder``, from the bytes of the files."""
     ship(spark)
@@ -149,6 +206,8 @@ def read(spark, folder: str) -> DataFrame:
             for content in batch.column("content"):
                 rows = []
                 for h in members(content.as_buffer()):
+                    if h["WARC-Type"] == "warcinfo":
+                        continue
                     back, own = h.get("X-Refers-To-Page-ID"), h.get("X-Page-ID")
                     rows.append((None if own is None else int(own), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"], None if back is None else int(back)))
                 yield pa.RecordBatch.from_arrays(
@@ -184,9 +243,10 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(h["Content-Length"])]
     if rest[len(block) :] != b"\r\n\r\n" or h["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
         raise ValueError(f"broken record {h.get('WARC-Record-ID')}")
-    if h["WARC-Type"] == "response" and h["WARC-Payload-Digest"] != h["WARC-Block-Digest"]:
+    payload = block.partition(b"\r\n\r\n")[2]
+    if h["WARC-Type"] == "response" and h["WARC-Payload-Digest"] != f"sha256:{hashlib.sha256(payload).hexdigest()}":
         raise ValueError(f"payload of {h.get('WARC-Record-ID')} does not match its digest")
-    return h | {"block": block}
+    return h | {"block": block, "payload": payload}
 
 
 def archive(pages: DataFrame, shards: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:

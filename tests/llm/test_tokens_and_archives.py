@@ -88,8 +88,38 @@ def test_warc_bytes_depend_on_the_rows_alone(spark):
 
 def test_broken_records_are_found():
     raw = warc.record(1, "http://h", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
-    assert warc.parse(raw)["block"] == b"payload"
+    assert warc.parse(raw)["payload"] == b"payload" and warc.parse(raw)["block"] == warc.http_head(7) + b"payload"
     with pytest.raises(ValueError):
         warc.parse(raw.replace(b"payload", b"paxload"))
+    other = warc.record(1, "http://h", b"payload", hashlib.sha256(b"other").hexdigest(), None)
+    with pytest.raises(ValueError, match="payload of"):
+        warc.parse(other)
+    assert warc.parse(warc.record(2, "u", b"payload", "d", 1))["payload"] == b"" and warc.parse(warc.info("a"))["WARC-Filename"] == "a"
     with pytest.raises(ValueError):
         list(warc.members(warc._member(raw)[:-9]))
+
+
+def test_archives_are_held_against_their_manifest(spark):
+    import json
+    from pathlib import Path
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "text " * 50 + str(i)) for i in range(40)], "page_id long, url string, html string")
+    shared = Shared(spark, "warc-verify")
+    folder = shared.path("a")
+    made = shared.save(warc.write(warc.revisits(pages, shared), folder, 2, 1000), "manifest")
+    at = Path(folder.removeprefix("file://"))
+    lost = at / "part-000000-00000.warc.gz.tmp-99999"
+    lost.write_bytes(b"half a fi")
+    for _ in range(2):
+        warc.commit(made, folder)
+        assert not lost.exists() and warc.verify(spark, folder).count() == 0
+    names = sorted(x.name for x in at.glob("*.warc.gz"))
+    told = json.loads((at / "_MANIFEST.json").read_text())
+    assert told == {"files": len(names), "records": 40, "bytes": sum((at / n).stat().st_size for n in names)} and len(names) > 2
+    for n in names:
+        first = next(warc.members((at / n).read_bytes()))
+        assert (first["WARC-Type"], first["WARC-Filename"]) == ("warcinfo", n)
+    (at / "part-000009-00000.warc.gz").write_bytes(b"x")
+    (at / names[0]).write_bytes((at / names[1]).read_bytes())
+    (at / names[2]).unlink()
+    assert {(r.name, r.problem) for r in warc.verify(spark, folder).collect()} == {(names[0], "changed"), (names[2], "missing"), ("part-000009-00000.warc.gz", "not in the manifest")}
