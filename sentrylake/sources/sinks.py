@@ -18,13 +18,10 @@ def accepts(classes: Iterable[int] = (), min_severity: int = 0, sources: Iterabl
 
 
 def route(events: DataFrame, outputs: dict[str, dict]) -> DataFrame:
-    """(output, outcome, event): each output's events, and those it filters out with the outcome ``filtered``."""
-    rows = None
-    for name, conditions in outputs.items():
-        outcome = F.when(F.coalesce(accepts(**conditions), F.lit(False)), "queued").otherwise("filtered")
-        one = events.select(F.lit(name).alias("output"), outcome.alias("outcome"), "event_id", "sequence_num")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """(output, outcome, event): each output's events, and those it filters out with the outcome ``filtered``. The events are read once."""
+    outcome = lambda conditions: F.when(F.coalesce(accepts(**conditions), F.lit(False)), "queued").otherwise("filtered")
+    each = [F.struct(F.lit(name).alias("output"), outcome(conditions).alias("outcome")) for name, conditions in outputs.items()]
+    return events.select(F.inline(F.array(*each)), "event_id", "sequence_num")
 
 
 def day(ms: Column) -> Column:
