@@ -7,11 +7,14 @@ checked against its stored predecessor, which one window gives.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrylake.session import ship
+
 from .ordered import running_sum, with_previous
 
 GENESIS = "0" * 64
@@ -39,19 +42,29 @@ def record_hash(prev: Column, sequence: Column, raw_hash: Column, body: Column)
 
 
 def chain(records: DataFrame, shard: str = "shard") -> DataFrame:
-    """records (shard, sequence_num, raw_hash, body) with prev_hash and record_hash, each shard from GENESIS on."""
-    kinds = {**dict(records.dtypes), "prev_hash": "string", "record_hash": "string"}
+    """records (shard, sequence_num, raw_hash, body) with prev_hash and record_hash, each shard from GENESIS on.
+
+    A task folds its sorted rows batch by batch and keeps one hash, so a shard of any length needs the memory of a batch.
+    """
+    import pyarrow as pa
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence_num")
-        prev, before, made = GENESIS, [], []
-        for seq, raw, body in zip(pdf["sequence_num"], pdf["raw_hash"], pdf["body"], strict=True):
-            before.append(prev)
-            prev = hashlib.sha256(f"{prev}:{seq}:{raw}:{body}".encode()).hexdigest()
-            made.append(prev)
-        return pdf.assign(prev_hash=before, record_hash=made)
+    ship(records.sparkSession)
 
-    return records.groupBy(shard).applyInPandas(fold, ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, prev = None, GENESIS
+        for batch in batches:
+            before, made = [], []
+            for key, seq, raw, body in zip(*[batch.column(c).to_pylist() for c in (shard, "sequence_num", "raw_hash", "body")], strict=True):
+                if (key,) != here:
+                    here, prev = (key,), GENESIS
+                before.append(prev)
+                prev = hashlib.sha256(f"{prev}:{seq}:{raw}:{body}".encode()).hexdigest()
+                made.append(prev)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(made, pa.string())], names=list(kinds))
+
+    rows = records.drop("prev_hash", "record_hash")
+    kinds = {**dict(rows.dtypes), "prev_hash": "string", "record_hash": "string"}
+    return rows.repartition(shard).sortWithinPartitions(shard, "sequence_num").mapInArrow(fold, ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
 
 
 def verify_chain(ledger: DataFrame, shard: str = "shard") -> DataFrame:
@@ -129,18 +142,58 @@ def verify_inclusion(index: int, size: int, leaf: bytes, path: list[bytes], root
     return here == root and next(rest, None) is None
 
 
+def rooted(rows: DataFrame, keys: tuple[str, ...], latest: str | None = None) -> DataFrame:
+    """``keys``, _first, _last, size and merkle_root of the records (sequence_num, record_hash) of each group: _first and _last are its least and
+    greatest number; and the greatest value of the column ``latest``, where one is named.
+
+    A task walks over its sorted rows and holds the leaves of one group at a time.
+    """
+    import pyarrow as pa
+
+    ship(rows.sparkSession)
+    told = F.lit(None).cast("long") if latest is None else F.col(latest)
+    made = rows.select(*keys, "sequence_num", "record_hash", told.alias("_latest"))
+    kinds = dict(made.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", _first long, _last long, size long, merkle_root string, _latest {kinds['_latest']}"
+    made = made.repartition(*keys).sortWithinPartitions(*keys, "sequence_num")
+    width = len(keys)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, numbers, leaves, newest, out, types = None, [], [], None, [], None
+
+        def close() -> None:
+            out.append((*key, numbers[0], numbers[-1], len(leaves), merkle_root(leaves).hex(), newest))
+
+        def table() -> pa.RecordBatch:
+            wanted = [*types[:-1], pa.int64(), pa.int64(), pa.int64(), pa.string(), types[-1]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), wanted, strict=True)], names=[*keys, "_first", "_last", "size", "merkle_root", "_latest"])
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in (*range(width), width + 2)]
+            for *at, number, record, told in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != key:
+                    if key is not None:
+                        close()
+                    key, numbers, leaves, newest = at, [], [], None
+                numbers.append(number)
+                leaves.append(f"{number}:{record}".encode())
+                newest = told if newest is None or (told is not None and told > newest) else newest
+            if out:
+                yield table()
+                out.clear()
+        if key is not None:
+            close()
+            yield table()
+
+    got = made.mapInArrow(walk, schema)
+    return got.drop("_latest") if latest is None else got.withColumnRenamed("_latest", latest)
+
+
 def checkpoints(ledger: DataFrame, shard: str = "shard", size: int = 1000) -> DataFrame:
     """(shard, idx, first_seq, last_seq, leaves, root) of each full or last group of ``size`` sequence numbers."""
     rows = ledger.select(shard, F.floor((F.col("sequence_num") - 1) / size).cast("long").alias("idx"), "sequence_num", "record_hash")
-    kind = dict(ledger.dtypes)[shard]
-
-    def seal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence_num")
-        leaves = [f"{s}:{h}".encode() for s, h in zip(pdf["sequence_num"], pdf["record_hash"], strict=True)]
-        first, last = int(pdf["sequence_num"].iloc[0]), int(pdf["sequence_num"].iloc[-1])
-        return pd.DataFrame([[key[0], key[1], first, last, len(leaves), merkle_root(leaves).hex()]], columns=[shard, "idx", "first_seq", "last_seq", "leaves", "root"])
-
-    return rows.groupBy(shard, "idx").applyInPandas(seal, f"{shard} {kind}, idx long, first_seq long, last_seq long, leaves long, root string")
+    names = [shard, "idx", F.col("_first").alias("first_seq"), F.col("_last").alias("last_seq"), F.col("size").alias("leaves"), F.col("merkle_root").alias("root")]
+    return rooted(rows, (shard, "idx")).select(*names)
 
 
 def covering(records: DataFrame, sealed: DataFrame, shard: str = "shard", size: int = 1000) -> DataFrame:
