@@ -1,20 +1,19 @@
 """Seals over a hash chain: checkpoints of its records whose own hashes are chained, and what a verifier finds wrong with them.
 
 A checkpoint covers the records of a range of sequence numbers by their Merkle root and names the checkpoint before it; what is hashed is its
-body, canonical JSON. Windows follow the last record that is sealed, so a partial window that was forced shifts those after it. Roots are
-made a window to a task and their chain a shard to a task, over one row for each window.
+body, canonical JSON. Windows follow the last record that is sealed, so a partial window that was forced shifts those after it. A task walks
+over sorted windows for their roots, and over the one row for each window of a shard for their chain, and holds one window.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .integrity import GENESIS, merkle_root
+from .integrity import GENESIS, rooted
 
 VERSION, TYPE = 1, "checkpoint"
 SIZE = 1000
@@ -37,53 +36,42 @@ def empty(ledger: DataFrame) -> DataFrame:
     return ledger.sparkSession.createDataFrame([], SCHEMA.format(dict(ledger.dtypes)["shard"]))
 
 
-def _roots(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``keys``, size and merkle_root of the records (sequence_num, record_hash) of each group."""
-    kinds = dict(rows.dtypes)
-
-    def root(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence_num")
-        leaves = [f"{s}:{h}".encode() for s, h in zip(pdf["sequence_num"], pdf["record_hash"], strict=True)]
-        return pd.DataFrame([[*key, len(leaves), merkle_root(leaves).hex()]], columns=[*keys, "size", "merkle_root"])
-
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(root, f"{schema}, size long, merkle_root string")
-
-
-def due(ledger: DataFrame, sealed: DataFrame, size: int, force: bool) -> DataFrame:
-    """Records (shard, sequence_num, record_hash, at) that are to be sealed now, with idx, first_seq and last_seq of their window."""
-    last = sealed.groupBy("shard").agg(F.max_by(F.struct("idx", "last_seq"), "idx").alias("_last"))
-    rows = ledger.select("shard", "sequence_num", "record_hash", "at").join(last, "shard", "left")
-    done, index = F.coalesce("_last.last_seq", F.lit(0)), F.coalesce("_last.idx", F.lit(0))
-    rows = rows.filter(F.col("sequence_num") > done).withColumn("_w", F.floor((F.col("sequence_num") - done - 1) / size).cast("long"))
-    head = rows.groupBy("shard").agg(F.max("sequence_num").alias("_head"))
-    first = done + F.col("_w") * size + 1
-    rows = rows.join(head, "shard").select("shard", "sequence_num", "record_hash", "at", (index + F.col("_w") + 1).alias("idx"), first.alias("first_seq"), F.least(first + size - 1, "_head").alias("last_seq"))
-    return rows if force else rows.filter(F.col("last_seq") - F.col("first_seq") == size - 1)
-
-
 def seal(ledger: DataFrame, sealed: DataFrame, size: int = SIZE, force: bool = False, log: str = "log") -> DataFrame:
     """New checkpoints of ``ledger`` (shard, sequence_num, record_hash, at) after those of ``sealed``: all full windows, and with ``force`` also
     the partial one at the end. A window is sealed at the time of its last record, so doing it again gives the same bytes."""
-    rows = due(ledger, sealed, size, force)
-    at = rows.groupBy("shard", "idx").agg(F.max("at").cast("string").alias("sealed_at"))
-    windows = _roots(rows.select("shard", "idx", "first_seq", "last_seq", "sequence_num", "record_hash"), ("shard", "idx", "first_seq", "last_seq")).join(at, ["shard", "idx"])
-    heads = sealed.groupBy("shard").agg(F.max_by("checkpoint_hash", "idx").alias("_head"))
-    windows = windows.join(heads, "shard", "left").withColumn("_head", F.coalesce("_head", F.lit(GENESIS)))
+    import pyarrow as pa
+
+    last = sealed.groupBy("shard").agg(F.max_by(F.struct("idx", "last_seq", "checkpoint_hash"), "idx").alias("_before"))
+    rows = ledger.select("shard", "sequence_num", "record_hash", "at").join(last, "shard", "left")
+    done = F.coalesce("_before.last_seq", F.lit(0))
+    rows = rows.filter(F.col("sequence_num") > done).withColumn("_w", F.floor((F.col("sequence_num") - done - 1) / size).cast("long"))
+    # a row for each window from here on: the head of a shard is the last record of its last window
+    windows = rooted(rows, ("shard", "_w"), "at").join(last, "shard", "left")
+    first, head = done + F.col("_w") * size + 1, F.max("_last").over(Window.partitionBy("shard"))
+    windows = windows.select(
+        "shard", (F.coalesce("_before.idx", F.lit(0)) + F.col("_w") + 1).alias("idx"), first.alias("first_seq"), F.least(first + size - 1, head).alias("last_seq"), "size", "merkle_root",
+        F.col("at").cast("string").alias("sealed_at"), F.coalesce("_before.checkpoint_hash", F.lit(GENESIS)).alias("_head"),
+    )
+    windows = windows if force else windows.filter(F.col("last_seq") - F.col("first_seq") == size - 1)
     schema = SCHEMA.format(dict(ledger.dtypes)["shard"])
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        prev, out = pdf["_head"].iloc[0], []
-        for r in pdf.to_dict("records"):
-            body = canonical(r["first_seq"], r["idx"], r["last_seq"], log, r["merkle_root"], prev, r["sealed_at"], r["size"])
-            made = hashlib.sha256(body.encode()).hexdigest()
-            out.append((r["shard"], r["idx"], r["first_seq"], r["last_seq"], r["size"], r["merkle_root"], prev, made, body, r["sealed_at"]))
-            prev = made
-        return pd.DataFrame(out, columns=names)
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, prev = None, GENESIS
+        for batch in batches:
+            rows, made = batch.to_pydict(), {"prev_hash": [], "checkpoint_hash": [], "body": []}
+            for i, shard in enumerate(rows["shard"]):
+                if (shard,) != here:
+                    here, prev = (shard,), rows["_head"][i]
+                body = canonical(rows["first_seq"][i], rows["idx"][i], rows["last_seq"][i], log, rows["merkle_root"][i], prev, rows["sealed_at"][i], rows["size"][i])
+                made["prev_hash"].append(prev)
+                prev = hashlib.sha256(body.encode()).hexdigest()
+                made["checkpoint_hash"].append(prev)
+                made["body"].append(body)
+            texts = {k: pa.array(v, pa.string()) for k, v in made.items()}
+            yield pa.RecordBatch.from_arrays([texts[n] if n in texts else batch.column(n) for n in names], names=names)
 
-    return windows.groupBy("shard").applyInPandas(link, schema)
+    return windows.repartition("shard").sortWithinPartitions("shard", "idx").mapInArrow(link, schema)
 
 
 def members(ledger: DataFrame, ranges: DataFrame, width: int = SIZE) -> DataFrame:
@@ -107,7 +95,7 @@ def verify(sealed: DataFrame, ledger: DataFrame, width: int = SIZE) -> DataFrame
     believed = F.col("_text") & (F.col("b.last_seq") - F.col("b.first_seq")).between(0, LONGEST - 1)
     ranges = read.filter(believed).select("shard", "idx", F.col("b.first_seq").alias("first_seq"), F.col("b.last_seq").alias("last_seq"))
     held = members(ledger.select("shard", "sequence_num", "record_hash"), ranges, width)
-    now = _roots(held.select("shard", "idx", "sequence_num", "record_hash"), ("shard", "idx")).select("shard", "idx", F.col("size").alias("_size"), F.col("merkle_root").alias("_root"))
+    now = rooted(held, ("shard", "idx")).select("shard", "idx", F.col("size").alias("_size"), F.col("merkle_root").alias("_root"))
     rows = read.join(now, ["shard", "idx"], "left")
     stored = F.coalesce("_size", F.lit(0))
     differ = lambda a, b: ~F.coalesce(a.eqNullSafe(b), F.lit(False))

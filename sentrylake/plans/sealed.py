@@ -22,9 +22,13 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sealed(ledger: DataFrame) -> DataFrame:
-    """The first FORCED records of a shard sealed by force, then what came after them."""
-    early = sealing.seal(ledger.filter(F.col("sequence_num") <= FORCED), sealing.empty(ledger), SIZE, force=True)
-    return early.unionByName(sealing.seal(ledger, early, SIZE))
+    """The first FORCED records of a shard sealed by force, then what came after them; checkpoints are stored as they are made."""
+    spark, path = ledger.sparkSession, scratch_dir(ledger.sparkSession, "checkpoints")
+    none = sealing.empty(ledger)
+    sealing.seal(ledger.filter(F.col("sequence_num") <= FORCED), none, SIZE, force=True).write.parquet(f"{path}/batch=0")
+    early = spark.read.schema(none.schema).parquet(f"{path}/batch=0")
+    sealing.seal(ledger, early, SIZE).write.parquet(f"{path}/batch=1")
+    return spark.read.schema(none.schema).parquet(f"{path}/batch=0", f"{path}/batch=1")
 
 
 @query("led_11_seals", f"""
