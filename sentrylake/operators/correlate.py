@@ -64,13 +64,19 @@ def allowed_then_alert(rows: DataFrame) -> DataFrame:
 def port_sweeps(rows: DataFrame, span_ms: int = SWEEP_MS, least: int = SWEEP_PORTS) -> DataFrame:
     """Per source address: the first moment at which the events of the last minute show enough ports.
 
-    The range frame of a row would hold later rows of the same millisecond, so those are cut off by position.
+    A port counts from a row until no row of it is in the last minute. Only the starts and ends of such spans change the number of ports, so
+    the running number is made over them: their number does not grow with how often a port is seen.
     """
-    seen = rows.filter(F.col("src_ip").isNotNull() & F.col("dst_port").isNotNull())
-    frame = Window.partitionBy("src_ip").orderBy("time").rangeBetween(-span_ms, 0)
-    held = seen.withColumn("held", F.collect_list(F.struct("pos", "dst_port")).over(frame))
-    ports = F.size(F.array_distinct(F.transform(F.filter("held", lambda x: x["pos"] <= F.col("pos")), lambda x: x["dst_port"])))
-    hits = held.withColumn("ports", ports.cast("long")).filter(F.col("ports") >= least)
+    seen = rows.filter(F.col("src_ip").isNotNull() & F.col("dst_port").isNotNull()).select("src_ip", "dst_port", "time", "pos", "event_id")
+    of_port = Window.partitionBy("src_ip", "dst_port").orderBy("time", "pos")
+    seen = seen.withColumn("_since", F.col("time") - F.lag("time").over(of_port)).withColumn("_until", F.lead("time").over(of_port) - F.col("time"))
+    alone = lambda gap: F.col(gap).isNull() | (F.col(gap) > span_ms)
+    starts = seen.filter(alone("_since")).select("src_ip", "time", "pos", "event_id", F.lit(1).alias("step"))
+    # an end is before all rows of the millisecond after the span
+    ends = seen.filter(alone("_until")).select("src_ip", (F.col("time") + span_ms + 1).alias("time"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast(dict(rows.dtypes)["event_id"]).alias("event_id"), F.lit(-1).alias("step"))
+    order = Window.partitionBy("src_ip").orderBy("time", "step", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = starts.unionByName(ends).withColumn("ports", F.sum("step").over(order))
+    hits = steps.filter((F.col("step") == 1) & (F.col("ports") >= least))
     got = hits.groupBy("src_ip").agg(F.min(F.struct("pos", "event_id", "ports")).alias("f"))
     return got.select("src_ip", F.col("f.event_id").alias("event_id"), F.col("f.ports").alias("ports"))
 
