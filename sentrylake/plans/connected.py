@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sentrylake.operators import connections, packs
 from sentrylake.streaming import connections as streamed
 
-from .fixtures import EVENTS, events, spread
+from .fixtures import EVENTS, READ_IP, events, spread
 from .queries import query
 
 #: Of every event a line that builds a connection, unless its number divides by 5, and one that ends it: with other ends where it divides by
@@ -59,7 +59,7 @@ def _sided(rows: DataFrame) -> DataFrame:
     return out.select("event_id", "copy", "direction", "s.src_ip", "s.src_port", "s.dst_ip", "s.dst_port")
 
 
-@query("joi_12_asa_lines", _SQL)
+@query("joi_12_asa_lines", _SQL.replace("THEN src_ip ", f"THEN {READ_IP} "))
 def joi_12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sided(connections.directed(_records(connection_lines(spread(events(spark, sf_dir))))))
 
@@ -78,7 +78,7 @@ def str_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sided(spark.table(name))
 
 
-@query("prj_29_snort", f"""SELECT event_id, src_ip, CASE WHEN event_id % 5 < 4 THEN src_port END AS src_port, dst_ip, CASE WHEN event_id % 5 < 4 THEN dst_port END AS dst_port, CASE WHEN event_id % 5 < 4 THEN protocol ELSE 'ICMP' END AS protocol,
+@query("prj_29_snort", f"""SELECT event_id, {READ_IP} AS src_ip, CASE WHEN event_id % 5 < 4 THEN src_port END AS src_port, dst_ip, CASE WHEN event_id % 5 < 4 THEN dst_port END AS dst_port, CASE WHEN event_id % 5 < 4 THEN protocol ELSE 'ICMP' END AS protocol,
   concat('1:', event_id, ':2') AS rule, concat('say "', user_name, '", twice') AS signature, CASE event_id % 5 WHEN 4 THEN 'medium' WHEN 3 THEN 'medium' ELSE CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END END AS severity
 FROM ({EVENTS})""")
 def prj_29(spark: SparkSession, sf_dir: str) -> DataFrame:
