@@ -12,9 +12,8 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .delivery import AUTOMATIC, REJECTED
@@ -55,12 +54,18 @@ class DeadLetters:
 
     # keeping
 
-    def append(self, entries: DataFrame, segment: str | None = None) -> bool:
+    def _known(self, name: str) -> bool:
+        return any(self._fs.exists(self._path(state, name)) for state in ("waiting", "claimed", "settled"))
+
+    def append(self, entries: DataFrame, segment: str | None = None, counted: Observation | None = None) -> bool:
         """Keep entries: an event's columns with ABOUT. ``segment`` names them, so that the same append again, as after a failed
-        micro-batch, does nothing; False then."""
+        micro-batch, does nothing; False then. ``counted`` observes the number n of entries that are known to be one wave at most."""
         name = segment or uuid.uuid4().hex
-        if any(name in self._names(state) for state in ("waiting", "claimed", "settled")):
+        if self._known(name):
             return False
+        if counted is not None:
+            entries.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/new/{name}/wave=0")
+            return bool(counted.get["n"]) and self._rename(("new", name), ("waiting", name))
         each = -(-self.wave // max(1, entries.rdd.getNumPartitions()))
         place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
         rows = entries.withColumn("wave", F.floor(place / each).cast("int"))
@@ -70,8 +75,7 @@ class DeadLetters:
     def entries(self) -> DataFrame | None:
         """All that waits or is claimed and not settled; None where nothing is."""
         found = [f"{self.root}/{state}/{s}/wave={w}" for state in ("waiting", "claimed") for s in self._names(state) for w in self._waves(state, s)]
-        frames = [self.spark.read.parquet(p) for p in found]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+        return self.spark.read.option("mergeSchema", "true").parquet(*found) if found else None
 
     def summary(self) -> DataFrame | None:
         """(kind, waiting, oldest, newest, reason): per kind, with its commonest reason."""
@@ -115,38 +119,43 @@ class DeadLetters:
             for segment in [*self._names("claimed"), *self._names("waiting")]:
                 if segment not in self._names("claimed") and not self._rename(("waiting", segment), ("claimed", segment)):
                     continue
+                shape = None  # waves of a segment were written together
                 for w in self._waves("claimed", segment):
                     if stop():
                         return said | {"state": "stopped"}
                     if limit is not None and said["delivered"] >= limit:
                         return said | {"state": "limit reached"}
                     self._keep()
-                    rows = self.spark.read.parquet(f"{self.root}/claimed/{segment}/wave={w}")
+                    place = f"{self.root}/claimed/{segment}/wave={w}"
+                    shape = shape or self.spark.read.parquet(place).schema
+                    rows = self.spark.read.schema(shape).parquet(place)
                     due = F.col("kind").isin(*kinds)
-                    n = rows.filter(due).count()
+                    n, held = rows.agg(F.count_if(due), F.count("*")).first()
                     try:
                         refused = send(rows.filter(due), f"{segment}-{w}") if n else None
                     except Exception as e:  # noqa: BLE001  whatever a destination raises, the wave is tried another time
                         return said | {"state": "stopped", "error": f"{type(e).__name__}: {e}"[:500]}
-                    self._settle(segment, w, rows, due, refused, key, said, n)
+                    self._settle(segment, w, rows, due, refused, key, said, n, held - n)
                 self._finish(segment)
         finally:
             self._fs.delete(self._path("lease"), False)
         return said
 
-    def _settle(self, segment: str, wave: int, rows: DataFrame, due, refused: DataFrame | None, key: str, said: dict, n: int) -> None:
-        others = rows.filter(~F.coalesce(due, F.lit(False)))
-        kept = others
+    def _settle(self, segment: str, wave: int, rows: DataFrame, due, refused: DataFrame | None, key: str, said: dict, n: int, skipped: int) -> None:
+        name, total = f"{segment}-{wave}", 0
+        kept = rows.filter(~F.coalesce(due, F.lit(False)))
         if refused is not None:
             why = refused.select(F.col(key), F.substring("reason", 1, 500).alias("_why")).dropDuplicates([key])
             again = rows.filter(due).join(why, key).withColumns({"kind": F.lit(REJECTED), "reason": F.col("_why"), "attempts": F.col("attempts") + 1}).drop("_why")
             kept = kept.unionByName(again)
         kept = kept.select(*rows.columns)
-        total = kept.count()
-        if total:
-            self.append(kept, f"{segment}-{wave}")
+        if self._known(name):  # by a replay that was cut off behind it
+            total = kept.count()
+        elif skipped or refused is not None:
+            seen = Observation()  # counted as it is written
+            self.append(kept.observe(seen, F.count("*").alias("n")), name, seen)
+            total = seen.get["n"]
         self._touch("marks", segment, str(wave))
-        skipped = total if refused is None else others.count()
         said["skipped"] += skipped
         said["refused"] += total - skipped
         said["delivered"] += n - (total - skipped)
