@@ -226,3 +226,21 @@ def test_registry_keeps_samples_of_small_and_large_formats(spark):
     for _, _, _, _, s in rows[3:]:
         counts[s] = counts.get(s, 0) + 1
     assert [tuple(x) for x in got["hot"].top_sources] == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]
+
+
+def test_templates_merge_by_component_as_in_one_group(spark):
+    """Wildcards let an entry fit templates that were two words and more from each of its first; also wildcards of the text itself."""
+    import random
+
+    from sentrylake.operators.registry import merge_table
+
+    rng = random.Random(11)
+    words = ["a", "b", "c", "in", "From", "<ACTION>", "<*>"]
+    for n, most, p in ((4, 5, 0.3), (6, 7, 0.4), (9, 6, 0.12)):
+        heads = [[rng.choice(words[:6]) for _ in range(n)] for _ in range(12)]
+        texts = {" ".join(rng.choice(words[:most]) if rng.random() < p else w for w in rng.choice(heads)) for _ in range(150)} | {"x y", ""}
+        rows = [(hashlib.sha1(t.encode()).hexdigest()[:12], rng.choice(["", "a"]), t, rng.randint(0, 40)) for t in sorted(texts)]
+        made = spark.createDataFrame(rows, "id string, app string, t string, first long").repartition(3)
+        out = merge_table(made)
+        assert {r.format_id: r.canonical_id for r in out.collect()} == brute_merge(rows)
+        assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
