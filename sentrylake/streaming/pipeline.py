@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sentrylake.operators import integrity, packs
+from sentrylake.session import scratch_dir
 
 
 def parsed(lines: DataFrame, raw: str = "value") -> DataFrame:
@@ -30,6 +31,14 @@ def once(findings: DataFrame, key: str = "finding_uid", late: str = "10 minutes"
     return findings.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def drain(rows: DataFrame, what: str) -> DataFrame:
+    """A stream of rows run to its end, as a table of files in the shared folder, where its state and offsets are as well."""
+    at = scratch_dir(rows.sparkSession, what)
+    writer = rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/rows")
+
+
 def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Micro-batches to ``write(batch, id)``; without ``every`` all that is there now. A batch may come again after a
     failure, so ``write`` must be idempotent by its id."""

@@ -54,3 +54,10 @@ def test_pieces_of_connections_across_batches(spark, tmp_path):
     query.awaitTermination()
     got = sorted((r.connection, r.pos, r.n, bytes(r.frame)) for r in spark.table("frames").collect())
     assert got == [("a", 2, 0, b"hello"), ("a", 3, 0, b"0123456789"), ("b", 1, 0, b"one\n"), ("b", 4, 0, b"two\n"), ("b", 4, 1, b"three")]
+
+
+def test_frames_of_the_query_are_files_and_no_rows_of_the_driver(spark):
+    import __spark_entry__ as e
+
+    got = e.queries()["src_02_pieces"](spark, "/root/testdata/sf0.001")
+    assert got.inputFiles() and got.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
