@@ -18,6 +18,11 @@ KEY = ("host", "connection")
 RECORD = (*KEY, "pos", "verb", "ends", "direction")
 
 
+def told(event: Column) -> Column:
+    """Whether a parsed event, as a struct, is the begin or the end of a connection."""
+    return event["connection_verb"].isNotNull() & event["connection_ends"].isNotNull()
+
+
 def records(events: DataFrame, pos: str, *keep: str) -> DataFrame:
     """The built and torn down connections among parsed events: RECORD and ``keep``. ``pos`` orders the lines of a host.
 

@@ -122,3 +122,30 @@ def test_alerts_in_every_shape(spark):
         p = got[i]
         assert p.pack == "snort_alert" and p.class_uid == 2004
         assert (p.rule, p.signature, p.src_ip, p.src_port, p.dst_ip, p.dst_port, p.protocol, p.severity) == want
+
+
+def test_no_line_is_late_whatever_the_order_of_the_files_and_rows_stay_out_of_the_driver(spark, tmp_path):
+    import os
+
+    from sentrylake.plans import connected
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_id < 60")
+    for i, part in enumerate(("event_id >= 30", "event_id < 30")):  # the later events first; only the second batch would be late
+        at = f"{tmp_path}/made{i}"
+        events.filter(part).withColumn("event_id", F.col("event_id") * 100).coalesce(1).write.parquet(at)
+        [made] = [f for f in os.listdir(at) if f.endswith(".parquet")]
+        os.makedirs(f"{tmp_path}/events.parquet", exist_ok=True)
+        os.link(f"{at}/{made}", f"{tmp_path}/events.parquet/part-{i}.parquet")
+        os.utime(f"{tmp_path}/events.parquet/part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = connected.str_06(spark, str(tmp_path))
+    want = connected.joi_12_lines(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.select(got.columns).collect()), key=repr)
+    assert got.count() == 60 + 6 and got.inputFiles()
+
+
+def test_lines_of_connections_are_parsed_in_one_place_of_the_plan(spark):
+    from sentrylake.plans import connected
+    from sentrylake.plans.fixtures import events, spread
+
+    rows = connected._records(connected.connection_lines(spread(events(spark, "/root/testdata/sf0.001"))))
+    assert "Union" not in rows._jdf.queryExecution().optimizedPlan().toString()
