@@ -244,3 +244,30 @@ def test_templates_merge_by_component_as_in_one_group(spark):
         out = merge_table(made)
         assert {r.format_id: r.canonical_id for r in out.collect()} == brute_merge(rows)
         assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
+
+
+def test_only_entries_that_others_may_fit_are_held_and_the_first_that_fits_wins():
+    import random
+
+    from sentrylake.operators.registry import Merger
+
+    rng = random.Random(5)
+    texts = list({" ".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)} | {f"{i} far from all {i}" for i in range(40)})
+    far = lambda t: not any(sum(a != b for a, b in zip(t.split(), o.split(), strict=True)) == 1 for o in texts)
+    rows = [(f"{i:04d}", "", t, i) for i, t in enumerate(texts)]
+    merger = Merger()
+    assert {fid: merger.add(fid, app, t, met=not far(t)) for fid, app, t, _ in rows} == brute_merge(rows)
+    [(group, _)] = merger.known.values()
+    assert sum(map(far, texts)) >= 40 and not any(far(t) for fid, _ in group for t in texts if rows[int(fid)][2] == t)
+
+
+def test_an_entry_of_wildcards_alone_takes_a_whole_length(spark):
+    """Its templates are linked without keys, and no component is merged again that no link has changed."""
+    from sentrylake.operators.registry import merge_table
+
+    texts = [f"a{'x' if i > 0 else ''} b{'x' if i > 1 else ''} c{'x' if i > 2 else ''} d{'x' if i > 3 else ''}" for i in range(5)]
+    texts += [f"one {i} of {i * 7}" for i in range(30)] + ["p q r s t", "p q r s u", "k in from to", "k in from out", "v in from to"]
+    rows = [(hashlib.sha1(t.encode()).hexdigest()[:12], "", t, i % 20) for i, t in enumerate(texts)]
+    out = merge_table(spark.createDataFrame(rows, "id string, app string, t string, first long"))
+    got = {r.format_id: r.canonical_id for r in out.collect()}
+    assert got == brute_merge(rows) and len({got[x] for x, *_ in rows[5:35]}) < 30
