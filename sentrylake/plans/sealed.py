@@ -115,7 +115,7 @@ def snk_08(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.filter("event_id % 10 = 0").select("event_id", F.lit("no such index").alias("reason"))
 
     store.replay(down, "event_id")
-    store.replay(taken, "event_id")
+    store.replay(taken, "event_id", at_once=8)
     return store.entries().select("event_id", "kind", "reason", "attempts")
 
 

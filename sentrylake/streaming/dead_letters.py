@@ -3,7 +3,7 @@
 ``waiting/<segment>/wave=<n>`` holds what waits; a replay renames a segment to ``claimed/<segment>``, so new dead letters never meet a running
 replay. A wave, some rows of every partition, is sent as one DataFrame under a key of its own. What it did not deliver is written as a
 new segment named after the wave, then the wave is marked as settled: a crash between any two steps repeats at most the sending of
-one wave, under the same key, and no row is lost or kept twice. A segment whose waves are all settled leaves only its name in ``settled``, so
+the waves under way (one, or ``at_once``), under the same keys, and no row is lost or kept twice. A segment whose waves are all settled leaves only its name in ``settled``, so
 an append that comes again is known. One replay runs at a time, by a lease that a crashed one lets expire.
 """
 
@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .delivery import AUTOMATIC, REJECTED
 
@@ -29,6 +33,7 @@ class DeadLetters:
     def __init__(self, spark: SparkSession, path: str, wave: int = WAVE, clock: Callable[[], float] = time.time):
         self.spark, self.root, self.wave, self.clock = spark, path.rstrip("/"), wave, clock
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._lock = Lock()
 
     # files
 
@@ -69,7 +74,7 @@ class DeadLetters:
         each = -(-self.wave // max(1, entries.rdd.getNumPartitions()))
         place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
         rows = entries.withColumn("wave", F.floor(place / each).cast("int"))
-        rows.write.mode("overwrite").partitionBy("wave").parquet(f"{self.root}/new/{name}")
+        rows.repartition("wave").write.mode("overwrite").partitionBy("wave").parquet(f"{self.root}/new/{name}")
         return self._rename(("new", name), ("waiting", name))
 
     def entries(self) -> DataFrame | None:
@@ -106,11 +111,12 @@ class DeadLetters:
     def _keep(self) -> None:
         self._fs.setTimes(self._path("lease"), int(self.clock() * 1000), -1)
 
-    def replay(self, send: Callable[[DataFrame, str], DataFrame | None], key: str, kinds: tuple[str, ...] = AUTOMATIC, limit: int | None = None, stop: Callable[[], bool] = lambda: False) -> dict:
+    def replay(self, send: Callable[[DataFrame, str], DataFrame | None], key: str, kinds: tuple[str, ...] = AUTOMATIC, limit: int | None = None, stop: Callable[[], bool] = lambda: False, at_once: int = 1) -> dict:
         """Send waiting entries of ``kinds``: first those of a replay that was cut off, then what waits now.
 
         ``send(rows, wave)`` returns the rows (``key``, reason) that were refused, or None; if it raises, the destination takes nothing and
-        the wave stays. Refused entries and those of other kinds wait on. ``limit`` is met at the end of a wave.
+        the wave stays. Refused entries and those of other kinds wait on. ``limit`` is met at the end of a wave. Up to ``at_once`` waves of a
+        segment are under way together, where the destination takes calls of several threads and there is no ``limit``.
         """
         said = {"state": "done", "delivered": 0, "refused": 0, "skipped": 0, "error": None}
         if not self._lease():
@@ -119,34 +125,73 @@ class DeadLetters:
             for segment in [*self._names("claimed"), *self._names("waiting")]:
                 if segment not in self._names("claimed") and not self._rename(("waiting", segment), ("claimed", segment)):
                     continue
-                shape = None  # waves of a segment were written together
-                for w in self._waves("claimed", segment):
-                    if stop():
-                        return said | {"state": "stopped"}
-                    if limit is not None and said["delivered"] >= limit:
-                        return said | {"state": "limit reached"}
+                waves = self._waves("claimed", segment)
+                if not waves:
+                    self._finish(segment)
+                    continue
+                due = F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
+                shape = self.spark.read.parquet(f"{self.root}/claimed/{segment}/wave={waves[0]}").schema  # waves of a segment were written together
+                counts = self._counts(segment, shape, due)
+
+                def one(w: int) -> str | None:
                     self._keep()
-                    place = f"{self.root}/claimed/{segment}/wave={w}"
-                    shape = shape or self.spark.read.parquet(place).schema
-                    rows = self.spark.read.schema(shape).parquet(place)
-                    due = F.col("kind").isin(*kinds)
-                    n, held = rows.agg(F.count_if(due), F.count("*")).first()
+                    rows = self.spark.read.schema(shape).parquet(f"{self.root}/claimed/{segment}/wave={w}")  # noqa: B023
+                    n, skipped = counts.get(w, (0, 0))  # noqa: B023
                     try:
-                        refused = send(rows.filter(due), f"{segment}-{w}") if n else None
+                        refused = send(rows.filter(due), f"{segment}-{w}") if n else None  # noqa: B023
                     except Exception as e:  # noqa: BLE001  whatever a destination raises, the wave is tried another time
-                        return said | {"state": "stopped", "error": f"{type(e).__name__}: {e}"[:500]}
-                    self._settle(segment, w, rows, due, refused, key, said, n, held - n)
+                        return f"{type(e).__name__}: {e}"[:500]
+                    total = self._settle(segment, w, rows, due, refused, key, skipped)  # noqa: B023
+                    with self._lock:
+                        said["skipped"] += skipped
+                        said["refused"] += total - skipped
+                        said["delivered"] += n - (total - skipped)
+                    return None
+
+                def over() -> str | None:
+                    return "stopped" if stop() else "limit reached" if limit is not None and said["delivered"] >= limit else None
+
+                state, error = self._each(waves, one, over, 1 if limit is not None else at_once)
+                if state:
+                    return said | {"state": state, "error": error}
                 self._finish(segment)
         finally:
             self._fs.delete(self._path("lease"), False)
         return said
 
-    def _settle(self, segment: str, wave: int, rows: DataFrame, due, refused: DataFrame | None, key: str, said: dict, n: int, skipped: int) -> None:
+    def _counts(self, segment: str, shape: StructType, due: Column) -> dict[int, tuple[int, int]]:
+        """Of every wave of a claimed segment, how many entries are due and how many are not, in one job."""
+        rows = self.spark.read.schema(StructType([*shape.fields, StructField("wave", IntegerType())])).parquet(f"{self.root}/claimed/{segment}")
+        return {r[0]: (r[1], r[2] - r[1]) for r in rows.groupBy("wave").agg(F.count_if(due), F.count("*")).collect()}
+
+    def _each(self, waves: list[int], one: Callable[[int], str | None], over: Callable[[], str | None], at_once: int) -> tuple[str | None, str | None]:
+        """``one`` of every wave until one fails or it is ``over``; what is under way then ends first. Why it stopped, and the error."""
+        if at_once <= 1:
+            for w in waves:
+                if state := over():
+                    return state, None
+                if error := one(w):
+                    return "stopped", error
+            return None, None
+        under_way, state, errors = deque(), None, []
+        with ThreadPoolExecutor(at_once) as pool:
+            for w in waves:
+                if len(under_way) >= at_once and (error := under_way.popleft().result()):
+                    errors.append(error)
+                state = "stopped" if errors else over()
+                if state:
+                    break
+                under_way.append(pool.submit(one, w))
+            errors += [e for e in [f.result() for f in under_way] if e]
+        return ("stopped" if errors else state), (errors[0] if errors else None)
+
+    def _settle(self, segment: str, wave: int, rows: DataFrame, due: Column, refused: DataFrame | None, key: str, skipped: int) -> int:
+        """Keeps what a wave did not deliver and marks it; the number kept. A wave is small, so this is one task without a shuffle."""
         name, total = f"{segment}-{wave}", 0
-        kept = rows.filter(~F.coalesce(due, F.lit(False)))
+        kept = rows.filter(~due)
         if refused is not None:
-            why = refused.select(F.col(key), F.substring("reason", 1, 500).alias("_why")).dropDuplicates([key])
-            again = rows.filter(due).join(why, key).withColumns({"kind": F.lit(REJECTED), "reason": F.col("_why"), "attempts": F.col("attempts") + 1}).drop("_why")
+            why = refused.select(F.col(key), F.substring("reason", 1, 500).alias("_why")).coalesce(1).dropDuplicates([key])
+            again = rows.filter(due).coalesce(1).join(why.hint("shuffle_hash"), key).withColumns({"kind": F.lit(REJECTED), "reason": F.col("_why"), "attempts": F.col("attempts") + 1}).drop("_why")
             kept = kept.unionByName(again)
         kept = kept.select(*rows.columns)
         if self._known(name):  # by a replay that was cut off behind it
@@ -156,9 +201,7 @@ class DeadLetters:
             self.append(kept.observe(seen, F.count("*").alias("n")), name, seen)
             total = seen.get["n"]
         self._touch("marks", segment, str(wave))
-        said["skipped"] += skipped
-        said["refused"] += total - skipped
-        said["delivered"] += n - (total - skipped)
+        return total
 
     def _finish(self, segment: str) -> None:
         self._touch("settled", segment)

@@ -123,3 +123,43 @@ def test_an_output_that_refuses_some_events(spark):
     assert delivery.deliver(batch, 4, lambda b, i: refused, dead.append) == "partly_delivered"
     assert [(r.event_id, r.kind, r.reason, r.batch_id) for r in dead[0].collect()] == [(2, "rejected", "mapping", 4)]
     assert delivery.deliver(batch, 5, lambda b, i: None, dead.append) == "delivered" and len(dead) == 1
+
+
+def test_waves_are_sent_together_and_each_is_one_file(spark, tmp_path):
+    import glob
+    import threading
+
+    s, to, met = store(spark, tmp_path), Destination(refuses=[3, 9]), threading.Barrier(2, timeout=60)
+    s.append(entries(spark, range(16), parts=4), "b")
+    assert len(glob.glob(f"{tmp_path}/dead/waiting/b/wave=*/*.parquet")) == len(s._waves("waiting", "b")) == 4
+
+    def send(rows, wave):
+        met.wait()  # only if two are under way
+        return to(rows, wave)
+
+    assert s.replay(send, "event_id", at_once=2) == {"state": "done", "delivered": 14, "refused": 2, "skipped": 0, "error": None}
+    assert sorted(to.got) == [i for i in range(16) if i not in (3, 9)] and waiting(s) == [(3, "rejected"), (9, "rejected")]
+
+
+def test_waves_under_way_end_when_one_fails_or_the_process_is_gone(spark, tmp_path):
+    now = [3_000_000.0]
+    s, to = store(spark, tmp_path, clock=lambda: now[0]), Destination(refuses=[3])
+    s.append(entries(spark, range(40), parts=1), "b")
+
+    def fails(rows, wave):
+        if wave == "b-2":
+            raise OSError("refused")
+        return to(rows, wave)
+
+    said = s.replay(fails, "event_id", at_once=3)
+    assert (said["state"], said["error"]) == ("stopped", "OSError: refused") and len(waiting(s)) == 40 - said["delivered"]
+
+    def dies(rows, wave):
+        to(rows, wave)
+        raise Crash
+
+    with pytest.raises(Crash):
+        s.replay(dies, "event_id", at_once=3)
+    now[0] += LEASE + 1
+    assert s.replay(to, "event_id", at_once=3)["state"] == "done"
+    assert sorted(to.got) == [i for i in range(40) if i != 3] and waiting(s) == [(3, "rejected")]
