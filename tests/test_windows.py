@@ -15,3 +15,15 @@ def test_windows_of_many_files_equal_their_sql_and_stay_out_of_the_driver(spark,
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()['str_04_windows']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 1000
     assert got.inputFiles()
+
+
+def test_windows_do_not_depend_on_the_zone_of_the_session(spark):
+    import __spark_entry__ as e
+
+    run = lambda: sorted(map(tuple, e.queries()["str_04_windows"](spark, "/root/testdata/sf0.001").collect()))
+    want = run()
+    spark.conf.set("spark.sql.session.timeZone", "America/St_Johns")
+    try:
+        assert run() == want and len(want) > 500
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
