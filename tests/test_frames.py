@@ -61,3 +61,32 @@ def test_frames_of_the_query_are_files_and_no_rows_of_the_driver(spark):
 
     got = e.queries()["src_02_pieces"](spark, "/root/testdata/sf0.001")
     assert got.inputFiles() and got.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_many_pieces_are_sorted_on_disk_and_frames_given_out_in_parts():
+    import random
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    places = list(range(60_000))
+    random.Random(2).shuffle(places)
+    parts = [places[i : i + 500] for i in range(0, len(places), 500)]
+    batches = lambda: (pa.RecordBatch.from_pydict({"pos": [p // 2 for p in x], "payload": [b"%05d" % p for p in x]}) for x in parts)
+    got = list(streamed.ordered(batches(), "pos", most=50_000))
+    assert got == list(streamed.ordered(batches(), "pos")) and [p for p, _ in got] == [i // 2 for i in range(60_000)] and len({x for _, x in got}) == 60_000
+    assert list(streamed.ordered(iter(()), "pos")) == []
+
+    class Waiting:
+        def exists(self):
+            return False
+
+    reader = streamed.OpenFrames(100)
+    reader.waiting = Waiting()
+    pieces = (pd.DataFrame({"pos": range(i, i + 5000), "payload": [b"x" * 20 + b"\n"] * 5000, "closed": False}) for i in range(0, 400_000, 5000))
+    tracemalloc.start()
+    sizes = [len(x) for x in reader.handleInputRows(("a",), pieces, None)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 400_000 and max(sizes) <= 10_000 and most < 40_000_000
